@@ -1,8 +1,9 @@
 """Running totals and exact quantiles over ordered values without single-task groups.
 
-Values are first collapsed to (group, value, counts).  A mergeable sketch cuts each group into
-slices of about equal size; slice totals give every slice its offset, and only the inside of a
-slice is ever sorted by one task.  The sketch only decides where the cuts lie: results are exact.
+Values are first collapsed to (group, value, counts) and written once.  A table of few rows is
+summed by a plain window.  Beyond that bound a mergeable sketch cuts each group into slices of
+about equal size; slice totals give every slice its offset, and only the inside of a slice is ever
+sorted by one task.  The sketch only decides where the cuts lie: results are exact either way.
 """
 
 from __future__ import annotations
@@ -12,7 +13,11 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, Window, functions as F
 
 from hearthmap.functions.joins import lookup_join
-from hearthmap.session import slice_count
+from hearthmap.session import materialise, slice_count
+
+# Rows that one task may sort.
+WINDOW_ROWS = 1_000_000
+SliceFilter = Callable[[DataFrame], DataFrame]
 
 
 def running_totals(
@@ -20,7 +25,8 @@ def running_totals(
     value: str,
     sums: list[str],
     by: list[str] | None = None,
-    only: Callable[[DataFrame], DataFrame] | None = None,
+    only: SliceFilter | None = None,
+    window_rows: int = WINDOW_ROWS,
 ) -> DataFrame:
     """Inclusive running totals of ``sums`` in ``value`` order within ``by``.
 
@@ -29,41 +35,65 @@ def running_totals(
     slices of interest are sorted.
     """
     by = by or []
-    n = slice_count(counts.sparkSession)
-    probs = F.array(*[F.lit(i / n) for i in range(1, n)])
-    cuts = counts.groupBy(*by).agg(F.percentile_approx(value, probs, F.lit(50 * n)).alias("_cuts"))
-    # Without groups the cut table is a single row.
-    cut_rows = lookup_join(counts, cuts, by) if by else counts.crossJoin(F.broadcast(cuts))
-    sliced = cut_rows.withColumn(
-        "_slice", F.size(F.filter("_cuts", lambda cut: cut < F.col(value)))
-    ).drop("_cuts")
-
-    totals = sliced.groupBy(*by, "_slice").agg(*[F.sum(s).alias(f"slice_{s}") for s in sums])
-    # At most `n` rows per group here.
-    if by:
-        over = Window.partitionBy(*by)
+    table = materialise(counts)
+    if table.count() <= window_rows:
+        totals = _single_slice(table, sums, by)
+        slice_keys = by
     else:
-        over = Window.partitionBy(F.lit(0))
-    upto = over.orderBy("_slice").rowsBetween(Window.unboundedPreceding, -1)
-    for s in sums:
-        totals = totals.withColumn(
-            f"before_{s}", F.coalesce(F.sum(f"slice_{s}").over(upto), F.lit(0))
-        ).withColumn(f"all_{s}", F.sum(f"slice_{s}").over(over))
+        table, totals = _slices(table, value, sums, by)
+        slice_keys = [*by, "_slice"]
     if only is not None:
         totals = only(totals)
-    inside = Window.partitionBy(*by, "_slice").orderBy(value).rowsBetween(
+    if slice_keys:
+        joined = lookup_join(table, totals, slice_keys, "inner", salts=1)
+    else:
+        joined = table.crossJoin(F.broadcast(totals))  # a single row
+    inside = _over(slice_keys).orderBy(value).rowsBetween(
         Window.unboundedPreceding, Window.currentRow
     )
-    joined = lookup_join(sliced, totals, [*by, "_slice"], "inner", salts=1)
-    for s in sums:
-        joined = joined.withColumn(f"cum_{s}", F.col(f"before_{s}") + F.sum(s).over(inside))
-    return joined.drop(
-        "_slice", *[f"slice_{s}" for s in sums], *[f"before_{s}" for s in sums]
+    running = {f"cum_{s}": F.col(f"before_{s}") + F.sum(s).over(inside) for s in sums}
+    scratch = [f"slice_{s}" for s in sums] + [f"before_{s}" for s in sums]
+    return joined.withColumns(running).drop("_slice", *scratch)
+
+
+def _over(keys: list[str]):
+    return Window.partitionBy(*keys) if keys else Window.partitionBy(F.lit(0))
+
+
+def _single_slice(table: DataFrame, sums: list[str], by: list[str]) -> DataFrame:
+    """Slice table in which every group is one slice."""
+    totals = table.groupBy(*by).agg(*[F.sum(s).alias(f"slice_{s}") for s in sums])
+    return totals.select(
+        "*",
+        *[F.lit(0).alias(f"before_{s}") for s in sums],
+        *[F.col(f"slice_{s}").alias(f"all_{s}") for s in sums],
     )
 
 
+def _slices(table: DataFrame, value: str, sums: list[str], by: list[str]):
+    """Rows with their slice number, and the slice table with offsets and group totals."""
+    n = slice_count(table.sparkSession)
+    probs = F.array(*[F.lit(i / n) for i in range(1, n)])
+    cuts = table.groupBy(*by).agg(F.percentile_approx(value, probs, F.lit(50 * n)).alias("_cuts"))
+    # without groups the cut table is a single row
+    with_cuts = lookup_join(table, cuts, by) if by else table.crossJoin(F.broadcast(cuts))
+    sliced = with_cuts.withColumn(
+        "_slice", F.size(F.filter("_cuts", lambda cut: cut < F.col(value)))
+    ).drop("_cuts")
+    totals = sliced.groupBy(*by, "_slice").agg(*[F.sum(s).alias(f"slice_{s}") for s in sums])
+    # at most `n` rows per group here
+    upto = _over(by).orderBy("_slice").rowsBetween(Window.unboundedPreceding, -1)
+    offsets = {f"before_{s}": F.coalesce(F.sum(f"slice_{s}").over(upto), F.lit(0)) for s in sums}
+    alls = {f"all_{s}": F.sum(f"slice_{s}").over(_over(by)) for s in sums}
+    return sliced, totals.withColumns(offsets | alls)
+
+
 def exact_quantiles(
-    df: DataFrame, value: str, probs: dict[str, float], by: list[str] | None = None
+    df: DataFrame,
+    value: str,
+    probs: dict[str, float],
+    by: list[str] | None = None,
+    window_rows: int = WINDOW_ROWS,
 ) -> DataFrame:
     """Exact linear-interpolation quantiles, one row per group, one column per probability."""
     by = by or []
@@ -85,7 +115,7 @@ def exact_quantiles(
         return slices.withColumn("_ranks", wanted).where(F.size("_ranks") > 0)
 
     hits = (
-        running_totals(counts, "_v", ["_n"], by, holding_a_rank)
+        running_totals(counts, "_v", ["_n"], by, holding_a_rank, window_rows)
         .withColumn("_rank", F.explode("_ranks"))
         .where((F.col("_rank") < F.col("cum__n")) & (F.col("_rank") >= F.col("cum__n") - F.col("_n")))
     )
@@ -97,5 +127,6 @@ def exact_quantiles(
     for name, place in places.items():
         low, high = at(F.floor(place)), at(F.ceil(place))
         part = F.max(place - F.floor(place))
-        quantiles.append((low * (1 - part) + high * part).alias(name))
+        between = low * (1 - part) + high * part
+        quantiles.append(F.when(low == high, low).otherwise(between).alias(name))
     return hits.groupBy(*by).agg(*quantiles)

@@ -35,7 +35,7 @@ COMPARISONS = [
 
 def hotspot_tests(areas: DataFrame) -> DataFrame:
     """Every test of hotspots against elsewhere: one row per subset, test and measure."""
-    groups = materialise(hotspot_groups(areas))
+    groups = materialise(hotspot_groups(materialise(areas)))
     subsets = {
         "all": groups,
         "no outliers": without_areas(groups, "LSOA21CD"),

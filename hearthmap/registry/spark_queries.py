@@ -16,6 +16,7 @@ from hearthmap.constants import (
     HOTSPOT_LEVELS,
     HOTSPOTS,
     RX_ENGLAND,
+    RX_SCOTLAND,
     SCOTLAND_AGE_MAX,
     england_age_columns,
     scotland_age_columns,
@@ -60,13 +61,22 @@ def rounded(df: DataFrame, *columns: str, digits: int = 4) -> DataFrame:
     return df.withColumns({c: rnd(f"`{c}`", digits) for c in columns})
 
 
+def _areas(spark: SparkSession, sf: str) -> DataFrame:
+    """Area table, written once because its users read it several times."""
+    return materialise(S.areas(spark, sf))
+
+
 # ---------------------------------------------------------------- sources and sinks
 
 
-def _landed_line_files(spark: SparkSession, sf: str, layout: str) -> str:
-    """Line items landed as prescribing CSV files, by code and year or by month."""
-    line = S.table(spark, sf, "lineitem")
-    rows = line.select(
+def _spread(spark: SparkSession, column: str) -> Column:
+    """Second partitioning key, so that a busy file has several writers."""
+    return F.pmod(F.xxhash64(column), F.lit(salt_count(spark)))
+
+
+def _landed_code_files(spark: SparkSession, sf: str) -> str:
+    """Line items landed as prescribing CSV files by code and year."""
+    rows = S.table(spark, sf, "lineitem").select(
         F.col("l_linenumber").cast("string").alias("ccg"),
         F.concat(F.lit("P"), "l_suppkey").alias("row_id"),
         F.concat(F.lit("Practice "), "l_suppkey").alias("row_name"),
@@ -76,21 +86,41 @@ def _landed_line_files(spark: SparkSession, sf: str, layout: str) -> str:
         F.col("l_linestatus").alias("setting"),
         F.to_date("l_shipdate").alias("date"),
         F.col("l_returnflag").alias("code"),
-        F.trunc("l_shipdate", "year" if layout == "code" else "month").alias("month"),
-    )
-    keys = ["code", "month"] if layout == "code" else ["month"]
-    if layout != "code":
-        rows = rows.drop("code").withColumn("month", F.date_format("month", "yyyyMM"))
-    path = new_shared_path(spark, f"landed-{layout}")
-    # a busy file is split over several writers
-    spread = F.pmod(F.xxhash64("row_id"), F.lit(salt_count(spark)))
-    rows.repartition(*keys, spread).write.partitionBy(*keys).option("header", True).csv(path)
+        F.trunc("l_shipdate", "year").alias("month"),
+    )
+    path = new_shared_path(spark, "landed-codes")
+    rows.repartition("code", "month", _spread(spark, "row_id")).write.partitionBy(
+        "code", "month"
+    ).option("header", True).csv(path)
+    return path
+
+
+def _landed_month_files(spark: SparkSession, sf: str) -> str:
+    """Prescribing facts landed as monthly CSV files."""
+    none = F.lit(None).cast("string")
+    rows = S.rx(spark, sf).select(
+        none.alias("HBT"),
+        F.col("practice").alias("GPPractice"),
+        none.alias("DMDCode"),
+        F.col("code").alias("BNFItemCode"),
+        none.alias("BNFItemDescription"),
+        none.alias("PrescribedType"),
+        F.col("items").alias("NumberOfPaidItems"),
+        F.col("quantity").alias("PaidQuantity"),
+        F.col("cost").alias("GrossIngredientCost"),
+        F.date_format("month", "yyyyMM").alias("PaidDateMonth"),
+        F.date_format("month", "yyyyMM").alias("month"),
+    )
+    path = new_shared_path(spark, "landed-months")
+    rows.repartition("month", _spread(spark, "GPPractice")).write.partitionBy("month").option(
+        "header", True
+    ).csv(path)
     return path
 
 
 @query
 def s1_manifest_scan(spark, sf):
-    path = _landed_line_files(spark, sf, "code")
+    path = _landed_code_files(spark, sf)
     span = S.table(spark, sf, "lineitem").agg(
         F.year(F.min("l_shipdate")), F.year(F.max("l_shipdate"))
     ).first()
@@ -106,16 +136,18 @@ def s1_manifest_scan(spark, sf):
 
 @query
 def s2_monthly_filter(spark, sf):
-    path = _landed_line_files(spark, sf, "month")
-    line = S.table(spark, sf, "lineitem")
-    low, high = line.agg(F.min("l_shipdate"), F.max("l_shipdate")).first()
+    path = _landed_month_files(spark, sf)
+    low, high = S.table(spark, sf, "lineitem").agg(F.min("l_shipdate"), F.max("l_shipdate")).first()
     count = (high.year - low.year) * 12 + high.month - low.month + 1
     months = scans.study_months((low.year, low.month), count)
-    rows = scans.scan_months(
-        spark, path + "/month={month}", months, RX_ENGLAND, F.col("row_id").startswith("P1")
-    )
-    return rows.groupBy("row_id", F.trunc("date", "month").alias("month")).agg(
-        F.count(F.lit(1)).alias("n"), rnd(F.sum("quantity")).alias("quantity")
+    wanted = classes.any_class("BNFItemCode", S.CLASSES)
+    rows = scans.scan_months(spark, path + "/month={month}", months, RX_SCOTLAND, wanted)
+    return rows.groupBy(
+        "BNFItemCode", scans.month_start(F.col("PaidDateMonth")).alias("month")
+    ).agg(
+        F.count(F.lit(1)).alias("n"),
+        rnd(F.sum("PaidQuantity")).alias("quantity"),
+        rnd(F.sum("GrossIngredientCost"), 2).alias("cost"),
     )
 
 
@@ -410,7 +442,7 @@ def a12_pivot_fill0(spark, sf):
 
 @query
 def a13_quartile(spark, sf):
-    return bins.quantile_bins(S.areas(spark, sf), {"bin": ("LSOA_incmedian", 4)}).select(
+    return bins.quantile_bins(_areas(spark, sf), {"bin": ("LSOA_incmedian", 4)}).select(
         "LSOA21CD", "bin"
     )
 
@@ -418,7 +450,7 @@ def a13_quartile(spark, sf):
 @query
 def a13_decile(spark, sf):
     table = bins.quantile_bins(
-        S.areas(spark, sf), {"decile": ("LSOA_FPmean", 10), "fifth": ("LSOA_FPmean", 5)}
+        _areas(spark, sf), {"decile": ("LSOA_FPmean", 10), "fifth": ("LSOA_FPmean", 5)}
     )
     return table.select("LSOA21CD", "decile", "fifth")
 
@@ -450,7 +482,7 @@ def o1_head(spark, sf):
 @query
 def o2_group_order(spark, sf):
     return rounded(
-        hotspots.groups_by_median(S.areas(spark, sf), "classification", "inhaler_prv"), "median", digits=6
+        hotspots.groups_by_median(_areas(spark, sf), "classification", "inhaler_prv"), "median", digits=6
     )
 
 
@@ -619,7 +651,7 @@ def d10_age_table(spark, sf):
 
 def _analysis(spark, sf):
     return hotspots.analysis_table(
-        S.areas(spark, sf), S.area_ages(spark, sf), S.urban_rural(spark, sf)
+        _areas(spark, sf), S.area_ages(spark, sf), S.urban_rural(spark, sf)
     )
 
 
@@ -637,7 +669,7 @@ def d11_analysis_table(spark, sf):
 
 
 def _groups(spark, sf):
-    return hotspots.hotspot_groups(S.areas(spark, sf))
+    return materialise(hotspots.hotspot_groups(_areas(spark, sf)))
 
 
 @query
@@ -708,7 +740,7 @@ BOX = ["q1", "median", "q3", "lower_whisker", "upper_whisker"]
 @query
 def t4_boxstats(spark, sf):
     return rounded(
-        bins.box_stats(S.areas(spark, sf), "LSOA_incmedian", ["classification"]), *BOX
+        bins.box_stats(_areas(spark, sf), "LSOA_incmedian", ["classification"]), *BOX
     )
 
 

@@ -435,9 +435,13 @@ _ONE_COVARIATE = """(SELECT t, count(*) AS n, avg(income) AS mx, avg(y) AS my, r
 ORACLE: dict[str, str] = {
     "s1_manifest_scan": """SELECT l_returnflag AS bnf_code, CAST(year(l_shipdate) AS INT) AS year, count(*) AS n,
         round(sum(l_quantity), 4) AS quantity, round(sum(l_extendedprice), 2) AS cost FROM lineitem GROUP BY 1, 2""",
-    "s2_monthly_filter": """SELECT 'P' || l_suppkey AS row_id, CAST(date_trunc('month', l_shipdate) AS DATE) AS month,
-        count(*) AS n, round(sum(l_quantity), 4) AS quantity FROM lineitem
-        WHERE starts_with('P' || l_suppkey, 'P1') GROUP BY 1, 2""",
+    "s2_monthly_filter": sql(
+        "SELECT code AS BNFItemCode, month, count(*) AS n, round(sum(quantity), 4) AS quantity, "
+        "round(sum(cost), 2) AS cost FROM rx WHERE "
+        + " OR ".join(class_test(c) for c in CLASSES)
+        + " GROUP BY 1, 2",
+        "rx",
+    ),
     "s5_landed_sheet": """SELECT s_suppkey + 4 AS _row, CAST(s_suppkey AS VARCHAR) AS c1, s_name AS c2,
         CAST(s_nationkey AS VARCHAR) AS c3, CAST(s_acctbal AS VARCHAR) AS c4 FROM supplier
         UNION ALL SELECT * FROM (VALUES (1, 'Suppliers', NULL, NULL, NULL), (2, 'All regions', NULL, NULL, NULL),

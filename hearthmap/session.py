@@ -18,6 +18,7 @@ def local_session(cores: str = "8", app: str = "hearthmap", **conf: str) -> Spar
         .config("spark.sql.session.timeZone", "UTC")
         .config("spark.sql.execution.arrow.pyspark.enabled", "true")
         .config("spark.ui.enabled", "false")
+        .config("spark.ui.showConsoleProgress", "false")
         .config("spark.driver.memory", "12g")
     )
     for key, value in conf.items():
@@ -51,9 +52,15 @@ def new_shared_path(spark: SparkSession, name: str) -> str:
 
 
 def materialise(df: DataFrame) -> DataFrame:
-    """Cut lineage durably: survives the loss of any executor."""
-    shared_dir(df.sparkSession)
-    return df.checkpoint(eager=True)
+    """Write ``df`` once to the shared folder and go on from the written table.
+
+    Cuts lineage durably (an executor can be lost at any time) and computes the input exactly once;
+    unlike an RDD checkpoint the table keeps column pruning, filter pushdown and size statistics.
+    """
+    spark = df.sparkSession
+    path = new_shared_path(spark, "table")
+    df.write.parquet(path)
+    return spark.read.schema(df.schema).parquet(path)
 
 
 def shuffle_width(spark: SparkSession) -> int:
