@@ -54,7 +54,8 @@ def classify_codes(
     The pre-filter reaches the scan; a code in two classes yields two rows.
     """
     tags = F.array(*[F.when(c.matches(code), F.lit(c.label)) for c in classes])
-    return fact.where(any_class(code, classes)).withColumn(label, F.explode(F.array_compact(tags)))
+    tagged = fact.where(any_class(code, classes)).withColumn(label, F.explode(tags))
+    return tagged.where(F.col(label).isNotNull())
 
 
 def relabel(df: DataFrame, labels: dict[str, str], label: str = "drug_type") -> DataFrame:

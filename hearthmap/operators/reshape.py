@@ -58,8 +58,13 @@ def crosstab_column_share(
 def to_long(
     df: DataFrame, ids: list[str], values: list[str], name: str = "name", value: str = "value"
 ) -> DataFrame:
-    """Wide to long, one row per value column."""
-    return df.unpivot(ids, values, name, value)
+    """Wide to long, one row per value column (all of one type)."""
+    cells = ", ".join(f"'{_quoted(c)}', `{c}`" for c in values)
+    return df.select(*ids, F.expr(f"stack({len(values)}, {cells}) AS (`{name}`, `{value}`)"))
+
+
+def _quoted(text: str) -> str:
+    return text.replace("\\", "\\\\").replace("'", "\\'")
 
 
 def to_wide(
@@ -110,20 +115,31 @@ def age_band(label: Column | str, oldest: int, sexed: bool) -> Column:
     )
 
 
-def _band_columns(long: DataFrame, key: str) -> DataFrame:
-    """Sum the long table into band columns and shares in one aggregate.
+def band_of(label: str, oldest: int, sexed: bool) -> str | None:
+    """Band of one age label; the same rule as :func:`age_band` for a column name."""
+    if label == ("Total" if sexed else "All people"):
+        return "Total"
+    if not sexed and label in ("Under 1", "100 and over"):
+        return "<=17" if label == "Under 1" else "65+"
+    digits = label[1:] if sexed and label[:1] in ("F", "M") else label
+    if not digits.isdigit() or (sexed and digits == label):
+        return None
+    age = int(digits)
+    if age > oldest or (age == 0 and not sexed):
+        return None
+    return "<=17" if age <= YOUNG_MAX else "65+" if age >= SENIOR_MIN else "18-64"
 
-    A band without any row stays NULL; a band with a NULL value is NULL.
-    """
-    sums = []
-    for band in AGE_BANDS:
-        hit = F.col("_band") == band
-        rows = F.count(F.when(hit, F.lit(1)))
-        known = F.count(F.when(hit, F.col("_value")))
-        sums.append(
-            F.when((rows > 0) & (rows == known), F.sum(F.when(hit, F.col("_value")))).alias(band)
-        )
-    wide = long.groupBy(key).agg(*sums)
+
+def _by_band(columns: list[str], oldest: int, sexed: bool) -> dict[str, list[str]]:
+    found: dict[str, list[str]] = {band: [] for band in AGE_BANDS}
+    for c in columns:
+        band = band_of(c, oldest, sexed)
+        if band is not None:
+            found[band].append(c)
+    return found
+
+
+def _with_band_shares(wide: DataFrame) -> DataFrame:
     return (
         wide.withColumn("young_perc", ratio("`<=17`", "Total"))
         .withColumn("wa_perc", ratio("`18-64`", "Total"))
@@ -132,10 +148,19 @@ def _band_columns(long: DataFrame, key: str) -> DataFrame:
 
 
 def england_age_bands(sheet: DataFrame, key: str, age_columns: list[str]) -> DataFrame:
-    """Single-year, single-sex sheet to three bands, total and shares."""
-    long = to_long(sheet.select(key, *age_columns), [key], age_columns, "_age", "_value")
-    banded = long.withColumn("_band", age_band("_age", ENGLAND_AGE_MAX, sexed=True))
-    return _band_columns(banded.withColumn("_value", F.col("_value").cast("double")), key)
+    """Single-year, single-sex sheet to three bands, total and shares.
+
+    The labels are column names, so bands are added up across columns: no row is multiplied.  A
+    missing value makes its band NULL.
+    """
+    bands = _by_band(age_columns, ENGLAND_AGE_MAX, sexed=True)
+    sums = [
+        strict_sum(
+            F.aggregate(_numbers(columns), F.lit(0.0), lambda total, v: total + v)
+        ).alias(band)
+        for band, columns in bands.items()
+    ]
+    return _with_band_shares(sheet.groupBy(key).agg(*sums))
 
 
 def scotland_age_bands(
@@ -143,19 +168,27 @@ def scotland_age_bands(
 ) -> DataFrame:
     """Output-area sheet of text counts to bands per zone.
 
-    '-' is zero, unreadable values are dropped, output areas without a zone form the NULL zone.
-    Output areas are unique sheet rows, so the band sums go straight to the zone: one aggregate.
+    '-' is zero, unreadable values are dropped (a band without any readable value is NULL), output
+    areas without a zone form the NULL zone.  Columns are added up before the lookup join, then one
+    aggregate per zone: the two sums of the hierarchy are one.
     """
     ages = [c for c in sheet.columns if c != key]
-    text = sheet.select(key, *[F.col(f"`{c}`").cast("string").alias(c) for c in ages])
-    located = lookup_join(text, lookup.select(lookup_key, zone), [(key, lookup_key)], salts=1)
-    long = to_long(located.select(zone, *ages), [zone], ages, "_age", "_text")
-    banded = (
-        long.withColumn("_value", to_number(dash_to_zero("_text")))
-        .where(F.col("_value").isNotNull())
-        .withColumn("_band", age_band("_age", SCOTLAND_AGE_MAX, sexed=False))
-    )
-    return _band_columns(banded, zone).withColumnRenamed(zone, out)
+    partial = []
+    for i, columns in enumerate(_by_band(ages, SCOTLAND_AGE_MAX, sexed=False).values()):
+        texts = F.array(*[F.col(f"`{c}`") for c in columns]).cast("array<string>")
+        readable = F.array_compact(F.transform(texts, lambda t: to_number(dash_to_zero(t))))
+        partial.append(F.aggregate(readable, F.lit(0.0), lambda total, v: total + v).alias(f"_s{i}"))
+        partial.append(F.size(readable).alias(f"_n{i}"))
+    added = sheet.select(key, *partial)
+    located = lookup_join(added, lookup.select(lookup_key, zone), [(key, lookup_key)], salts=1)
+    sums = [
+        F.when(F.sum(f"_n{i}") > 0, F.sum(f"_s{i}")).alias(band) for i, band in enumerate(AGE_BANDS)
+    ]
+    return _with_band_shares(located.groupBy(F.col(zone).alias(out)).agg(*sums))
+
+
+def _numbers(columns: list[str]) -> Column:
+    return F.array(*[F.col(f"`{c}`") for c in columns]).cast("array<double>")
 
 
 def age_band_quality(long_labels: DataFrame, label: str, oldest: int, sexed: bool) -> DataFrame:

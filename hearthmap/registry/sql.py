@@ -6,6 +6,8 @@ from hearthmap.constants import HOTSPOT_LEVELS
 from hearthmap.standins import CLASSES, LABELS, OCCUPANCY
 
 MEASURES = ["items", "quantity", "cost"]
+# keeps exact halves from being rounded differently
+NUDGE = 1.3e-6
 RATES = {
     "inhaler": "inhaler_prv",
     "antidep": "antidep_prv",
@@ -268,7 +270,8 @@ def _apportioned(
 
 def _two_step(faithful: bool) -> str:
     per_zone = ", ".join(
-        f"round({m}, 4) AS {m}, round({m} * locality_share, 4) AS {m}_per_zone" for m in MEASURES
+        f"round({m} + {NUDGE}, 4) AS {m}, round({m} * locality_share + {NUDGE}, 4) AS {m}_per_zone"
+        for m in MEASURES
     )
     keep = "" if faithful else "WHERE item IS NOT NULL"
     return sql(
@@ -453,7 +456,7 @@ ORACLE: dict[str, str] = {
     "k2_drop_index": "SELECT * FROM nation",
     "p2_drop_range": "SELECT p_partkey, p_name, p_brand FROM part",
     "p3_rename": "SELECT n_nationkey AS oa_code, n_name AS zone_name, n_regionkey FROM nation",
-    "p5_ratio": "SELECT l_partkey, round(sum(l_tax) / nullif(sum(l_discount), 0), 6) AS tax_per_discount FROM lineitem GROUP BY 1",
+    "p5_ratio": "SELECT l_partkey, round(sum(l_tax) / nullif(sum(l_discount), 0), 9) AS tax_per_discount FROM lineitem GROUP BY 1",
     "p7_case": sql(
         "SELECT LSOA21CD, CASE WHEN classification IN ('Very hot', 'Hot') THEN 'Hotspots' ELSE 'Elsewhere' END AS top_or_not FROM areas",
         "areas",
@@ -581,9 +584,9 @@ ORACLE: dict[str, str] = {
     "d4b_two_step_clean": _two_step(False),
     "d4c_parent_check": sql("SELECT practice, practice_parent, zone_parent, CASE WHEN practice_parent = zone_parent THEN 1 ELSE 0 END AS parent_check FROM placed", "placed"),
     "d5_locality": sql(
-        f"""SELECT area_name, patients, locality_name, locality_population, round(patients / nullif(locality_population, 0), 4) AS locality_share,
-          tt.locality_code AS code, drug_type, {rounded(MEASURES)},
-          {", ".join(f"round({m} * (patients / nullif(locality_population, 0)), 4) AS {m}_per_area" for m in MEASURES)}
+        f"""SELECT area_name, patients, locality_name, locality_population, round(patients / nullif(locality_population, 0) + {NUDGE}, 4) AS locality_share,
+          tt.locality_code AS code, drug_type, {", ".join(f"round({m} + {NUDGE}, 4) AS {m}" for m in MEASURES)},
+          {", ".join(f"round({m} * (patients / nullif(locality_population, 0)) + {NUDGE}, 4) AS {m}_per_area" for m in MEASURES)}
         FROM (SELECT *, sum(patients) OVER (PARTITION BY locality_name) AS locality_population,
               'C' || n_nationkey AS code FROM areas_shared LEFT JOIN nation ON locality_name = n_name) s
         RIGHT JOIN (SELECT drug_type, locality_code, {_SUMS} FROM ({_TAGGED.replace("{}", "locality_rx")}) GROUP BY 1, 2) tt

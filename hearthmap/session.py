@@ -19,6 +19,7 @@ def local_session(cores: str = "8", app: str = "hearthmap", **conf: str) -> Spar
         .config("spark.sql.execution.arrow.pyspark.enabled", "true")
         .config("spark.ui.enabled", "false")
         .config("spark.ui.showConsoleProgress", "false")
+        .config("spark.python.sql.dataFrameDebugging.enabled", "false")
         .config("spark.driver.memory", "12g")
     )
     for key, value in conf.items():

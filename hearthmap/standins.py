@@ -235,7 +235,7 @@ def age_sheet(spark: SparkSession, sf: str, columns: list[str]) -> DataFrame:
         .pivot("label", columns)
         .agg(F.sum("n"))
         .fillna(0)
-        .withColumn("Total", sum((F.col(c) for c in columns), F.lit(0)))
+        .withColumn("Total", F.expr(" + ".join(columns)))
     )
 
 
@@ -247,13 +247,12 @@ def output_area_sheet(spark: SparkSession, sf: str, columns: list[str]) -> DataF
     )
     years = [c for c in columns if c not in AGE_LABELS]
     wide = cells.groupBy("o_custkey").pivot("label", years).agg(F.sum("n"))
-    total = sum((F.coalesce(F.col(c), F.lit(0)) for c in years), F.lit(0))
-    return wide.select(
-        F.concat(F.lit("OA"), "o_custkey").alias("oa_code"),
-        total.alias("All people"),
-        F.lit("-").alias("Under 1"),
-        *[F.coalesce(F.col(c).cast("string"), F.lit("-")).alias(c) for c in years],
-        F.lit("-").alias("100 and over"),
+    return wide.selectExpr(
+        "concat('OA', o_custkey) AS oa_code",
+        " + ".join(f"coalesce(`{c}`, 0)" for c in years) + " AS `All people`",
+        "'-' AS `Under 1`",
+        *[f"coalesce(CAST(`{c}` AS string), '-') AS `{c}`" for c in years],
+        "'-' AS `100 and over`",
     )
 
 
