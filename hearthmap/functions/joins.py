@@ -24,6 +24,7 @@ def _salted_sides(many: DataFrame, lookup: DataFrame, on: Keys, salts: int | Non
     salts = salts or salt_count(many.sparkSession)
     pairs = _pairs(on)
     key_names = {b: f"_key{i}" for i, (_, b) in enumerate(pairs)}
+    # under new names, so that a key of the same name on both sides stays apart
     right = lookup.withColumnsRenamed(key_names)
     left = many
     condition = [F.col(a).eqNullSafe(F.col(key_names[b])) for a, b in pairs]

@@ -7,6 +7,8 @@ from functools import reduce
 
 from pyspark.sql import Column, DataFrame, functions as F
 
+from hearthmap.functions.joins import lookup_join
+
 
 @dataclass(frozen=True)
 class DrugClass:
@@ -31,12 +33,27 @@ def code_list(df: DataFrame, column: str) -> DataFrame:
     return df.select(column).distinct()
 
 
+# Longest list that is put into the query text; longer ones are joined.
+MAX_LISTED = 10_000
+
+
 def class_from_list(label: str, codes: DataFrame, column: str) -> DrugClass:
-    """Class from a published code list (a lookup of a few thousand codes at most)."""
-    rows = code_list(codes, column).where(F.col(column).isNotNull()).collect()
+    """Class from a published code list of checked size."""
+    listed = code_list(codes, column).where(F.col(column).isNotNull())
+    rows = listed.limit(MAX_LISTED + 1).collect()
+    if len(rows) > MAX_LISTED:
+        raise ValueError(f"more than {MAX_LISTED} codes for {label}: use classify_by_listing")
     return DrugClass(label, codes=tuple(sorted(r[0] for r in rows)))
 
 
+def classify_by_listing(
+    fact: DataFrame, code: str, listing: DataFrame, listed_code: str, label: str = "drug_type"
+) -> DataFrame:
+    """As :func:`classify_codes` for listings of any size: one row per (code, class) to join."""
+    pairs = listing.select(F.col(listed_code), F.col(label)).where(F.col(listed_code).isNotNull())
+    return lookup_join(fact, pairs.distinct(), [(code, listed_code)], "inner")
+
+
 def any_class(code: str, classes: list[DrugClass]) -> Column:
     """The code belongs to at least one class."""
     return reduce(Column.__or__, [c.matches(code) for c in classes])

@@ -13,14 +13,14 @@ driver, which decides what an edge between two chunks needs:
 * treated wait at the edge and no control above it is left: from here on controls are handed out
   strictly first come, first served, so the next chunk only needs the number of waiting units, and
   those pairs come from a join on queue numbers;
-* anything else: the two chunks are swept together.
+* anything else: the two chunks are swept together, as one stream of sorted rows.
 """
 
 from __future__ import annotations
 
 from collections import deque
-from collections.abc import Iterable
-from dataclasses import dataclass, field, replace
+from collections.abc import Iterable, Iterator
+from dataclasses import dataclass, replace
 
 import pandas as pd
 from pyspark.ml.feature import VectorAssembler
@@ -79,91 +79,96 @@ def propensity_score(
         labelCol="_label",
         predictionCol=out,
         maxIter=50,
-        tol=1e-12,
+        tol=1e-10,
     ).fit(vectors)
     return model.transform(vectors).drop("_features", "_label", *names)
 
 
 # ---------------------------------------------------------------- sweep of one stretch of the axis
 
-@dataclass
+
 class Sweep:
-    """Outcome of sweeping one stretch of the axis."""
+    """Matching along falling scores over one stretch, fed one distinct score at a time.
 
-    pairs: list = field(default_factory=list)  # treated score, rank, control score, rank, n
-    taken: list = field(default_factory=list)  # place among carried units, control score, rank, n
-    left: list = field(default_factory=list)  # treated score, rank, n still waiting
-    carried_left: int = 0
-    free_left: int = 0
-    blocked: bool = False
+    ``carried`` older treated are first in the queue (then no control above is free).  ``above`` and
+    ``below`` are the nearest controls outside the stretch, None where there are none to be had.
+    Only the waiting treated and the free controls are held; finished runs can be taken away with
+    :meth:`flush` at any time.
+    """
+
+    def __init__(self, carried: int = 0, above: float | None = None, below: float | None = None):
+        self.carried, self.above, self.below = carried, above, below
+        self.carried_left = carried
+        self.queue: deque = deque()  # waiting treated: score, next rank, number
+        self.free: list = []  # controls above, nearest last: score, next rank, number
+        self.blocked = False
+        self.need = self._surplus = 0
+        self.pairs: list = []  # treated score, rank, control score, rank, n
+        self.taken: list = []  # place among carried units, control score, rank, n
 
     @property
     def waiting(self) -> int:
-        return self.carried_left + sum(n for _, _, n in self.left)
+        return self.carried_left + sum(unit[2] for unit in self.queue)
 
+    @property
+    def free_left(self) -> int:
+        return sum(unit[2] for unit in self.free)
 
-def sweep(
-    axis: Iterable[tuple[float, int, int]],
-    carried: int = 0,
-    above: float | None = None,
-    below: float | None = None,
-) -> Sweep:
-    """Match along falling scores; ``axis`` yields (score, treated, controls).
+    def flush(self) -> tuple[list, list]:
+        done = self.pairs, self.taken
+        self.pairs, self.taken = [], []
+        return done
 
-    ``carried`` older treated are first in the queue (then no control above is free).  ``above`` and
-    ``below`` are the nearest controls outside the stretch, None where there are none to be had.
-    """
-    out = Sweep(carried_left=carried)
-    queue: deque = deque()
-    free: list = []  # controls above, nearest last
-
-    def match(head: list, control: list) -> None:
+    def _match(self, head: list, control: list) -> None:
         n = min(head[2], control[2])
-        out.pairs.append((head[0], head[1], control[0], control[1], n))
+        self.pairs.append((head[0], head[1], control[0], control[1], n))
         for unit in (head, control):
             unit[1] += n
             unit[2] -= n
         if not head[2]:
-            queue.popleft()
-
-    for score, treated, controls in axis:
+            self.queue.popleft()
+        if self.free and not self.free[-1][2]:
+            self.free.pop()
+
+    def step(self, score: float, treated: int, controls: int) -> None:
+        self._surplus += controls - treated
+        self.need = max(self.need, self._surplus)
+        if self.blocked:
+            return
         if treated:
-            queue.append([score, 0, treated])
+            self.queue.append([score, 0, treated])
         here = [score, 0, controls]
-        if out.carried_left and controls:
-            n = min(out.carried_left, controls)
-            out.taken.append((carried - out.carried_left, score, 0, n))
-            out.carried_left -= n
+        if self.carried_left and controls:
+            n = min(self.carried_left, controls)
+            self.taken.append((self.carried - self.carried_left, score, 0, n))
+            self.carried_left -= n
             here = [score, n, controls - n]
-        while here[2] and queue:
-            head = queue[0]
+        while here[2] and self.queue:
+            head = self.queue[0]
             gap = head[0] - score
-            if free and free[-1][0] - head[0] <= gap:
-                match(head, free[-1])
-                if not free[-1][2]:
-                    free.pop()
-            elif not free and above is not None and above - head[0] <= gap:
-                out.blocked = True
-                return out
+            if self.free and self.free[-1][0] - head[0] <= gap:
+                self._match(head, self.free[-1])
+            elif not self.free and self.above is not None and self.above - head[0] <= gap:
+                self.blocked = True
+                return
             else:
-                match(head, here)
+                self._match(head, here)
         if here[2]:
-            free.append(here)
-
-    while queue and not out.carried_left:
-        head = queue[0]
-        reach = free[-1][0] if free else above
-        if reach is None or (below is not None and head[0] - below < reach - head[0]):
-            break
-        if not free:
-            out.blocked = True
-            return out
-        match(head, free[-1])
-        if not free[-1][2]:
-            free.pop()
-    out.left = [tuple(unit) for unit in queue]
-    out.free_left = sum(n for _, _, n in free)
-    return out
+            self.free.append(here)
+
+    def finish(self) -> None:
+        """Give waiting treated the controls above that beat anything below the stretch."""
+        while self.queue and not self.carried_left and not self.blocked:
+            head = self.queue[0]
+            reach = self.free[-1][0] if self.free else self.above
+            if reach is None or (
+                self.below is not None and head[0] - self.below < reach - head[0]
+            ):
+                return
+            if not self.free:
+                self.blocked = True
+                return
+            self._match(head, self.free[-1])
 
 
 # ---------------------------------------------------------------- coordination of the stretches
@@ -251,59 +256,79 @@ def settle(stretches: list[Stretch], eager: bool) -> list[Stretch]:
     return done
 
 
-def _rows_of(pdf: pd.DataFrame):
-    ordered = pdf.sort_values("_s", ascending=False)
-    return zip(ordered["_s"].tolist(), ordered["_nt"].tolist(), ordered["_nc"].tolist())
-
-
 def _optional(value) -> float | None:
-    return None if value is None or pd.isna(value) else float(value)
-
+    return None if pd.isna(value) else float(value)
 
-def _run(pdf: pd.DataFrame) -> Sweep:
-    first = pdf.iloc[0]
-    return sweep(
-        _rows_of(pdf), int(first["_carried"]), _optional(first["_above"]), _optional(first["_below"])
-    )
 
+def _swept(batches: Iterator[pd.DataFrame]) -> Iterator[tuple[dict, Sweep, bool]]:
+    """Sweep sorted rows batch by batch; yields (parameters, sweep, finished).
 
-def _summary(pdf: pd.DataFrame) -> pd.DataFrame:
-    r = _run(pdf)
-    surplus = (pdf["_nc"] - pdf["_nt"])[pdf["_s"].sort_values(ascending=False).index].cumsum()
-    return pd.DataFrame(
-        {
-            "stretch": [int(pdf["_stretch"].iloc[0])],
-            "waiting": [r.waiting],
-            "carried_left": [r.carried_left],
-            "free_left": [r.free_left],
-            "blocked": [r.blocked],
-            "need": [max(0, int(surplus.max()))],
-        }
-    )
+    Rows arrive ordered by stretch and falling score, so no stretch is ever held as a whole.
+    """
+    current, parameters = None, {}
+    for pdf in batches:
+        for stretch, part in pdf.groupby("_stretch", sort=False):
+            if current is None or parameters["_stretch"] != stretch:
+                if current is not None:
+                    current.finish()
+                    yield parameters, current, True
+                parameters = part.iloc[0].to_dict()
+                current = Sweep(
+                    int(parameters["_carried"]),
+                    _optional(parameters["_above"]),
+                    _optional(parameters["_below"]),
+                )
+            for row in zip(part["_s"].tolist(), part["_nt"].tolist(), part["_nc"].tolist()):
+                current.step(*row)
+            yield parameters, current, False
+    if current is not None:
+        current.finish()
+        yield parameters, current, True
+
+
+def _summaries(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    for parameters, r, finished in _swept(batches):
+        r.flush()
+        if finished:
+            yield pd.DataFrame(
+                {
+                    "stretch": [int(parameters["_stretch"])],
+                    "waiting": [r.waiting],
+                    "carried_left": [r.carried_left],
+                    "free_left": [r.free_left],
+                    "blocked": [r.blocked],
+                    "need": [r.need],
+                }
+            )
 
 
-def _segments(pdf: pd.DataFrame) -> pd.DataFrame:
+def _segments(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
     """Pairs, controls handed to carried units and units left waiting, as runs of ranks."""
-    r = _run(pdf)
-    first = pdf.iloc[0]
-    stretch, chain, head = int(first["_stretch"]), int(first["_chain"]), int(first["_head"])
-    rows = [("pair", 0, 0, ts, tr, cs, cr, n) for ts, tr, cs, cr, n in r.pairs]
-    rows += [("taken", chain, head + at, None, None, cs, cr, n) for at, cs, cr, n in r.taken]
-    if r.carried_left:
-        number = head + int(first["_carried"])
-    else:
-        chain, number = stretch, 0
-    for ts, tr, n in r.left:
-        rows.append(("left", chain, number, ts, tr, None, None, n))
-        number += n
-    pieces = [
+    for parameters, r, finished in _swept(batches):
+        stretch = int(parameters["_stretch"])
+        chain, head = int(parameters["_chain"]), int(parameters["_head"])
+        pairs, taken = r.flush()
+        rows = [("pair", 0, 0, ts, tr, cs, cr, n) for ts, tr, cs, cr, n in pairs]
+        rows += [("taken", chain, head + at, None, None, cs, cr, n) for at, cs, cr, n in taken]
+        if finished:
+            queue, number = (chain, head + r.carried) if r.carried_left else (stretch, 0)
+            for ts, tr, n in r.queue:
+                rows.append(("left", queue, number, ts, tr, None, None, n))
+                number += n
+        if rows:
+            yield _pieces(rows)
+
+
+def _pieces(rows: list) -> pd.DataFrame:
+    """Runs as a frame, long ones cut so that no single row stands for very many pairs."""
+    cut = [
         (kind, chain, at + i, ts, None if tr is None else tr + i, cs, None if cr is None else cr + i, min(SEGMENT, n - i))
         for kind, chain, at, ts, tr, cs, cr, n in rows
         for i in range(0, n, SEGMENT)
     ]
     names = ["kind", "chain", "at", "ts", "tr", "cs", "cr", "n"]
     types = ["str", "int64", "int64", "float64", "Int64", "float64", "Int64", "int64"]
-    return pd.DataFrame(pieces, columns=names).astype(dict(zip(names, types)))
+    return pd.DataFrame(cut, columns=names).astype(dict(zip(names, types)))
 
 
 SUMMARY_SCHEMA = (
@@ -339,8 +364,11 @@ class _Axis:
         found = [s for s in found if s is not None]
         return pick(found) if found else None
 
-    def with_parameters(self, stretches: list[Stretch], numbering: dict | None = None) -> DataFrame:
-        """Axis rows of the given stretches with their parameters (one small row per chunk)."""
+    def in_order(self, stretches: list[Stretch], numbering: dict | None = None) -> DataFrame:
+        """Axis rows of the given stretches with their parameters, each stretch in one sorted run.
+
+        Sorting spills; the sweep then reads the run as a stream.
+        """
         lowest, highest = min(self.chunks), max(self.chunks)
         rows = []
         for s in stretches:
@@ -355,7 +383,10 @@ class _Axis:
             "_chain bigint, _head bigint",
         )
         # bounded: one row per chunk
-        return self.runs.join(F.broadcast(parameters), "_chunk")
+        rows = self.runs.join(F.broadcast(parameters), "_chunk")
+        return rows.repartition(len(stretches), "_stretch").sortWithinPartitions(
+            "_stretch", F.col("_s").desc()
+        )
 
 
 def _settled_stretches(axis: _Axis) -> list[Stretch]:
@@ -364,9 +395,7 @@ def _settled_stretches(axis: _Axis) -> list[Stretch]:
     while True:
         stale = [s for s in stretches if not s.fresh]
         if stale:
-            rows = axis.with_parameters(stale).groupBy("_stretch").applyInPandas(
-                _summary, SUMMARY_SCHEMA
-            )
+            rows = axis.in_order(stale).mapInPandas(_summaries, SUMMARY_SCHEMA)
             by_first = {r["stretch"]: r.asDict() for r in rows.collect()}
             for i, s in enumerate(stretches):
                 if not s.fresh:
@@ -443,9 +472,7 @@ def nearest_pairs(
         ).withColumnRenamed("_s", "gap")
     stretches = _settled_stretches(axis)
     segments = materialise(
-        axis.with_parameters(stretches, _queue_numbers(stretches))
-        .groupBy("_stretch")
-        .applyInPandas(_segments, SEGMENT_SCHEMA)
+        axis.in_order(stretches, _queue_numbers(stretches)).mapInPandas(_segments, SEGMENT_SCHEMA)
     )
     step = F.explode(F.sequence(F.lit(0), (F.col("n") - 1).cast("int"))).alias("i")
     single = segments.select("*", step)

@@ -342,10 +342,10 @@ def j4_full_nullsafe(spark, sf):
 
 @query
 def j5_grid(spark, sf):
+    """Request grid: every code with every month of a twelve-month window."""
+    months = F.array(*[F.lit(m) for m in scans.study_months((1996, 8), 12)])
     codes = classes.code_list(S.table(spark, sf, "part"), "p_brand")
-    months = S.table(spark, sf, "lineitem").select(F.trunc("l_shipdate", "month").alias("month"))
-    # the request grid is the result: codes x months
-    return codes.crossJoin(months.distinct())
+    return codes.select("p_brand", F.explode(months).alias("month"))
 
 
 # ---------------------------------------------------------------- aggregates and reshaping
@@ -529,6 +529,16 @@ def d1_classify(spark, sf):
     )
 
 
+@query
+def d1_classify_by_listing(spark, sf):
+    """Listing read as a table: codes grouped by the part type they occur with."""
+    listing = S.table(spark, sf, "part").select("p_brand", F.col("p_type").alias("drug_type"))
+    tagged = classes.classify_by_listing(S.rx(spark, sf), "code", listing, "p_brand")
+    return tagged.groupBy("drug_type").agg(
+        F.count(F.lit(1)).alias("n"), rnd(F.sum("cost"), 2).alias("cost")
+    )
+
+
 @query
 def d2_apportion(spark, sf):
     volumes = A.apportion(S.registrations(spark, sf), _totals(spark, sf), S.LABELS)
@@ -548,8 +558,7 @@ def d2_apportion_twelve_months(spark, sf):
 @query
 def d3_by_code(spark, sf):
     totals = A.practice_totals(S.rx(spark, sf), ["code", "practice", "practice_name"])
-    codes = classes.code_list(S.table(spark, sf, "part"), "p_brand").withColumnRenamed("p_brand", "code")
-    volumes = A.apportion_by_code(S.registrations(spark, sf), totals, codes)
+    volumes = A.apportion_by_code(S.registrations(spark, sf), totals)
     return rounded(volumes, *A.MEASURES)
 
 

@@ -502,8 +502,8 @@ ORACLE: dict[str, str] = {
         "placed",
         "rx",
     ),
-    "j5_grid": """SELECT p_brand, month FROM (SELECT DISTINCT p_brand FROM part)
-        CROSS JOIN (SELECT DISTINCT CAST(date_trunc('month', l_shipdate) AS DATE) AS month FROM lineitem)""",
+    "j5_grid": """SELECT DISTINCT p_brand, CAST(m AS DATE) AS month FROM part,
+        (SELECT unnest(generate_series(DATE '1996-08-01', DATE '1997-07-01', INTERVAL 1 MONTH)) AS m)""",
     "a1_practice_totals": sql(
         f"SELECT code, practice, practice_name, {rounded(MEASURES)} FROM (SELECT code, practice, practice_name, {_SUMS} FROM rx GROUP BY 1, 2, 3)",
         "rx",
@@ -560,17 +560,20 @@ ORACLE: dict[str, str] = {
         UNION ALL SELECT c_name, NULL, c_mktsegment FROM customer""",
     "u2_rbind": "SELECT s_name AS name, s_acctbal AS balance FROM supplier UNION ALL SELECT c_name, c_acctbal FROM customer",
     "d1_classify": sql("SELECT drug_type, code, count(*) AS n, round(sum(cost), 2) AS cost FROM tagged GROUP BY 1, 2", "tagged"),
+    "d1_classify_by_listing": sql(
+        """SELECT drug_type, count(*) AS n, round(sum(cost), 2) AS cost FROM rx
+        JOIN (SELECT DISTINCT p_brand, p_type AS drug_type FROM part) ON code = p_brand GROUP BY 1""",
+        "rx",
+    ),
     "d2_apportion": sql(_apportioned(LABELS), "shares", "totals"),
     "d2_apportion_twelve_months": sql(
         _apportioned(LABELS, "month >= DATE '1996-08-01' AND month < DATE '1997-08-01'"), "shares", "tagged"
     ),
     "d3_by_code": sql(
-        "SELECT area, code, " + rounded(MEASURES) + " FROM (SELECT g.area, g.code, "
-        + ", ".join(f"coalesce(sum({m}), 0) AS {m}" for m in MEASURES)
-        + """ FROM (SELECT area, code FROM (SELECT DISTINCT area FROM reg) CROSS JOIN (SELECT DISTINCT p_brand AS code FROM part)) g
-        LEFT JOIN (SELECT area, code, items * share AS items, quantity * share AS quantity, cost * share AS cost
-          FROM shares JOIN (SELECT code, practice, practice_name, """ + _SUMS + """ FROM rx GROUP BY 1, 2, 3) tt USING (practice)) v
-        ON g.area = v.area AND g.code = v.code GROUP BY 1, 2)""",
+        "SELECT area, code, "
+        + ", ".join(f"round(coalesce(sum({m} * share), 0), 4) AS {m}" for m in MEASURES)
+        + f" FROM shares JOIN (SELECT code, practice, practice_name, {_SUMS} FROM rx GROUP BY 1, 2, 3) tt"
+        + " USING (practice) GROUP BY 1, 2",
         "shares",
         "rx",
     ),

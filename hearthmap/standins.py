@@ -23,8 +23,26 @@ LABELS = [c.label for c in CLASSES]
 AGE_LABELS = ["Under 1", "100 and over", "All people"]
 
 
+# Declared, so that no job has to read file footers first.
+SCHEMAS = {
+    "nation": "n_nationkey int, n_name string, n_regionkey int",
+    "customer": "c_custkey bigint, c_name string, c_nationkey int, c_acctbal double, "
+    "c_mktsegment string",
+    "supplier": "s_suppkey bigint, s_name string, s_nationkey int, s_acctbal double",
+    "part": "p_partkey bigint, p_name string, p_brand string, p_type string, p_size int, "
+    "p_retailprice double",
+    "orders": "o_orderkey bigint, o_custkey bigint, o_orderstatus string, o_totalprice double, "
+    "o_orderdate timestamp_ntz, o_orderpriority string",
+    "lineitem": "l_orderkey bigint, l_partkey bigint, l_suppkey bigint, l_linenumber int, "
+    "l_quantity double, l_extendedprice double, l_discount double, l_tax double, "
+    "l_returnflag string, l_linestatus string, l_shipdate timestamp_ntz",
+    "events": "event_id bigint, ts timestamp_ntz, user_id bigint, event_type string, "
+    "value double, props string",
+}
+
+
 def table(spark: SparkSession, sf: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{sf}/{name}.parquet")
+    return spark.read.schema(SCHEMAS[name]).parquet(f"{sf}/{name}.parquet")
 
 
 def rx(spark: SparkSession, sf: str) -> DataFrame:
@@ -55,15 +73,22 @@ def registrations(spark: SparkSession, sf: str) -> DataFrame:
     line = table(spark, sf, "lineitem").select("l_orderkey", "l_suppkey")
     orders = table(spark, sf, "orders").select("o_orderkey", "o_custkey", "o_orderpriority")
     customer = table(spark, sf, "customer").select("c_custkey", "c_nationkey", "c_mktsegment")
-    area = F.when(F.col("o_orderpriority") == "4-NOT SPECIFIED", "EMPTY").otherwise(
-        F.concat(F.lit("A"), "c_nationkey", F.lit("-"), "c_mktsegment")
-    )
-    return (
+    known = F.col("o_orderpriority") != "4-NOT SPECIFIED"
+    counts = (
         line.join(orders, line["l_orderkey"] == orders["o_orderkey"])
         .join(customer, F.col("o_custkey") == F.col("c_custkey"))
-        .groupBy(F.concat(F.lit("P"), "l_suppkey").alias("practice"), area.alias("area"))
+        .groupBy(
+            "l_suppkey",
+            F.when(known, F.col("c_nationkey")).alias("nation"),
+            F.when(known, F.col("c_mktsegment")).alias("segment"),
+        )
         .agg(F.count(F.lit(1)).alias("patients"))
     )
+    return counts.select(
+        F.concat(F.lit("P"), "l_suppkey").alias("practice"),
+        F.coalesce(F.concat(F.lit("A"), "nation", F.lit("-"), "segment"), F.lit("EMPTY")).alias("area"),
+        "patients",
+    )
 
 
 def _zone_code(nation: str, segment: str):

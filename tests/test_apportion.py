@@ -4,7 +4,7 @@ import pytest
 from conftest import table
 
 from hearthmap.operators import apportion as A
-from hearthmap.operators.classes import DrugClass, class_from_list, classify_codes
+from hearthmap.operators.classes import DrugClass, class_from_list, classify_by_listing, classify_codes
 from hearthmap.operators.stacking import bind_rows, drop_index, drop_range, rename_at, stack_rows
 from hearthmap.plans.nations import england_volumes, scotland_volumes, wales_volumes
 
@@ -34,8 +34,8 @@ def test_apportion(registrations, totals):
 def test_apportion_filled_after(registrations, totals):
     out = A.apportion(registrations, totals, ["c"], filled_after=["c"])
     assert table(out, "area", "items") == [("A1", 30.0), ("A2", 120.0), ("A3", 0.0)]
-    by_code = A.apportion_by_code(registrations, totals, totals.select("code"))
-    assert table(by_code, "area", "code", "items") == [("A1", "x", 30.0), ("A2", "x", 120.0), ("A3", "x", 0.0)]
+    by_code = A.apportion_by_code(registrations, totals)
+    assert table(by_code, "area", "code", "items") == [("A1", "x", 30.0), ("A2", "x", 120.0)]
 
 
 def test_mass_is_conserved_with_a_hot_practice(frame):
@@ -70,6 +70,8 @@ def test_classes_overlap(frame, spark):
     fact = frame([("0403AB",), ("0403XY",), ("0301",), (None,)], "code string")
     tagged = classify_codes(fact, "code", [DrugClass("prefix", prefix="0403"), listed])
     assert table(tagged, "code", "drug_type") == [("0403AB", "list"), ("0403AB", "prefix"), ("0403XY", "prefix")]
+    listing = frame([("0403AB", "x"), ("0403AB", "y"), ("0403AB", "x"), (None, "z")], "code string, drug_type string")
+    assert table(classify_by_listing(fact, "code", listing, "code"), "code", "drug_type") == [("0403AB", "x"), ("0403AB", "y")]
 
 
 def test_one_scan_and_pushed_prefix(spark):

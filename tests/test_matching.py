@@ -79,16 +79,18 @@ def _simulate(units, chunks):
         above = [min(found[i]) for i in range(x.first) if found[i]]
         below = [max(found[i]) for i in range(x.last + 1, len(parts)) if found[i]]
         rows = [r for p in parts[x.first : x.last + 1] for r in p]
-        surplus = np.cumsum([c - t for _, t, c in rows]).max()
-        swept = matching.sweep(rows, x.carried, None if x.closed or not above else min(above), max(below) if below else None)
-        return swept, max(0, int(surplus))
+        swept = matching.Sweep(x.carried, None if x.closed or not above else min(above), max(below) if below else None)
+        for row in rows:
+            swept.step(*row)
+        swept.finish()
+        return swept
 
     for rounds in range(1, 200):
         for k, x in enumerate(stretches):
             if not x.fresh:
-                r, need = run(x)
+                r = run(x)
                 stretches[k] = matching.replace(
-                    x, fresh=True, waiting=r.waiting, carried_left=r.carried_left, free_left=r.free_left, blocked=r.blocked, need=need
+                    x, fresh=True, waiting=r.waiting, carried_left=r.carried_left, free_left=r.free_left, blocked=r.blocked, need=r.need
                 )
         before = [(x.first, x.last, x.carried, x.closed) for x in stretches]
         stretches = matching.settle(stretches, eager=rounds > matching.PATIENCE)
@@ -102,14 +104,14 @@ def _simulate(units, chunks):
         ids.setdefault((s, t), []).append(i)
     pairs, left, taken = {}, {}, {}
     for x in stretches:
-        r, _ = run(x)
+        r = run(x)
         chain, head = numbers.get(x.first, (x.first, 0))
         for ts, tr, cs, cr, n in r.pairs:
             pairs |= {ids[ts, 1][tr + k]: ids[cs, 0][cr + k] for k in range(n)}
         for at, cs, cr, n in r.taken:
             taken |= {(chain, head + at + k): ids[cs, 0][cr + k] for k in range(n)}
         queue, number = (chain, head + x.carried) if r.carried_left else (x.first, 0)
-        for ts, tr, n in r.left:
+        for ts, tr, n in r.queue:
             left |= {(queue, number + k): ids[ts, 1][tr + k] for k in range(n)}
             number += n
     pairs |= {left[k]: taken[k] for k in left if k in taken}
