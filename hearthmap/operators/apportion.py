@@ -7,6 +7,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 from hearthmap.constants import AREA_SUFFIX_LENGTH
 from hearthmap.functions.joins import full_join, group_totals, keep_all_lookup, lookup_join
 from hearthmap.functions.nulls import drop_suffix, lenient_sum, ratio, strict_sum, to_number
+from hearthmap.session import materialise
 
 MEASURES = ["items", "quantity", "cost"]
 
@@ -129,9 +130,12 @@ def zone_shares(
     )
     with_locality = group_totals(joined, [locality], {"locality_population": strict_sum(people)})
     with_parent = group_totals(with_locality, [parent], {"parent_population": strict_sum(people)})
-    return with_parent.withColumn(
-        "locality_share", ratio(people, "locality_population")
-    ).withColumn("parent_share", ratio(people, "parent_population"))
+    return with_parent.withColumns(
+        {
+            "locality_share": ratio(people, "locality_population"),
+            "parent_share": ratio(people, "parent_population"),
+        }
+    )
 
 
 def practice_localities(
@@ -175,6 +179,8 @@ def two_step_apportion(
     practices that are not listed; zones of localities without practices.  ``faithful=False``
     keeps one row per zone and class, plus the zone-less rows.
     """
+    # written once: both parts of a full join read it, the facts are scanned once
+    totals = materialise(totals)
     # few classes, fixed in code: the grid has one row per class and listed practice
     class_rows = F.explode(F.array(*[F.lit(c) for c in classes])).alias("_class")
     listed = practices.select(practice, locality, class_rows)
@@ -186,10 +192,9 @@ def two_step_apportion(
     if not faithful:
         per_locality = per_locality.where(F.col("item").isNotNull())
     zones = shares.select("*", class_rows)
-    spread = full_join(zones, per_locality, ["_class", locality])
-    for m in MEASURES:
-        spread = spread.withColumn(f"{m}_per_zone", F.col(m) * F.col("locality_share"))
-    return spread.withColumnRenamed("_class", "class_key")
+    spread = full_join(zones, materialise(per_locality), ["_class", locality])
+    per_zone = {f"{m}_per_zone": F.col(m) * F.col("locality_share") for m in MEASURES}
+    return spread.withColumns(per_zone).withColumnRenamed("_class", "class_key")
 
 
 def locality_shares(
@@ -221,7 +226,8 @@ def locality_apportion(
     class_col: str = "drug_type",
 ) -> DataFrame:
     """Locality totals to areas by share; localities without areas stay with empty areas."""
-    spread = keep_all_lookup(shares, totals, [code])
-    for m in MEASURES:
-        spread = spread.withColumn(f"{m}_per_area", F.col(m) * F.col("locality_share"))
-    return spread
+    # written once: matched and unmatched totals both read it
+    spread = keep_all_lookup(shares, materialise(totals), [code])
+    return spread.withColumns(
+        {f"{m}_per_area": F.col(m) * F.col("locality_share") for m in MEASURES}
+    )

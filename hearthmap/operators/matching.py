@@ -29,7 +29,7 @@ from pyspark.sql import DataFrame, Window, functions as F
 
 from hearthmap.functions.joins import lookup_join
 from hearthmap.operators.reshape import distinct_labels
-from hearthmap.session import materialise, slice_count
+from hearthmap.session import materialise
 
 # Longest run of unit pairs described by one row before it is expanded.
 SEGMENT = 50_000
@@ -430,9 +430,8 @@ def _ranked_units(units: DataFrame) -> DataFrame:
     Range partitioning splits a score shared by very many units; ranks are the place inside the
     partition plus the counts in earlier partitions.
     """
-    parts = slice_count(units.sparkSession)
     placed = materialise(
-        units.repartitionByRange(parts, "_s", "_t", "_id").withColumn("_part", F.spark_partition_id())
+        units.repartitionByRange("_s", "_t", "_id").withColumn("_part", F.spark_partition_id())
     )
     cell = ["_s", "_t", "_part"]
     earlier = Window.partitionBy("_s", "_t").orderBy("_part").rowsBetween(

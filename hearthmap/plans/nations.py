@@ -16,6 +16,7 @@ from hearthmap.operators.apportion import (
 )
 from hearthmap.operators.classes import DrugClass, class_from_list, classify_codes, relabel
 from hearthmap.operators.stacking import drop_index, stack_rows
+from hearthmap.session import materialise
 
 
 def drug_classes(inhalers: DataFrame, pain: DataFrame, column: str = "bnf_presentation_code"):
@@ -80,14 +81,17 @@ def scotland_volumes(
             "cost": "GrossIngredientCost",
         },
     ).withColumnRenamed("GPPractice", "practice")
-    shares = zone_shares(
-        zones,
-        population,
-        zone="DataZone",
-        population_zone="Data_zone_code",
-        locality="SubHSCPName",
-        parent="HSCP",
-        people="Total_population",
+    # both lookups are read several times below
+    shares = materialise(
+        zone_shares(
+            zones,
+            population,
+            zone="DataZone",
+            population_zone="Data_zone_code",
+            locality="SubHSCPName",
+            parent="HSCP",
+            people="Total_population",
+        )
     )
     listed = practice_localities(
         practices.select(

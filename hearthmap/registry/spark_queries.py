@@ -324,7 +324,7 @@ def j1_left(spark, sf):
 
 @query
 def j3_right_coalesce(spark, sf):
-    totals = A.practice_totals(S.locality_rx(spark, sf), ["locality_code"])
+    totals = materialise(A.practice_totals(S.locality_rx(spark, sf), ["locality_code"]))
     codes = S.locality_codes(spark, sf)
     return rounded(
         keep_all_lookup(codes, totals, [("code", "locality_code")]), "items", "quantity", "cost"
@@ -334,10 +334,10 @@ def j3_right_coalesce(spark, sf):
 @query
 def j4_full_nullsafe(spark, sf):
     practices = lookup_join(S.practice_list(spark, sf), S.zones(spark, sf), ["zone"])
-    totals = A.practice_totals(S.rx(spark, sf), ["practice"])
+    totals = materialise(A.practice_totals(S.rx(spark, sf), ["practice"]))
     with_locality = full_join(practices, totals, ["practice"], salts=1)
     by_locality = with_locality.groupBy("locality").agg(strict_sum("items").cast("double").alias("items"))
-    return full_join(S.zones(spark, sf), by_locality, ["locality"])
+    return full_join(S.zones(spark, sf), materialise(by_locality), ["locality"])
 
 
 @query
@@ -571,7 +571,7 @@ def d3_rolled_up(spark, sf):
 
 
 def _shares(spark, sf):
-    return A.zone_shares(S.zones(spark, sf), S.zone_population(spark, sf))
+    return materialise(A.zone_shares(S.zones(spark, sf), S.zone_population(spark, sf)))
 
 
 @query
@@ -581,7 +581,7 @@ def d4a_zone_shares(spark, sf):
 
 def _two_step(spark, sf, faithful):
     shares = _shares(spark, sf)
-    listed = A.practice_localities(S.practice_list(spark, sf), shares)
+    listed = materialise(A.practice_localities(S.practice_list(spark, sf), shares))
     totals = _totals(spark, sf, ["drug_type", "practice"])
     spread = A.two_step_apportion(totals, listed, shares, S.LABELS, faithful=faithful)
     measures = [*A.MEASURES, *[f"{m}_per_zone" for m in A.MEASURES]]
