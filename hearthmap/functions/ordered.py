@@ -45,7 +45,7 @@ def running_totals(
     if only is not None:
         totals = only(totals)
     if slice_keys:
-        joined = lookup_join(table, totals, slice_keys, "inner", salts=1)
+        joined = lookup_join(table, totals, slice_keys, "inner", unique=True)
     else:
         joined = table.crossJoin(F.broadcast(totals))  # a single row
     inside = _over(slice_keys).orderBy(value).rowsBetween(

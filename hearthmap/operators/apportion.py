@@ -30,6 +30,34 @@ def practice_shares(
     ).withColumn("share", ratio(patients, "total_patients"))
 
 
+def join_practice_values(
+    registrations: DataFrame, values: DataFrame, practice: str, patients: str, how: str = "left"
+) -> DataFrame:
+    """Registrations with their share of the practice and the practice's values.
+
+    ``values`` (key ``_practice``) and the practice's patients are brought together per practice
+    first, so the registrations themselves are joined once.
+    """
+    by_practice = registrations.groupBy(F.col(practice).alias("_practice")).agg(
+        strict_sum(patients).alias("_patients"), F.count(F.lit(1)).alias("_n")
+    )
+    per_practice = materialise(
+        by_practice.join(values, by_practice["_practice"].eqNullSafe(values["_practice"]), how).drop(
+            values["_practice"]
+        )
+    )
+    sizes = per_practice.groupBy(F.col("_practice").alias(practice)).agg(F.max("_n").alias("_n"))
+    joined = lookup_join(
+        registrations,
+        per_practice.drop("_n"),
+        [(practice, "_practice")],
+        how,
+        written=True,
+        sizes=sizes,
+    )
+    return joined.withColumn("_share", ratio(patients, "_patients"))
+
+
 def _wide_totals(
     totals: DataFrame, practice: str, class_col: str, classes: list[str]
 ) -> DataFrame:
@@ -63,14 +91,8 @@ def apportion(
     patients is NULL.  Classes in ``filled_after`` are filled after it, so such an area is 0.
     """
     filled_after = filled_after or []
-    by_practice = registrations.groupBy(F.col(practice).alias("_practice")).agg(
-        strict_sum(patients).alias("_patients")
-    )
     wide = _wide_totals(totals, practice, class_col, classes)
-    per_practice = lookup_join(by_practice, wide, ["_practice"], salts=1)
-    rows = lookup_join(
-        registrations.select(practice, area, patients), per_practice, [(practice, "_practice")]
-    ).withColumn("_share", ratio(patients, "_patients"))
+    rows = join_practice_values(registrations.select(practice, area, patients), wide, practice, patients)
 
     sums = []
     for i, label in enumerate(classes):
@@ -103,14 +125,14 @@ def apportion_by_code(
     A pair without a row has volume zero.  The sum over codes is what :func:`apportion` gives for a
     class with ``filled_after``, at a fraction of the rows.
     """
-    shares = practice_shares(registrations.select(practice, area, patients), practice, patients)
     summed = totals.groupBy(F.col(practice).alias("_practice"), code).agg(
         *[F.sum(m).alias(m) for m in MEASURES]
     )
-    return (
-        lookup_join(shares, summed, [(practice, "_practice")], "inner")
-        .groupBy(area, code)
-        .agg(*[lenient_sum(F.col(m) * F.col("share")).cast("double").alias(m) for m in MEASURES])
+    rows = join_practice_values(
+        registrations.select(practice, area, patients), summed, practice, patients, "inner"
+    )
+    return rows.groupBy(area, code).agg(
+        *[lenient_sum(F.col(m) * F.col("_share")).cast("double").alias(m) for m in MEASURES]
     )
 
 
@@ -126,7 +148,7 @@ def zone_shares(
 ) -> DataFrame:
     """Zone population as a share of its locality and of the locality's parent."""
     joined = lookup_join(
-        zones, population.select(population_zone, people), [(zone, population_zone)], salts=1
+        zones, population.select(population_zone, people), [(zone, population_zone)], unique=True
     )
     with_locality = group_totals(joined, [locality], {"locality_population": strict_sum(people)})
     with_parent = group_totals(with_locality, [parent], {"parent_population": strict_sum(people)})
@@ -179,20 +201,18 @@ def two_step_apportion(
     practices that are not listed; zones of localities without practices.  ``faithful=False``
     keeps one row per zone and class, plus the zone-less rows.
     """
-    # written once: both parts of a full join read it, the facts are scanned once
-    totals = materialise(totals)
     # few classes, fixed in code: the grid has one row per class and listed practice
     class_rows = F.explode(F.array(*[F.lit(c) for c in classes])).alias("_class")
     listed = practices.select(practice, locality, class_rows)
     tagged = totals.withColumn("_class", F.col(class_col)).withColumnRenamed(class_col, "item")
-    per_practice = full_join(listed, tagged, ["_class", practice], salts=1)
+    per_practice = full_join(listed, tagged, ["_class", practice], unique=True)
     per_locality = per_practice.groupBy("_class", locality, "item").agg(
         *[strict_sum(m).cast("double").alias(m) for m in MEASURES]
     )
     if not faithful:
         per_locality = per_locality.where(F.col("item").isNotNull())
     zones = shares.select("*", class_rows)
-    spread = full_join(zones, materialise(per_locality), ["_class", locality])
+    spread = full_join(zones, per_locality, ["_class", locality])
     per_zone = {f"{m}_per_zone": F.col(m) * F.col("locality_share") for m in MEASURES}
     return spread.withColumns(per_zone).withColumnRenamed("_class", "class_key")
 
@@ -226,8 +246,7 @@ def locality_apportion(
     class_col: str = "drug_type",
 ) -> DataFrame:
     """Locality totals to areas by share; localities without areas stay with empty areas."""
-    # written once: matched and unmatched totals both read it
-    spread = keep_all_lookup(shares, materialise(totals), [code])
+    spread = keep_all_lookup(shares, totals, [code])
     return spread.withColumns(
         {f"{m}_per_area": F.col(m) * F.col("locality_share") for m in MEASURES}
     )

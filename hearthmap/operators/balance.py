@@ -63,7 +63,7 @@ def balance_table(
     table = stats.withColumn("std_mean_diff", ratio(difference, spread)).withColumn(
         "var_ratio", F.when(~level, ratio("_v1", "_v0"))
     )
-    table = lookup_join(table, _ecdf(long, numbers), ["variable"], salts=1)
+    table = lookup_join(table, _ecdf(long, numbers), ["variable"], unique=True)
     gap = F.abs(difference)
     return table.select(
         "variable",

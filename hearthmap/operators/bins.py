@@ -149,7 +149,7 @@ def binned_distribution(
     # totals over the counted table: at most variables x groups x cells rows
     totals = counts.groupBy("variable", *by).agg(F.sum("n").alias("_all"))
     return (
-        lookup_join(counts, totals, ["variable", *by], salts=1)
+        lookup_join(counts, totals, ["variable", *by], unique=True)
         .withColumn("proportion", ratio("n", "_all"))
         .drop("_all")
     )

@@ -6,9 +6,9 @@ from functools import reduce
 
 from pyspark.sql import Column, DataFrame, functions as F
 
-from hearthmap.functions.joins import group_totals, lookup_join
+from hearthmap.functions.joins import group_totals
 from hearthmap.functions.nulls import lenient_sum, ratio, strict_sum, to_number
-from hearthmap.operators.apportion import practice_shares
+from hearthmap.operators.apportion import join_practice_values
 from hearthmap.operators.reshape import wide_counts
 
 
@@ -33,15 +33,14 @@ def area_prevalence(
         to_number(cases).alias("_cases"),
         to_number(people).alias("_people"),
     )
-    shares = practice_shares(registrations.select(practice, area, patients), practice, patients)
-    rows = lookup_join(shares, counts, [(practice, "_practice")]).fillna(
-        0.0, subset=["_cases", "_people"]
-    )
+    rows = join_practice_values(
+        registrations.select(practice, area, patients), counts, practice, patients
+    ).fillna(0.0, subset=["_cases", "_people"])
     return (
         rows.groupBy(area)
         .agg(
-            lenient_sum(F.col("_cases") * F.col("share")).cast("double").alias(cases),
-            lenient_sum(F.col("_people") * F.col("share")).cast("double").alias(people),
+            lenient_sum(F.col("_cases") * F.col("_share")).cast("double").alias(cases),
+            lenient_sum(F.col("_people") * F.col("_share")).cast("double").alias(people),
         )
         .withColumn("prevalence", ratio(cases, people))
     )

@@ -91,8 +91,8 @@ def analysis_table(
     settlement = urban_rural.select(
         F.col("DZ22_Code").alias("_zone"), F.col("UR6_Name").alias("_settlement")
     )
-    joined = lookup_join(flagged, ages, [(area, age_area)], salts=1)
-    joined = lookup_join(joined, settlement, [(area, "_zone")], salts=1)
+    joined = lookup_join(flagged, ages, [(area, age_area)], unique=True)
+    joined = lookup_join(joined, settlement, [(area, "_zone")], unique=True)
     code = F.col(area)
     england, wales, scotland = code.contains("E"), code.contains("W"), code.contains("S")
     return drop_index(

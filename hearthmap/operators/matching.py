@@ -441,7 +441,7 @@ def _ranked_units(units: DataFrame) -> DataFrame:
         "_offset", F.coalesce(F.sum("_n").over(earlier), F.lit(0))
     )
     inside = Window.partitionBy(*cell).orderBy("_id")
-    return lookup_join(placed, offsets.drop("_n"), cell, "inner", salts=1).select(
+    return lookup_join(placed, offsets.drop("_n"), cell, "inner", unique=True).select(
         "_s", "_t", "_id", (F.row_number().over(inside) - 1 + F.col("_offset")).alias("_rank")
     )
 
@@ -512,7 +512,7 @@ def matched_data(df: DataFrame, pairs: DataFrame, id_col: str) -> DataFrame:
             )
         )
     )
-    return lookup_join(df, members, [(id_col, "_member")], "inner", salts=1).withColumn(
+    return lookup_join(df, members, [(id_col, "_member")], "inner", unique=True).withColumn(
         "weights", F.lit(1.0)
     )
 
@@ -521,6 +521,6 @@ def match_flags(df: DataFrame, pairs: DataFrame, id_col: str) -> DataFrame:
     """Every row with ``matched`` 0/1."""
     members = pairs.select(F.explode(F.array("treated_id", "control_id")).alias("_member"))
     flagged = lookup_join(
-        df, members.withColumn("matched", F.lit(1)), [(id_col, "_member")], salts=1
+        df, members.withColumn("matched", F.lit(1)), [(id_col, "_member")], unique=True
     )
     return flagged.fillna(0, subset=["matched"])

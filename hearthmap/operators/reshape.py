@@ -180,7 +180,7 @@ def scotland_age_bands(
         partial.append(F.aggregate(readable, F.lit(0.0), lambda total, v: total + v).alias(f"_s{i}"))
         partial.append(F.size(readable).alias(f"_n{i}"))
     added = sheet.select(key, *partial)
-    located = lookup_join(added, lookup.select(lookup_key, zone), [(key, lookup_key)], salts=1)
+    located = lookup_join(added, lookup.select(lookup_key, zone), [(key, lookup_key)], unique=True)
     sums = [
         F.when(F.sum(f"_n{i}") > 0, F.sum(f"_s{i}")).alias(band) for i, band in enumerate(AGE_BANDS)
     ]

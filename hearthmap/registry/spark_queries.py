@@ -40,7 +40,7 @@ from hearthmap.operators import balance as B
 from hearthmap.operators import bins, classes, context, effects, group_tests, hotspots, matching
 from hearthmap.operators import reshape, stacking
 from hearthmap.plans import study
-from hearthmap.session import materialise, new_shared_path, salt_count
+from hearthmap.session import materialise, new_shared_path, shuffle_width
 from hearthmap.sources import scans, sheets, sinks
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -74,12 +74,17 @@ def _areas(spark: SparkSession, sf: str) -> DataFrame:
     return materialise(S.areas(spark, sf))
 
 
+def _registrations(spark: SparkSession, sf: str) -> DataFrame:
+    """Registrations per practice and area as a table: shares and allocation both read it."""
+    return materialise(S.registrations(spark, sf))
+
+
 # ---------------------------------------------------------------- sources and sinks
 
 
 def _spread(spark: SparkSession, column: str) -> Column:
     """Second partitioning key, so that a busy file has several writers."""
-    return F.pmod(F.xxhash64(column), F.lit(salt_count(spark)))
+    return F.pmod(F.xxhash64(column), F.lit(shuffle_width(spark) // 4 + 1))
 
 
 def _landed_code_files(spark: SparkSession, sf: str) -> str:
@@ -324,7 +329,7 @@ def j1_left(spark, sf):
 
 @query
 def j3_right_coalesce(spark, sf):
-    totals = materialise(A.practice_totals(S.locality_rx(spark, sf), ["locality_code"]))
+    totals = A.practice_totals(S.locality_rx(spark, sf), ["locality_code"])
     codes = S.locality_codes(spark, sf)
     return rounded(
         keep_all_lookup(codes, totals, [("code", "locality_code")]), "items", "quantity", "cost"
@@ -334,10 +339,10 @@ def j3_right_coalesce(spark, sf):
 @query
 def j4_full_nullsafe(spark, sf):
     practices = lookup_join(S.practice_list(spark, sf), S.zones(spark, sf), ["zone"])
-    totals = materialise(A.practice_totals(S.rx(spark, sf), ["practice"]))
-    with_locality = full_join(practices, totals, ["practice"], salts=1)
+    totals = A.practice_totals(S.rx(spark, sf), ["practice"])
+    with_locality = full_join(practices, totals, ["practice"], unique=True)
     by_locality = with_locality.groupBy("locality").agg(strict_sum("items").cast("double").alias("items"))
-    return full_join(S.zones(spark, sf), materialise(by_locality), ["locality"])
+    return full_join(S.zones(spark, sf), by_locality, ["locality"])
 
 
 @query
@@ -363,7 +368,7 @@ def a5_rollup(spark, sf):
     fine = orders.groupBy("o_custkey", "o_orderstatus").agg(strict_sum("o_totalprice").alias("v"))
     lookup = S.table(spark, sf, "customer").select("c_custkey", "c_nationkey")
     return (
-        lookup_join(fine, lookup, [("o_custkey", "c_custkey")], salts=1)
+        lookup_join(fine, lookup, [("o_custkey", "c_custkey")], unique=True)
         .groupBy("c_nationkey", "o_orderstatus")
         .agg(rnd(strict_sum("v"), 2).alias("value"))
     )
@@ -470,7 +475,7 @@ def a14_distinct(spark, sf):
 
 @query
 def w1_group_total(spark, sf):
-    shares = A.practice_shares(S.registrations(spark, sf))
+    shares = A.practice_shares(_registrations(spark, sf))
     return rounded(shares, "share", digits=6)
 
 
@@ -541,7 +546,7 @@ def d1_classify_by_listing(spark, sf):
 
 @query
 def d2_apportion(spark, sf):
-    volumes = A.apportion(S.registrations(spark, sf), _totals(spark, sf), S.LABELS)
+    volumes = A.apportion(_registrations(spark, sf), _totals(spark, sf), S.LABELS)
     return rounded(volumes, *A.MEASURES)
 
 
@@ -551,21 +556,21 @@ def d2_apportion_twelve_months(spark, sf):
     rx = S.rx(spark, sf).where(F.col("month").isin(months))
     tagged = classes.classify_codes(rx, "code", S.CLASSES)
     totals = A.practice_totals(tagged, ["drug_type", "code", "practice", "practice_name"])
-    volumes = A.apportion(S.registrations(spark, sf), totals, S.LABELS)
+    volumes = A.apportion(_registrations(spark, sf), totals, S.LABELS)
     return rounded(volumes, *A.MEASURES)
 
 
 @query
 def d3_by_code(spark, sf):
     totals = A.practice_totals(S.rx(spark, sf), ["code", "practice", "practice_name"])
-    volumes = A.apportion_by_code(S.registrations(spark, sf), totals)
+    volumes = A.apportion_by_code(_registrations(spark, sf), totals)
     return rounded(volumes, *A.MEASURES)
 
 
 @query
 def d3_rolled_up(spark, sf):
     volumes = A.apportion(
-        S.registrations(spark, sf), _totals(spark, sf), S.LABELS, filled_after=S.LABELS
+        _registrations(spark, sf), _totals(spark, sf), S.LABELS, filled_after=S.LABELS
     )
     return rounded(volumes, *A.MEASURES)
 
@@ -622,7 +627,7 @@ def d5_locality(spark, sf):
 @query
 def d6_stack(spark, sf):
     totals = _totals(spark, sf)
-    registrations = S.registrations(spark, sf)
+    registrations = _registrations(spark, sf)
     first = A.apportion(registrations, totals, S.LABELS[:4])
     prepared = A.apportion(registrations, totals, S.LABELS[4:]).withColumn("X", F.lit(1))
     return rounded(stacking.stack_rows(first, stacking.drop_index(prepared)), *A.MEASURES)
@@ -630,7 +635,7 @@ def d6_stack(spark, sf):
 
 @query
 def d7_prevalence(spark, sf):
-    rates = context.area_prevalence(S.registrations(spark, sf), S.smoking_sheet(spark, sf))
+    rates = context.area_prevalence(_registrations(spark, sf), S.smoking_sheet(spark, sf))
     return rounded(rates, "cases", "people", "prevalence")
 
 
@@ -777,7 +782,7 @@ def t4_outliers(spark, sf):
 
 @query
 def t5_histogram(spark, sf):
-    volumes = A.apportion(S.registrations(spark, sf), _totals(spark, sf), ["inhaler"])
+    volumes = A.apportion(_registrations(spark, sf), _totals(spark, sf), ["inhaler"])
     return bins.histogram(volumes.where(F.col("area") != EMPTY_AREA), "items")
 
 

@@ -68,11 +68,6 @@ def shuffle_width(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 
 
-def salt_count(spark: SparkSession) -> int:
-    """Number of splits for a possibly hot key; grows with the cluster's shuffle width."""
-    return max(2, min(64, shuffle_width(spark) // 16))
-
-
 def slice_count(spark: SparkSession) -> int:
     """Number of value slices that bounds one task's share of an ordered group."""
     return max(16, min(512, shuffle_width(spark)))
