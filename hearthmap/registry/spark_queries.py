@@ -40,7 +40,7 @@ from hearthmap.operators import balance as B
 from hearthmap.operators import bins, classes, context, effects, group_tests, hotspots, matching
 from hearthmap.operators import reshape, stacking
 from hearthmap.plans import study
-from hearthmap.session import materialise, new_shared_path, shuffle_width
+from hearthmap.session import materialise, new_shared_path
 from hearthmap.sources import scans, sheets, sinks
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -82,11 +82,6 @@ def _registrations(spark: SparkSession, sf: str) -> DataFrame:
 # ---------------------------------------------------------------- sources and sinks
 
 
-def _spread(spark: SparkSession, column: str) -> Column:
-    """Second partitioning key, so that a busy file has several writers."""
-    return F.pmod(F.xxhash64(column), F.lit(shuffle_width(spark) // 4 + 1))
-
-
 def _landed_code_files(spark: SparkSession, sf: str) -> str:
     """Line items landed as prescribing CSV files by code and year."""
     rows = S.table(spark, sf, "lineitem").select(
@@ -102,7 +97,8 @@ def _landed_code_files(spark: SparkSession, sf: str) -> str:
         F.trunc("l_shipdate", "year").alias("month"),
     )
     path = new_shared_path(spark, "landed-codes")
-    rows.repartition("code", "month", _spread(spark, "row_id")).write.partitionBy(
+    # rebalance: few files per folder, and several writers for a busy one
+    rows.hint("rebalance", F.col("code"), F.col("month")).write.partitionBy(
         "code", "month"
     ).option("header", True).csv(path)
     return path
@@ -125,7 +121,7 @@ def _landed_month_files(spark: SparkSession, sf: str) -> str:
         F.date_format("month", "yyyyMM").alias("month"),
     )
     path = new_shared_path(spark, "landed-months")
-    rows.repartition("month", _spread(spark, "GPPractice")).write.partitionBy("month").option(
+    rows.hint("rebalance", F.col("month")).write.partitionBy("month").option(
         "header", True
     ).csv(path)
     return path
