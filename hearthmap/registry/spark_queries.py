@@ -40,7 +40,7 @@ from hearthmap.operators import balance as B
 from hearthmap.operators import bins, classes, context, effects, group_tests, hotspots, matching
 from hearthmap.operators import reshape, stacking
 from hearthmap.plans import study
-from hearthmap.session import materialise, new_shared_path
+from hearthmap.session import materialise, materialise_all, new_shared_path
 from hearthmap.sources import scans, sheets, sinks
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -74,9 +74,9 @@ def _areas(spark: SparkSession, sf: str) -> DataFrame:
     return materialise(S.areas(spark, sf))
 
 
-def _registrations(spark: SparkSession, sf: str) -> DataFrame:
-    """Registrations per practice and area as a table: shares and allocation both read it."""
-    return materialise(S.registrations(spark, sf))
+def _with_registrations(spark: SparkSession, sf: str, other: DataFrame) -> list[DataFrame]:
+    """Registrations and one other input as tables: shares and allocation both read them."""
+    return materialise_all(S.registrations(spark, sf), other)
 
 
 # ---------------------------------------------------------------- sources and sinks
@@ -471,7 +471,7 @@ def a14_distinct(spark, sf):
 
 @query
 def w1_group_total(spark, sf):
-    shares = A.practice_shares(_registrations(spark, sf))
+    shares = A.practice_shares(materialise(S.registrations(spark, sf)))
     return rounded(shares, "share", digits=6)
 
 
@@ -542,7 +542,7 @@ def d1_classify_by_listing(spark, sf):
 
 @query
 def d2_apportion(spark, sf):
-    volumes = A.apportion(_registrations(spark, sf), _totals(spark, sf), S.LABELS)
+    volumes = A.apportion(*_with_registrations(spark, sf, _totals(spark, sf)), S.LABELS)
     return rounded(volumes, *A.MEASURES)
 
 
@@ -552,22 +552,21 @@ def d2_apportion_twelve_months(spark, sf):
     rx = S.rx(spark, sf).where(F.col("month").isin(months))
     tagged = classes.classify_codes(rx, "code", S.CLASSES)
     totals = A.practice_totals(tagged, ["drug_type", "code", "practice", "practice_name"])
-    volumes = A.apportion(_registrations(spark, sf), totals, S.LABELS)
+    volumes = A.apportion(*_with_registrations(spark, sf, totals), S.LABELS)
     return rounded(volumes, *A.MEASURES)
 
 
 @query
 def d3_by_code(spark, sf):
     totals = A.practice_totals(S.rx(spark, sf), ["code", "practice", "practice_name"])
-    volumes = A.apportion_by_code(_registrations(spark, sf), totals)
+    volumes = A.apportion_by_code(*_with_registrations(spark, sf, totals))
     return rounded(volumes, *A.MEASURES)
 
 
 @query
 def d3_rolled_up(spark, sf):
-    volumes = A.apportion(
-        _registrations(spark, sf), _totals(spark, sf), S.LABELS, filled_after=S.LABELS
-    )
+    inputs = _with_registrations(spark, sf, _totals(spark, sf))
+    volumes = A.apportion(*inputs, S.LABELS, filled_after=S.LABELS)
     return rounded(volumes, *A.MEASURES)
 
 
@@ -622,8 +621,7 @@ def d5_locality(spark, sf):
 
 @query
 def d6_stack(spark, sf):
-    totals = _totals(spark, sf)
-    registrations = _registrations(spark, sf)
+    registrations, totals = _with_registrations(spark, sf, _totals(spark, sf))
     first = A.apportion(registrations, totals, S.LABELS[:4])
     prepared = A.apportion(registrations, totals, S.LABELS[4:]).withColumn("X", F.lit(1))
     return rounded(stacking.stack_rows(first, stacking.drop_index(prepared)), *A.MEASURES)
@@ -631,7 +629,7 @@ def d6_stack(spark, sf):
 
 @query
 def d7_prevalence(spark, sf):
-    rates = context.area_prevalence(_registrations(spark, sf), S.smoking_sheet(spark, sf))
+    rates = context.area_prevalence(*_with_registrations(spark, sf, S.smoking_sheet(spark, sf)))
     return rounded(rates, "cases", "people", "prevalence")
 
 
@@ -778,7 +776,7 @@ def t4_outliers(spark, sf):
 
 @query
 def t5_histogram(spark, sf):
-    volumes = A.apportion(_registrations(spark, sf), _totals(spark, sf), ["inhaler"])
+    volumes = A.apportion(*_with_registrations(spark, sf, _totals(spark, sf)), ["inhaler"])
     return bins.histogram(volumes.where(F.col("area") != EMPTY_AREA), "items")
 
 
