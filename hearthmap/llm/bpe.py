@@ -29,7 +29,7 @@ from pyspark.sql.types import ArrayType, BinaryType, DataType, IntegerType, Stru
 from hearthmap.llm.words import STEP_BYTES, steps
 
 # Encoded pieces that a worker remembers between steps; beyond that it forgets all and goes on.
-REMEMBERED = 200_000
+REMEMBERED = 300_000
 
 
 def read_ranks(path: str) -> dict[bytes, int]:
@@ -39,77 +39,96 @@ def read_ranks(path: str) -> dict[bytes, int]:
 
 
 class MergeReplay:
-    """Encodes and decodes with one vocabulary."""
+    """Encodes with one vocabulary; a token's id is its rank."""
 
     def __init__(self, ranks: dict[bytes, int], pattern: str):
-        self.ranks = ranks
+        self.ranks, self.pattern = ranks, pattern
         self.pieces: Callable[[str], list[str]] = regex.compile(pattern).findall
-        self.tokens = {i: t for t, i in ranks.items()}
+        self._shift = max(ranks.values()).bit_length()
+        # rank of what two neighbouring tokens make, by left << shift | right
+        self._pair = {
+            ranks[t[:i]] << self._shift | ranks[t[i:]]: rank
+            for t, rank in ranks.items()
+            for i in range(1, len(t))
+            if t[:i] in ranks and t[i:] in ranks
+        }
+        self._byte = np.array([ranks.get(bytes([i]), -1) for i in range(256)], np.int64)
+        ends = [(a, b) for a in range(256) for b in range(256)]
+        self._two = np.array([ranks.get(bytes(x), -1) for x in ends], np.int64)
         self._known: dict[str, bytes] = {}
 
-    def replay(self, corpus: list[bytes]) -> list[list[int]]:
-        """Ids of every piece of a corpus of distinct pieces."""
-        ranks = self.ranks
-        token: list[bytes | None] = []
-        word: list[int] = []
-        for i, piece in enumerate(corpus):
-            whole = [piece] if piece in ranks else [piece[j : j + 1] for j in range(len(piece))]
-            token += whole
-            word += [i] * len(whole)
-        n = len(token)
-        after = [i + 1 if i + 1 < n and word[i + 1] == word[i] else -1 for i in range(n)]
-        before = [i - 1 if i and word[i - 1] == word[i] else -1 for i in range(n)]
-        index: dict[int, list[int]] = {}
-        for i in range(n):
-            if after[i] >= 0 and (r := ranks.get(token[i] + token[after[i]])) is not None:
-                index.setdefault(r, []).append(i)
+    def replay(self, corpus: list[bytes]) -> list[bytes]:
+        """Ids of every piece of a corpus of distinct pieces that are no tokens themselves."""
+        if not corpus:
+            return []
+        data = np.frombuffer(b"".join(corpus), np.uint8)
+        sizes = np.array([len(p) for p in corpus])
+        ends = np.cumsum(sizes)
+        token, following = self._byte[data], np.arange(1, len(data) + 1)
+        if token.min() < 0:
+            raise ValueError("the vocabulary lacks a byte of the text")
+        following[ends - 1] = -1
+        preceding = np.arange(-1, len(data) - 1)
+        preceding[ends - sizes] = -1
+        first = np.append(self._two[data[:-1].astype(np.int64) * 256 + data[1:]], -1)
+        first[ends - 1] = -1
+        index = _places(first)
+        word = np.repeat(np.arange(len(corpus)), sizes)
+        token = np.array(self._merge(token.tolist(), following.tolist(), preceding.tolist(), word.tolist(), index))
+        left = token >= 0
+        counts = np.bincount(word[left], minlength=len(corpus))
+        stops = (4 * np.cumsum(counts)).tolist()
+        ids = token[left].astype("<u4").tobytes()
+        return [ids[a:b] for a, b in zip([0, *stops], stops)]
+
+    def _merge(self, token: list, after: list, before: list, word: list, index: dict[int, list[int]]) -> list:
+        """Replay all merges over the index; a token merged into its left neighbour becomes -1."""
+        pair, shift = self._pair.get, self._shift
         heap = list(index)
         heapq.heapify(heap)
-
-        def note(i: int) -> int | None:
-            """Index the pair that now starts at ``i``; its rank."""
-            if i < 0 or after[i] < 0:
-                return None
-            r = ranks.get(token[i] + token[after[i]])
-            if r is not None:
-                if r not in index:
-                    index[r] = []
-                    heapq.heappush(heap, r)
-                index[r].append(i)
-            return r
-
         while heap:
             rank = heapq.heappop(heap)
-            merged = self.tokens[rank]
-            waiting = -1  # piece in which a lower rank has come up
-            later = []
-            for i in sorted(set(index.pop(rank))):
-                if token[i] is None or after[i] < 0:
-                    continue
-                right = after[i]
-                # the position may have been touched since it was indexed
-                if len(token[i]) + len(token[right]) != len(merged) or token[i] + token[right] != merged:
+            places = index.pop(rank)
+            places.sort()
+            waiting, later = -1, []  # piece in which a lower rank has come up, and its places left
+            for i in places:
+                j = after[i]
+                # the place may have been touched since it was indexed
+                if j < 0 or token[i] < 0 or pair(token[i] << shift | token[j]) != rank:
                     continue
                 if word[i] == waiting:
                     later.append(i)
                     continue
-                token[i], token[right] = merged, None
-                after[i] = after[right]
-                if after[i] >= 0:
-                    before[after[i]] = i
-                lower = [r for r in (note(before[i]), note(i)) if r is not None and r < rank]
-                if lower:
-                    waiting = word[i]
+                token[i], token[j] = rank, -1
+                k, h = after[j], before[i]
+                after[i] = k
+                if k >= 0:
+                    before[k] = i
+                    new = pair(rank << shift | token[k])
+                    if new is not None:
+                        if new in index:
+                            index[new].append(i)
+                        else:
+                            index[new] = [i]
+                            heapq.heappush(heap, new)
+                        if new < rank:
+                            waiting = word[i]
+                if h >= 0:
+                    new = pair(token[h] << shift | rank)
+                    if new is not None:
+                        if new in index:
+                            index[new].append(h)
+                        else:
+                            index[new] = [h]
+                            heapq.heappush(heap, new)
+                        if new < rank:
+                            waiting = word[i]
             if later:
                 if rank not in index:
                     index[rank] = []
                     heapq.heappush(heap, rank)
                 index[rank] += later
-        ids: list[list[int]] = [[] for _ in corpus]
-        for w, t in zip(word, token):
-            if t is not None:
-                ids[w].append(ranks[t])
-        return ids
+        return token
 
     def encode(self, texts: list[str | None]) -> list[bytes]:
         """Ids of each text as little-endian unsigned 32-bit integers."""
@@ -119,13 +138,36 @@ class MergeReplay:
         if len(known) + len(fresh) > REMEMBERED:
             known.clear()
             fresh = list({p for pieces in split for p in pieces})
-        coded = self.replay([p.encode() for p in fresh])
-        known.update((p, np.array(ids, "<u4").tobytes()) for p, ids in zip(fresh, coded))
+        raw = [p.encode() for p in fresh]
+        whole = [self.ranks.get(p) for p in raw]
+        coded = iter(self.replay([p for p, rank in zip(raw, whole) if rank is None]))
+        for piece, rank in zip(fresh, whole):
+            known[piece] = next(coded) if rank is None else rank.to_bytes(4, "little")
         return [b"".join([known[p] for p in pieces]) for pieces in split]
 
-    def decode(self, ids: np.ndarray) -> bytes:
-        tokens = self.tokens
-        return b"".join([tokens[i] for i in ids.tolist()])
+
+def decode_ids(ids: np.ndarray, tokens: dict[int, bytes]) -> bytes:
+    return b"".join([tokens[i] for i in ids.tolist()])
+
+
+def _places(ranks: np.ndarray) -> dict[int, list[int]]:
+    """The inverted index: places of every rank of 0 or more."""
+    found = np.flatnonzero(ranks >= 0)
+    order = found[np.argsort(ranks[found], kind="stable")]
+    values, starts = np.unique(ranks[order], return_index=True)
+    stops = np.append(starts[1:], len(order)).tolist()
+    places = order.tolist()
+    return {v: places[a:b] for v, a, b in zip(values.tolist(), starts.tolist(), stops)}
+
+
+_codecs: list[MergeReplay] = []
+
+
+def _codec(ranks: dict[bytes, int], pattern: str) -> MergeReplay:
+    """The worker's codec of this vocabulary; the last one is kept for its next task."""
+    if not _codecs or _codecs[0].ranks is not ranks or _codecs[0].pattern != pattern:
+        _codecs[:] = [MergeReplay(ranks, pattern)]
+    return _codecs[0]
 
 
 def _with(batch: pa.RecordBatch, name: str, values: pa.Array) -> pa.RecordBatch:
@@ -143,7 +185,7 @@ def encode(df: DataFrame, ranks: dict[bytes, int], pattern: str, text: str = "te
     shipped = _ship(df.sparkSession, ranks)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        codec = MergeReplay(shipped.value, pattern)
+        codec = _codec(shipped.value, pattern)
         for whole in batches:
             for batch in steps(whole, text, STEP_BYTES):
                 coded = codec.encode(batch.column(text).to_pylist())
@@ -160,10 +202,10 @@ def decode(df: DataFrame, ranks: dict[bytes, int], ids: str = "token_ids", decod
     shipped = _ship(df.sparkSession, ranks)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        codec = MergeReplay(shipped.value, "")
+        tokens = {i: t for t, i in shipped.value.items()}
         for batch in batches:
             column = batch.column(ids)
-            values = [codec.decode(x.values.to_numpy()) if x.is_valid else b"" for x in column]
+            values = [decode_ids(x.values.to_numpy(), tokens) if x.is_valid else b"" for x in column]
             yield _with(batch, decoded, pa.array(values, pa.binary()))
 
     return df.mapInArrow(run, _schema(df, decoded, BinaryType()))
