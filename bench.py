@@ -8,6 +8,7 @@ from __future__ import annotations
 
 import json
 import os
+import tempfile
 import time
 
 from hearthmap.registry.spark_queries import QUERIES
@@ -46,7 +47,8 @@ def run(spark, name: str, sf: str) -> float:
 
 def main() -> None:
     sf = os.environ.get("BENCH_SF_DIR", "/root/testdata/sf0.1")
-    spark = local_session(os.environ.get("BENCH_CPUS", "8"), "hearthmap-bench")
+    scratch = tempfile.mkdtemp(prefix="hearthmap-bench-")
+    spark = local_session(os.environ.get("BENCH_CPUS", "8"), "hearthmap-bench", spark__checkpoint__dir=scratch)
     times = {}
     for name in HEADLINE:
         run(spark, name, sf)

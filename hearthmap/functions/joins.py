@@ -11,11 +11,11 @@ from functools import reduce
 
 from pyspark.sql import Column, DataFrame, functions as F
 
-from hearthmap.session import materialise, shuffle_width
+from hearthmap.session import materialise, shuffle_width, size_in_bytes
 
 Keys = list[str] | list[tuple[str, str]]
-# Lookups up to this many rows are broadcast.
-BROADCAST_ROWS = 200_000
+# Written lookups up to this many bytes of files are broadcast.
+BROADCAST_BYTES = 8_000_000
 # A key is hot when it has more rows than this fraction of an even task's share.
 HOT_SHARE = 4
 
@@ -43,7 +43,7 @@ def lookup_join(
     unique: bool = False,
     written: bool = False,
     sizes: DataFrame | None = None,
-    broadcast_rows: int = BROADCAST_ROWS,
+    broadcast_bytes: int = BROADCAST_BYTES,
 ) -> DataFrame:
     """Left or inner join of a large side to a lookup; NULL keys match NULL keys.
 
@@ -58,7 +58,7 @@ def lookup_join(
     same = [(a, k) for (a, _), k in zip(pairs, keys)]
     if unique:
         return many.join(right, _equal(same), how).drop(*keys)
-    if lookup.count() <= broadcast_rows:
+    if size_in_bytes(lookup) <= broadcast_bytes:
         return many.join(F.broadcast(right), _equal(same), how).drop(*keys)
     return _split_join(many, right, same, how, sizes)
 
@@ -154,7 +154,7 @@ def group_totals(
     df: DataFrame,
     keys: list[str],
     totals: dict[str, Column],
-    broadcast_rows: int = BROADCAST_ROWS,
+    broadcast_bytes: int = BROADCAST_BYTES,
 ) -> DataFrame:
     """Attach group aggregates to every row.
 
@@ -172,5 +172,5 @@ def group_totals(
         keys,
         written=True,
         sizes=sums.select(*keys, "_n"),
-        broadcast_rows=broadcast_rows,
+        broadcast_bytes=broadcast_bytes,
     )

@@ -68,3 +68,11 @@ def level_rank(c: Column | str, levels: list[str]) -> Column:
     """1-based position of a category in its level order, NULL outside it."""
     rank = F.array_position(F.array(*[F.lit(v) for v in levels]), as_col(c))
     return F.when(rank > 0, rank.cast("int"))
+
+
+def listed(c: Column | str, values: list, what: str) -> Column:
+    """The value itself; a value outside the list, NULL included, raises when the rows are read."""
+    c = as_col(c)
+    shown = F.coalesce(c.cast("string"), F.lit("NULL"))
+    unlisted = F.raise_error(F.concat(F.lit(f"{what} has a value outside its list: "), shown))
+    return F.when(c.isin(*values), c).otherwise(unlisted)

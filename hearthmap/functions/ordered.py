@@ -13,7 +13,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, Window, functions as F
 
 from hearthmap.functions.joins import lookup_join
-from hearthmap.session import materialise, slice_count
+from hearthmap.session import materialise
 
 # Rows that one task may sort.
 WINDOW_ROWS = 1_000_000
@@ -36,11 +36,12 @@ def running_totals(
     """
     by = by or []
     table = materialise(counts)
-    if table.count() <= window_rows:
+    rows = table.count()
+    if rows <= window_rows:
         totals = _single_slice(table, sums, by)
         slice_keys = by
     else:
-        table, totals = _slices(table, value, sums, by)
+        table, totals = _slices(table, value, sums, by, slice_count(rows, window_rows))
         slice_keys = [*by, "_slice"]
     if only is not None:
         totals = only(totals)
@@ -70,9 +71,13 @@ def _single_slice(table: DataFrame, sums: list[str], by: list[str]) -> DataFrame
     )
 
 
-def _slices(table: DataFrame, value: str, sums: list[str], by: list[str]):
+def slice_count(rows: int, window_rows: int) -> int:
+    """Slices that keep each within a quarter of what one task may sort, whatever the number of rows."""
+    return max(16, -(-4 * rows // max(window_rows, 1)))
+
+
+def _slices(table: DataFrame, value: str, sums: list[str], by: list[str], n: int):
     """Rows with their slice number, and the slice table with offsets and group totals."""
-    n = slice_count(table.sparkSession)
     probs = F.array(*[F.lit(i / n) for i in range(1, n)])
     cuts = table.groupBy(*by).agg(F.percentile_approx(value, probs, F.lit(50 * n)).alias("_cuts"))
     # without groups the cut table is a single row

@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 
 from hearthmap.constants import AREA_SUFFIX_LENGTH
 from hearthmap.functions.joins import full_join, group_totals, keep_all_lookup, lookup_join
-from hearthmap.functions.nulls import drop_suffix, lenient_sum, ratio, strict_sum, to_number
+from hearthmap.functions.nulls import drop_suffix, lenient_sum, listed, ratio, strict_sum, to_number
 from hearthmap.session import materialise
 
 MEASURES = ["items", "quantity", "cost"]
@@ -61,9 +61,13 @@ def join_practice_values(
 def _wide_totals(
     totals: DataFrame, practice: str, class_col: str, classes: list[str]
 ) -> DataFrame:
-    """One row per practice, one column per class and measure; a missing value counts as zero."""
+    """One row per practice, one column per class and measure; a missing value counts as zero.
+
+    A class outside ``classes`` raises.
+    """
+    known = listed(class_col, classes, class_col)
     sums = [
-        F.sum(F.when(F.col(class_col) == label, F.coalesce(F.col(m), F.lit(0.0)))).alias(f"{m}_{i}")
+        F.sum(F.when(known == label, F.coalesce(F.col(m), F.lit(0.0)))).alias(f"{m}_{i}")
         for i, label in enumerate(classes)
         for m in MEASURES
     ]

@@ -12,11 +12,15 @@ from hearthmap.functions.joins import lookup_join
 
 @dataclass(frozen=True)
 class DrugClass:
-    """A class is every code that starts with ``prefix`` or is in ``codes``."""
+    """A class is every code that starts with ``prefix``, is in ``codes`` or in the table ``listing``.
+
+    ``listing`` has one text column; it is joined and may be of any size.
+    """
 
     label: str
     prefix: str | None = None
     codes: tuple[str, ...] = field(default=())
+    listing: DataFrame | None = field(default=None, compare=False)
 
     def matches(self, code: str) -> Column:
         tests = []
@@ -33,17 +37,9 @@ def code_list(df: DataFrame, column: str) -> DataFrame:
     return df.select(column).distinct()
 
 
-# Longest list that is put into the query text; longer ones are joined.
-MAX_LISTED = 10_000
-
-
 def class_from_list(label: str, codes: DataFrame, column: str) -> DrugClass:
-    """Class from a published code list of checked size."""
-    listed = code_list(codes, column).where(F.col(column).isNotNull())
-    rows = listed.limit(MAX_LISTED + 1).collect()
-    if len(rows) > MAX_LISTED:
-        raise ValueError(f"more than {MAX_LISTED} codes for {label}: use classify_by_listing")
-    return DrugClass(label, codes=tuple(sorted(r[0] for r in rows)))
+    """Class from a published code list of any size."""
+    return DrugClass(label, listing=code_list(codes, column).where(F.col(column).isNotNull()))
 
 
 def classify_by_listing(
@@ -68,11 +64,20 @@ def classify_codes(
 ) -> DataFrame:
     """One output row per (fact row, class it belongs to); one scan for all classes.
 
-    The pre-filter reaches the scan; a code in two classes yields two rows.
+    The pre-filter reaches the scan; a code in two classes yields two rows.  Classes with a listing are
+    joined in a scan of their own.
     """
-    tags = F.array(*[F.when(c.matches(code), F.lit(c.label)) for c in classes])
-    tagged = fact.where(any_class(code, classes)).withColumn(label, F.explode(tags))
-    return tagged.where(F.col(label).isNotNull())
+    tested = [c for c in classes if c.listing is None]
+    listed = [c for c in classes if c.listing is not None]
+    parts = []
+    if tested:
+        tags = F.array_compact(F.array(*[F.when(c.matches(code), F.lit(c.label)) for c in tested]))
+        parts.append(fact.where(any_class(code, tested)).withColumn(label, F.explode(tags)))
+    if listed:
+        pairs = [c.listing.toDF("_listed").withColumn(label, F.lit(c.label)) for c in listed]
+        listing = reduce(DataFrame.unionAll, pairs)
+        parts.append(classify_by_listing(fact, code, listing, "_listed", label).select(*fact.columns, label))
+    return reduce(DataFrame.unionByName, parts)
 
 
 def relabel(df: DataFrame, labels: dict[str, str], label: str = "drug_type") -> DataFrame:

@@ -12,18 +12,12 @@ from hearthmap.constants import (
     YOUNG_MAX,
 )
 from hearthmap.functions.joins import lookup_join
-from hearthmap.functions.nulls import as_col, dash_to_zero, ratio, strict_sum, to_number
-
-MAX_CATEGORIES = 1000
+from hearthmap.functions.nulls import as_col, dash_to_zero, listed, ratio, strict_sum, to_number
 
 
 def distinct_labels(df: DataFrame, column: str) -> list:
-    """Distinct non-null labels of a categorical column, checked to be few."""
-    rows = (
-        df.select(column).where(F.col(column).isNotNull()).distinct().limit(MAX_CATEGORIES + 1)
-    ).collect()
-    if len(rows) > MAX_CATEGORIES:
-        raise ValueError(f"{column} has more than {MAX_CATEGORIES} categories")
+    """Distinct non-null labels of a categorical column; each becomes a column of a result."""
+    rows = df.select(column).where(F.col(column).isNotNull()).distinct().collect()
     return sorted(r[0] for r in rows)
 
 
@@ -32,14 +26,16 @@ def crosstab_column_share(
 ) -> DataFrame:
     """Two-way table with column shares; missing values form their own row and column.
 
-    Counts are combined per (row, column) first; only that small table is pivoted.
+    Counts are combined per (row, column) first; only that small table is pivoted.  A level outside
+    ``levels`` raises.
     """
     labelled = df.select(
         F.coalesce(F.col(row).cast("string"), F.lit(null_label)).alias(row),
         F.coalesce(F.col(column).cast("string"), F.lit(null_label)).alias(column),
     )
-    cells = labelled.groupBy(row, column).agg(F.count(F.lit(1)).alias("_n"))
     columns = [*levels, null_label]
+    cells = labelled.groupBy(row, column).agg(F.count(F.lit(1)).alias("_n"))
+    cells = cells.withColumn(column, listed(column, columns, column))
     wide = cells.groupBy(row).pivot(column, columns).agg(F.sum("_n"))
     counts = cells.groupBy().agg(
         *[F.sum(F.when(F.col(column) == c, F.col("_n"))).alias(f"_t{i}") for i, c in enumerate(columns)]
@@ -70,17 +66,27 @@ def _quoted(text: str) -> str:
 def to_wide(
     df: DataFrame, key: str, category: str, value: str, categories: list[str]
 ) -> DataFrame:
-    """Long to wide with a fixed category list; (key, category) must be unique."""
-    return df.groupBy(key).pivot(category, categories).agg(F.first(value))
+    """Long to wide with a fixed category list; (key, category) must be unique.
+
+    A category outside the list raises.
+    """
+    checked = df.withColumn(category, listed(category, categories, category))
+    return checked.groupBy(key).pivot(category, categories).agg(F.first(value))
 
 
 def wide_counts(
     df: DataFrame, key: str, category: str, count: str, categories: list[str] | None = None
 ) -> DataFrame:
-    """Sum per (key, category), then one column per category, zero-filled."""
-    if categories is None:
+    """Sum per (key, category), then one column per category, zero-filled.
+
+    A category outside a given list raises.
+    """
+    given = categories is not None
+    if not given:
         categories = distinct_labels(df, category)
     cells = df.groupBy(key, category).agg(strict_sum(count).alias("_n"))
+    if given:
+        cells = cells.withColumn(category, listed(category, categories, category))
     # a cell that exists keeps its value (NULL included); an absent cell becomes zero
     found = [
         F.max(F.when(F.col(category) == c, F.struct(F.col("_n")))).alias(f"_f{i}")

@@ -10,8 +10,8 @@ from hearthmap.operators.reshape import england_age_bands, scotland_age_bands
 from hearthmap.operators.stacking import stack_rows
 from hearthmap.sources.sheets import pick_columns, promote_header, trim_rows
 
-# Layout of the smoking sheet (row ranges and column positions, 1-based) and the
-# occupancy column names.
+# Layout of the published smoking sheet (row ranges and column positions, 1-based), the
+# defaults below, and the occupancy column names.
 SMOKING_PREAMBLE, SMOKING_FOOTER, SMOKING_HEADER = (1, 9), (6199, 6202), 10
 SMOKING_POPULATION, SMOKING_CASES = 9, 32
 OCCUPANCY = [
@@ -22,9 +22,14 @@ OCCUPANCY = [
 ]
 
 
-def clean_smoking_sheet(sheet: DataFrame) -> DataFrame:
-    """Practice smoking counts from the raw sheet."""
-    body = promote_header(trim_rows(sheet, SMOKING_PREAMBLE, SMOKING_FOOTER), SMOKING_HEADER)
+def clean_smoking_sheet(
+    sheet: DataFrame,
+    preamble: tuple[int, int] = SMOKING_PREAMBLE,
+    header: int = SMOKING_HEADER,
+    footer: tuple[int, int] = SMOKING_FOOTER,
+) -> DataFrame:
+    """Practice smoking counts from the raw sheet; ``footer`` is where this edition's notes lie."""
+    body = promote_header(trim_rows(sheet, preamble, footer), header)
     return pick_columns(
         body,
         {
@@ -38,13 +43,19 @@ def clean_smoking_sheet(sheet: DataFrame) -> DataFrame:
     )
 
 
-def smoking_by_area(registrations: DataFrame, sheet: DataFrame) -> DataFrame:
+def smoking_by_area(
+    registrations: DataFrame,
+    sheet: DataFrame,
+    preamble: tuple[int, int] = SMOKING_PREAMBLE,
+    header: int = SMOKING_HEADER,
+    footer: tuple[int, int] = SMOKING_FOOTER,
+) -> DataFrame:
     """Smokers, population and prevalence per area."""
     volumes = area_prevalence(
         registrations.withColumnsRenamed(
             {"PRACTICE_CODE": "practice", "LSOA_CODE": "area", "NUMBER_OF_PATIENTS": "patients"}
         ),
-        clean_smoking_sheet(sheet),
+        clean_smoking_sheet(sheet, preamble, header, footer),
     )
     return volumes.withColumnsRenamed(
         {

@@ -81,7 +81,7 @@ def scotland_volumes(
             "cost": "GrossIngredientCost",
         },
     ).withColumnRenamed("GPPractice", "practice")
-    # both lookups are read several times below
+    # read several times below
     shares = materialise(
         zone_shares(
             zones,

@@ -4,8 +4,9 @@ from __future__ import annotations
 
 from dataclasses import dataclass
 
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, functions as F
 
+from hearthmap.constants import OUTLIER_AREAS
 from hearthmap.operators.balance import balance_table, pair_distance, sample_sizes
 from hearthmap.operators.effects import treated_effect, weighted_model
 from hearthmap.operators.group_tests import anova, levene, welch
@@ -33,12 +34,12 @@ COMPARISONS = [
 ]
 
 
-def hotspot_tests(areas: DataFrame) -> DataFrame:
+def hotspot_tests(areas: DataFrame, outliers: list[str] = OUTLIER_AREAS) -> DataFrame:
     """Every test of hotspots against elsewhere: one row per subset, test and measure."""
     groups = materialise(hotspot_groups(materialise(areas)))
     subsets = {
         "all": groups,
-        "no outliers": without_areas(groups, "LSOA21CD"),
+        "no outliers": without_areas(groups, "LSOA21CD", outliers),
         "low income": lowest_income(groups),
     }
     tests = {"levene": levene, "welch": welch, "anova": anova}
@@ -57,8 +58,14 @@ def hotspot_tests(areas: DataFrame) -> DataFrame:
     return results
 
 
+def _complete(columns: list[str]) -> Column:
+    """1 where no column is NULL, else NULL."""
+    return F.when(F.greatest(*[F.col(c).isNull().cast("int") for c in columns], F.lit(0)) == 0, 1)
+
+
 @dataclass
 class MatchedStudy:
+    dropped: int
     pairs: DataFrame
     before: DataFrame
     after: DataFrame
@@ -77,16 +84,22 @@ def matched_study(
     outcome: str,
     numeric: list[str],
     categorical: list[str],
+    drop_incomplete: bool = False,
 ) -> MatchedStudy:
-    """Score, match, check balance and estimate the effect on the treated."""
+    """Score, match, check balance and estimate the effect on the treated.
+
+    Missing covariates raise unless ``drop_incomplete``; then ``dropped`` says how many areas went.
+    """
     covariates = [*numeric, *categorical]
-    data = complete_cases(areas, covariates, True).select(id_col, treated, outcome, *covariates)
+    data = complete_cases(areas, covariates, drop_incomplete).select(id_col, treated, outcome, *covariates)
+    dropped = areas.agg(F.count(F.lit(1)) - F.count(_complete(covariates))).first()[0]
     scored = materialise(propensity_score(materialise(data), treated, numeric, categorical))
     pairs = materialise(nearest_pairs(scored, id_col, treated))
     flagged = match_flags(scored, pairs, id_col)
     with_score = ["distance", *numeric]
     rows = materialise(matched_data(scored, pairs, id_col))
     return MatchedStudy(
+        dropped=dropped,
         pairs=pairs,
         before=balance_table(scored, treated, with_score, categorical),
         after=balance_table(flagged, treated, with_score, categorical, matched="matched"),

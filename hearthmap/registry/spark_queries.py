@@ -421,7 +421,7 @@ def a8_crosstab_levels(spark, sf):
 def a9_unpivot(spark, sf):
     columns = ["Total", *england_age_columns()]
     sheet = S.age_sheet(spark, sf, england_age_columns())
-    return reshape.to_long(sheet, ["area_code"], columns, "age_cat", "value").where("value > 0")
+    return reshape.to_long(sheet, ["area_code"], columns, "age_cat", "value")
 
 
 @query
@@ -622,8 +622,9 @@ def d5_locality(spark, sf):
 @query
 def d6_stack(spark, sf):
     registrations, totals = _with_registrations(spark, sf, _totals(spark, sf))
-    first = A.apportion(registrations, totals, S.LABELS[:4])
-    prepared = A.apportion(registrations, totals, S.LABELS[4:]).withColumn("X", F.lit(1))
+    of = lambda labels: totals.where(F.col("drug_type").isin(*labels))
+    first = A.apportion(registrations, of(S.LABELS[:4]), S.LABELS[:4])
+    prepared = A.apportion(registrations, of(S.LABELS[4:]), S.LABELS[4:]).withColumn("X", F.lit(1))
     return rounded(stacking.stack_rows(first, stacking.drop_index(prepared)), *A.MEASURES)
 
 
@@ -704,7 +705,7 @@ def d12_low_income(spark, sf):
 
 @query
 def d12_without_outliers(spark, sf):
-    kept = hotspots.without_areas(_groups(spark, sf), "LSOA21CD", ["E00000001", "W00000002"])
+    kept = hotspots.without_areas(_groups(spark, sf), "LSOA21CD", S.OUTLIERS)
     return kept.select("LSOA21CD", "top_or_not")
 
 
@@ -749,7 +750,7 @@ def t3_anova(spark, sf):
 
 @query
 def t_hotspot_tests(spark, sf):
-    return study.hotspot_tests(S.areas(spark, sf))
+    return study.hotspot_tests(S.areas(spark, sf), S.OUTLIERS)
 
 
 BOX = ["q1", "median", "q3", "lower_whisker", "upper_whisker"]
@@ -776,7 +777,8 @@ def t4_outliers(spark, sf):
 
 @query
 def t5_histogram(spark, sf):
-    volumes = A.apportion(*_with_registrations(spark, sf, _totals(spark, sf)), ["inhaler"])
+    inhalers = _totals(spark, sf).where("drug_type = 'inhaler'")
+    volumes = A.apportion(*_with_registrations(spark, sf, inhalers), ["inhaler"])
     return bins.histogram(volumes.where(F.col("area") != EMPTY_AREA), "items")
 
 

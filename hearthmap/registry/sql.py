@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 from hearthmap.constants import HOTSPOT_LEVELS
-from hearthmap.standins import CLASSES, LABELS, OCCUPANCY
+from hearthmap.standins import CLASSES, LABELS, OCCUPANCY, OUTLIERS
 
 MEASURES = ["items", "quantity", "cost"]
 # keeps exact halves from being rounded differently
@@ -525,8 +525,11 @@ ORACLE: dict[str, str] = {
     "a8_crosstab_flag": _crosstab("groups", "top_or_not", ["Elsewhere", "Hotspots"], "groups"),
     "a8_crosstab_levels": _crosstab("leveled", "classification", HOTSPOT_LEVELS, "leveled"),
     "a9_unpivot": sql(
-        """SELECT 'N' || c_nationkey AS area_code, sex || age AS age_cat, count(*) AS value
-        FROM aged JOIN customer ON o_custkey = c_custkey GROUP BY 1, 2
+        """SELECT area_code, label AS age_cat, coalesce(n, 0) AS value
+        FROM (SELECT DISTINCT 'N' || c_nationkey AS area_code FROM aged JOIN customer ON o_custkey = c_custkey)
+        CROSS JOIN (SELECT s || a AS label FROM (SELECT unnest(['F', 'M']) AS s) CROSS JOIN (SELECT unnest(generate_series(0, 90)) AS a))
+        LEFT JOIN (SELECT 'N' || c_nationkey AS area, sex || age AS l, count(*) AS n
+                   FROM aged JOIN customer ON o_custkey = c_custkey GROUP BY 1, 2) ON area = area_code AND l = label
         UNION ALL SELECT 'N' || c_nationkey, 'Total', count(*) FROM aged JOIN customer ON o_custkey = c_custkey GROUP BY 1""",
         "aged",
     ),
@@ -611,7 +614,7 @@ ORACLE: dict[str, str] = {
     + " THEN CAST(h0 + h1 + h2 + h3 AS DOUBLE) END AS total_households, round(CASE WHEN "
     + " AND ".join(f'h{i} > 0' for i in range(4))
     + " THEN h0 / CAST(h0 + h1 + h2 + h3 AS DOUBLE) END, 6) AS overcrowding_rate FROM (SELECT 'N' || c_nationkey AS area, "
-    + ", ".join(f"count(*) FILTER (c_mktsegment = '{s}') AS h{i}" for i, s in enumerate(OCCUPANCY.values()))
+    + ", ".join(f"count(*) FILTER (c_mktsegment IN {(*s, '')}) AS h{i}" for i, s in enumerate(OCCUPANCY.values()))
     + " FROM customer GROUP BY 1)",
     "d9_category_wide": "SELECT user_id AS area, "
     + ", ".join(f"count(*) FILTER (event_type = '{e}') AS {e}" for e in ["click", "error", "purchase", "signup", "view"])
@@ -645,7 +648,7 @@ ORACLE: dict[str, str] = {
     ),
     "d12_hotspot_groups": sql("SELECT LSOA21CD, LSOA_incmedian, classification, top_or_not, income_dist_median FROM groups", "groups"),
     "d12_low_income": sql("SELECT LSOA21CD, top_or_not FROM groups WHERE income_dist_median = 1", "groups"),
-    "d12_without_outliers": sql("SELECT LSOA21CD, top_or_not FROM groups WHERE LSOA21CD NOT IN ('E00000001', 'W00000002')", "groups"),
+    "d12_without_outliers": sql("SELECT LSOA21CD, top_or_not FROM groups WHERE LSOA21CD NOT IN " + str(tuple(OUTLIERS)), "groups"),
     "d13_group_rates": sql(
         "SELECT top_or_not, " + ", ".join(f"round(avg({s}) * 100, 6) AS {o}" for o, s in RATES.items())
         + " FROM groups WHERE classification IS NOT NULL AND LSOA_incmedian IS NOT NULL AND LSOA_FPmean IS NOT NULL AND ruc21ind IS NOT NULL"

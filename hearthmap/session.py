@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import tempfile
 import uuid
 from concurrent.futures import ThreadPoolExecutor
 
@@ -31,26 +30,30 @@ def local_session(cores: str = "8", app: str = "hearthmap", **conf: str) -> Spar
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """Durable folder every executor can read, as named by the cluster.
+    """Durable folder every executor can read: the session's checkpoint folder, else its warehouse.
 
-    Only where ``spark.checkpoint.dir`` is unset (tests, local runs) is a folder of our own set.
+    This application's tables lie in a folder of their own below it, which Spark's file system drops
+    when the application ends.
     """
     context = spark.sparkContext
-    current = context.getCheckpointDir()
-    if current:
-        return current
-    folder = spark.conf.get("spark.checkpoint.dir", None)
-    if not folder:
-        if not context.master.startswith("local"):
-            raise RuntimeError("set spark.checkpoint.dir to a folder shared by the cluster")
-        folder = tempfile.mkdtemp(prefix="hearthmap-checkpoint-")
-    context.setCheckpointDir(folder)
-    return context.getCheckpointDir()
+    if context.applicationId not in _folders:
+        base = context.getCheckpointDir() or spark.conf.get("spark.checkpoint.dir", None)
+        base = base or spark.conf.get("spark.sql.warehouse.dir")
+        folder = context._jvm.org.apache.hadoop.fs.Path(f"{base.rstrip('/')}/hearthmap-{uuid.uuid4().hex}")
+        files = folder.getFileSystem(context._jsc.hadoopConfiguration())
+        files.mkdirs(folder)
+        files.deleteOnExit(folder)
+        _folders[context.applicationId] = folder.toString()
+    return _folders[context.applicationId]
+
+
+# By application: the folder of its written tables.
+_folders: dict[str, str] = {}
 
 
 def new_shared_path(spark: SparkSession, name: str) -> str:
     """Fresh path below the shared folder for a table written by a job."""
-    return f"{shared_dir(spark).rstrip('/')}/{name}-{uuid.uuid4().hex}"
+    return f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
 
 
 def materialise(df: DataFrame) -> DataFrame:
@@ -75,6 +78,6 @@ def shuffle_width(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 
 
-def slice_count(spark: SparkSession) -> int:
-    """Number of value slices that bounds one task's share of an ordered group."""
-    return max(16, min(512, shuffle_width(spark)))
+def size_in_bytes(table: DataFrame) -> int:
+    """Size of a written table's files, from the planner's statistics."""
+    return int(str(table._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))

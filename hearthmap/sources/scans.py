@@ -36,13 +36,13 @@ def scan_code_months(
 ) -> DataFrame:
     """One scan over the code x month files below ``base``, each row tagged with its file's code.
 
-    Layout: ``<base>/code=<code>/month=<yyyy-MM-dd>/``.  Months or codes that are not wanted are
-    never listed or opened.
+    Layout: ``<base>/code=<code>/month=<yyyy-MM-dd>/``, the usual partition folders: the filter on them
+    prunes what is not wanted before anything is opened, and a code without files in a month has no
+    rows there.
     """
-    folders = [f"{base}/code={c}/month={m:%Y-%m-%d}" for c in codes for m in months]
-    return scan_csv(spark, folders, schema).withColumn(
-        code, F.regexp_extract(F.col("_metadata.file_path"), r"/code=([^/]+)/", 1)
-    )
+    rows = scan_csv(spark, base, f"{schema}, `code` string, `month` date")
+    wanted = F.col("code").isin(*codes) & F.col("month").isin(*months)
+    return rows.where(wanted).drop("month").withColumnRenamed("code", code)
 
 
 def scan_months(
@@ -54,9 +54,10 @@ def scan_months(
 ) -> DataFrame:
     """One scan over monthly files; ``pattern`` has a ``{month}`` place for yyyyMM.
 
-    ``keep`` is the per-row filter; the scan applies it while reading.
+    Months without files have no rows; a pattern that meets no file at all raises.  ``keep`` is the per-row filter; the scan applies it while reading.
     """
-    rows = scan_csv(spark, [pattern.format(month=f"{m:%Y%m}") for m in months], schema)
+    any_month = "{" + ",".join(f"{m:%Y%m}" for m in months) + "}"
+    rows = scan_csv(spark, pattern.replace("{month}", any_month), schema)
     return rows if keep is None else rows.where(keep)
 
 

@@ -28,10 +28,17 @@ def promote_header(sheet: DataFrame, header_row: int, drop_before: bool = True)
 
 
 def pick_columns(sheet: DataFrame, picks: dict[str, str | int]) -> DataFrame:
-    """Select columns by name or by 1-based position and name them."""
-    value_columns = [c for c in sheet.columns if c != ROW]
+    """Select columns by name or by 1-based position and name them.
+
+    Positions hold where header names repeat; a repeated name cannot be picked by name.
+    """
+    places = [i for i, c in enumerate(sheet.columns) if c != ROW]
+    numbered = sheet.toDF(*[f"_{i}" for i in range(len(sheet.columns))])
     chosen = []
     for out, pick in picks.items():
-        source = value_columns[pick - 1] if isinstance(pick, int) else pick
-        chosen.append(F.col(f"`{source}`").alias(out))
-    return sheet.select(*chosen)
+        named = [i for i in places if sheet.columns[i] == pick]
+        if not isinstance(pick, int) and len(named) != 1:
+            raise ValueError(f"{len(named)} columns are called {pick}")
+        place = places[pick - 1] if isinstance(pick, int) else named[0]
+        chosen.append(F.col(f"_{place}").alias(out))
+    return numbered.select(*chosen)

@@ -8,10 +8,14 @@ sys.path.insert(0, str(Path(__file__).resolve().parent))
 
 
 @pytest.fixture(scope="session")
-def spark():
+def spark(tmp_path_factory):
     from hearthmap.session import local_session
 
-    session = local_session("8", spark__sql__shuffle__partitions="4")
+    folders = {
+        "spark__checkpoint__dir": str(tmp_path_factory.mktemp("checkpoint")),
+        "spark__sql__warehouse__dir": str(tmp_path_factory.mktemp("warehouse")),
+    }
+    session = local_session("8", spark__sql__shuffle__partitions="4", **folders)
     yield session
     session.stop()
 

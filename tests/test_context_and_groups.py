@@ -181,3 +181,31 @@ def test_context_plans(frame):
     assert table(plans.overcrowding_by_area(crowd), "LSOA_CODE", "Total_households", "Overcrowding_prev") == [("A1", 10.0, 0.1), ("A2", None, None)]
     people = frame([("A1", "x", 1), ("A1", "x", 2), ("A2", "y", 5)], "`Lower layer Super Output Areas Code` string, `Ethnic group (20 categories)` string, Observation bigint")
     assert table(plans.ethnicity_by_area(people), "LSOA_CODE", "x", "y") == [("A1", 3, 0), ("A2", 0, 5)]
+
+
+def test_values_outside_a_list_raise(frame):
+    from hearthmap.operators import apportion, reshape
+
+    df = frame([("a", "X", 1.0), ("a", "Z", 2.0)], "k string, c string, n double")
+    for wide in (
+        reshape.to_wide(df, "k", "c", "n", ["X", "Y"]),
+        reshape.wide_counts(df, "k", "c", "n", ["X", "Y"]),
+        reshape.crosstab_column_share(df, "k", "c", ["X", "Y"]),
+    ):
+        with pytest.raises(Exception, match="value outside its list: Z"):
+            wide.collect()
+    totals = frame([("P", "other", 1.0, 1.0, 1.0)], "practice string, drug_type string, items double, quantity double, cost double")
+    with pytest.raises(Exception, match="value outside its list: other"):
+        apportion._wide_totals(totals, "practice", "drug_type", ["known"]).collect()
+    assert reshape.wide_counts(df, "k", "c", "n").columns == ["k", "X", "Z"]
+
+
+def test_footer_of_another_edition(frame):
+    from hearthmap.plans import context
+
+    head = ["PCN ODS code", "PCN name", "Practice code", "Practice name", "Population", *[f"h{i}" for i in range(26)], "Population", "Cases"]
+    # 1-based: people in column 9, cases in column 32
+    rows = [(1, *["t"] * 33), (2, *head), (3, *[str(i) for i in range(33)]), (4, *["end"] * 33)]
+    sheet = frame(rows, "_row int, " + ", ".join(f"c{i} string" for i in range(33)))
+    out = context.clean_smoking_sheet(sheet, (1, 1), 2, (4, 4))
+    assert [tuple(r) for r in out.collect()] == [("0", "1", "2", "3", "8", "31")]

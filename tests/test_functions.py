@@ -43,18 +43,18 @@ def test_levels(frame):
     assert [tuple(r) for r in out.collect()] == [("Hot", 2), (None, None), (None, None)]
 
 
-@pytest.mark.parametrize("broadcast_rows", [0, 100])
-def test_joins_match_null_keys_and_split_hot_ones(frame, broadcast_rows):
+@pytest.mark.parametrize("broadcast_bytes", [0, 10**6])
+def test_joins_match_null_keys_and_split_hot_ones(frame, broadcast_bytes):
     many = frame([(None, 1), ("a", 2), ("a", 3), ("b", 4)], "k string, v int")
     lookup = frame([(None, 10), ("a", 20), ("z", 30)], "j string, w int")
     on = [("k", "j")]
-    assert table(lookup_join(many, lookup, on, "left", broadcast_rows=broadcast_rows), "k", "v", "w") == [
+    assert table(lookup_join(many, lookup, on, "left", broadcast_bytes=broadcast_bytes), "k", "v", "w") == [
         (None, 1, 10), ("a", 2, 20), ("a", 3, 20), ("b", 4, None)
     ]
-    assert table(full_join(many, lookup, on, broadcast_rows=broadcast_rows), "k", "v", "w") == [
+    assert table(full_join(many, lookup, on, broadcast_bytes=broadcast_bytes), "k", "v", "w") == [
         (None, 1, 10), ("a", 2, 20), ("a", 3, 20), ("b", 4, None), ("z", None, 30)
     ]
-    assert table(keep_all_lookup(many, lookup, on, broadcast_rows=broadcast_rows), "k", "v", "w") == [
+    assert table(keep_all_lookup(many, lookup, on, broadcast_bytes=broadcast_bytes), "k", "v", "w") == [
         (None, 1, 10), ("a", 2, 20), ("a", 3, 20), ("z", None, 30)
     ]
 
@@ -67,14 +67,14 @@ def test_hot_keys_are_few_and_split(frame):
     assert [tuple(r) for r in _hot_keys(sizes, ["k"]).collect()] == [("hot", -(-500 * parts // 1000))]
     many = frame([("hot", i) for i in range(300)] + [(f"k{i}", i) for i in range(50)], "k string, v int")
     lookup = frame([("hot", 1), *[(f"k{i}", 2) for i in range(40)]], "k string, w int")
-    out = lookup_join(many, lookup, ["k"], broadcast_rows=0)
+    out = lookup_join(many, lookup, ["k"], broadcast_bytes=0)
     assert out.count() == 350
     assert out.groupBy("w").count().orderBy("w").collect() == [(None, 10), (1, 300), (2, 40)]
 
 
 def test_group_totals(frame):
     df = frame([("a", 1.0), ("a", 2.0), (None, 5.0)], "k string, v double")
-    out = group_totals(df, ["k"], {"t": nulls.strict_sum("v")}, broadcast_rows=0)
+    out = group_totals(df, ["k"], {"t": nulls.strict_sum("v")}, broadcast_bytes=0)
     assert table(out, "k", "v", "t") == [(None, 5.0, 5.0), ("a", 1.0, 3.0), ("a", 2.0, 3.0)]
 
 

@@ -73,3 +73,27 @@ def test_csv_round_trip(frame, tmp_path):
         sinks.write_csv(df, path)
     sinks.write_parquet(df, str(tmp_path / "p"), partition_by=["code"])
     assert df.sparkSession.read.parquet(str(tmp_path / "p")).count() == 2
+
+
+def test_scans_survive_gaps(frame, tmp_path):
+    spark = frame([(1,)], "x int").sparkSession
+    row = "c,P1,Practice,1.5,2,3,4,2024-08-01"
+    head = "ccg,row_id,row_name,actual_cost,items,quantity,setting,date"
+    for code, month in (("0402", "2024-08-01"), ("0403", "2024-09-01"), ("a%3Ab", "2024-09-01")):
+        folder = tmp_path / "codes" / f"code={code}" / f"month={month}"
+        folder.mkdir(parents=True)
+        (folder / "part.csv").write_text(f"{head}\n{row}\n")
+    months = [date(2024, 8, 1), date(2024, 9, 1), date(2024, 10, 1)]
+    out = scans.scan_code_months(spark, str(tmp_path / "codes"), ["0402", "a:b", "none"], months, RX_ENGLAND)
+    assert table(out, "bnf_code", "row_id") == [("0402", "P1"), ("a:b", "P1")]
+    (tmp_path / "m202408.csv").write_text("Code,N\n0403A,1\n")
+    out = scans.scan_months(spark, str(tmp_path) + "/m{month}.csv", months, "Code string, N double")
+    assert table(out, "Code", "N") == [("0403A", 1.0)]
+
+
+def test_positions_hold_where_headers_repeat(frame):
+    sheet = frame([(1, "Code", "Pop", "Pop"), (2, "a", "1", "2")], "_row int, c1 string, c2 string, c3 string")
+    body = sheets.promote_header(sheet, 1)
+    assert table(sheets.pick_columns(body, {"code": "Code", "second": 3}), "code", "second") == [("a", "2")]
+    with pytest.raises(ValueError):
+        sheets.pick_columns(body, {"n": "Pop"})
