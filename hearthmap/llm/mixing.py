@@ -93,7 +93,7 @@ def mix(documents: DataFrame, seed: str = SEED, row: str | None = None) -> DataF
     scratch = Scratch(spark)
     sized = scratch.write(sizes(documents, row))
     wanted = scratch.write(targets(sized))
-    spread = [F.xxhash64("doc_id"), F.col("doc_id"), *([F.col(row)] if row else [])]
+    spread = [F.md5(F.col("doc_id").cast("string")), F.col("doc_id"), *([F.col(row)] if row else [])]
     placed = scratch.write(
         sized.repartitionByRange(
             int(spark.conf.get("spark.sql.shuffle.partitions")), F.col("source").asc_nulls_last(), "size", *spread
