@@ -24,20 +24,18 @@ def _large_star(edges: DataFrame, scratch: Scratch) -> DataFrame:
 
 def _small_star(edges: DataFrame, scratch: Scratch) -> DataFrame:
     """Every node ties its smaller neighbours and itself to the smallest of them."""
-    least = scratch.write(edges.groupBy("u").agg(F.min("v").alias("m")))
+    least = edges.groupBy("u").agg(F.min("v").alias("m"))
     tied = edges.join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v"))
     own = least.select("u", F.col("m").alias("v"))
-    result = scratch.write(tied.where("u <> v").unionAll(own).distinct())
-    scratch.drop(least)
-    return result
+    return scratch.write(tied.where("u <> v").unionAll(own).distinct())
 
 
 def components(links: DataFrame, scratch: Scratch) -> DataFrame:
     """Rows (node, root) for every node of ``links`` (long columns a, b); root is the smallest reachable.
 
     Loops, repeated and reversed links are allowed, links with a null end are ignored; no links give no
-    rows.  Both steps aggregate before they shuffle, and the written minima join the edges in a plain
-    join, so that a node with very many neighbours is split when it is skewed.
+    rows.  Both steps aggregate before they shuffle.  A root has very many larger neighbours: there the
+    minima are written and join the edges in a plain join, which splits a skewed node.
     """
     edges = scratch.write(
         links.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v"))

@@ -1,7 +1,7 @@
 """Near-duplicate documents by MinHash.
 
-128 universal hash minima per document, banded; every band group is compared with its smallest document
-and confirmed on full shingle sets; components by alternating large-star and small-star.
+128 universal hash minima per document, banded; every band group is compared with a leader and confirmed on
+full shingle sets; components by alternating large-star and small-star.
 
 Documents with equal sets form one class and only the class's smallest document is banded, so that
 copies cost one row each.  A band group is never paired out: its members are compared with one leader,
@@ -9,7 +9,7 @@ those below the threshold are grouped again under a new leader, and so on.  Jacc
 triangle inequality, so a member x with similarity u to the leader can only be linked with a member y of
 similarity s >= u when s - u <= 1 - threshold; just those pairs are compared as well, and only if x and
 y are not in one component yet.  What is still left after ``ROUNDS`` leaders is compared within its
-band group.  So every pair that shares a band and is linked ends up in one component.
+band group, across components only.  So every pair that shares a band and is linked ends up in one component.
 
 Two documents at the threshold of 0.75 share none of 32 bands of 4 minima with probability 5e-6.
 
@@ -33,10 +33,12 @@ BANDS, BAND_ROWS = 32, 4
 # Linked: PERCENT * size of the union <= 100 * size of the intersection.
 PERCENT = 75
 # Leaders of a band group before the rest of the group is compared as it is.
-ROUNDS = 4
+ROUNDS = 3
 # Share of equal minima below which two documents are not compared on their sets.  It is five standard
 # deviations below a similarity of 0.5, the least that matters at a threshold of 0.75.
 LEAST_AGREEMENT = 0.3
+# Broadcast a list of documents to compare up to this many ids (8 bytes each); beyond, shuffle it.
+BROADCAST_IDS = 1_000_000
 
 _random = np.random.default_rng(20_240_607)
 _FACTORS = _random.integers(1, 2**63, BANDS * BAND_ROWS, np.uint64) * np.uint64(2) + np.uint64(1)
@@ -134,15 +136,19 @@ class _Comparison:
 
     def __call__(self, pairs: DataFrame) -> DataFrame:
         """Rows (a, b, common, union) of those pairs whose signatures agree; written."""
-        minima = self.signatures.select("doc_id", "minima")
+        pairs = self.scratch.write(pairs)
+        wanted = self.scratch.write(pairs.select(F.explode(F.array("a", "b")).alias("doc_id")).distinct())
+        # a short list of ids goes to the rows, else the rows to the ids
+        few = wanted.count() <= BROADCAST_IDS
+        only = lambda rows: rows.join(F.broadcast(wanted) if few else wanted, "doc_id", "left_semi")
+        minima = only(self.signatures).select("doc_id", "minima")
         signed = pairs.join(minima.toDF("a", "minima_a"), "a").join(minima.toDF("b", "minima_b"), "b")
-        near = self.scratch.write(signed.mapInArrow(_agreement, "a long, b long").distinct())
-        wanted = near.select(F.explode(F.array("a", "b")).alias("doc_id")).distinct()
-        texts = self.scratch.write(self.documents.join(wanted, "doc_id").distinct())
+        near = signed.mapInArrow(_agreement, "a long, b long").distinct()
+        texts = self.scratch.write(only(self.documents).distinct())
         paired = near.join(texts.toDF("a", "text_a"), "a").join(texts.toDF("b", "text_b"), "b")
         schema = "a long, b long, common long, union long"
         result = self.scratch.write(paired.mapInArrow(_overlaps, schema).distinct())
-        self.scratch.drop(near, texts)
+        self.scratch.drop(pairs, wanted, texts)
         return result
 
 
@@ -202,43 +208,64 @@ def _several(members: DataFrame) -> DataFrame:
     return ends.where("low < high").select("band")
 
 
+def _leaders(members: DataFrame) -> DataFrame:
+    """(band, a): the member that meets most others over all its bands, the smallest of equals.
+
+    Copies that were each changed apart are nearer to what they were made from than to each other; the
+    common original meets most of them.
+    """
+    sizes = members.groupBy("band").agg(F.count("*").alias("n"))
+    reach = members.join(sizes, "band").groupBy("doc_id").agg(F.sum("n").alias("reach"))
+    best = F.max(F.struct("reach", (-F.col("doc_id")).alias("less"))).alias("best")
+    return members.join(reach, "doc_id").groupBy("band").agg(best).select("band", (-F.col("best.less")).alias("a"))
+
+
 def _star(members: DataFrame, compare: _Comparison, percent: int, scratch: Scratch):
     """Compare band groups with their leaders.
 
     Returns (band, a: leader, b: member, common, union) for all members, with nulls where the signatures
     already differ, and the members (band, doc_id) to be grouped again.
     """
-    leads = scratch.write(members.groupBy("band").agg(F.min("doc_id").alias("a")))
-    grouped = members.join(leads, "band").where("a <> doc_id").withColumnRenamed("doc_id", "b")
-    grouped = scratch.write(grouped.distinct())
+    grouped = members.join(_leaders(members), "band").where("a <> doc_id").withColumnRenamed("doc_id", "b")
     overlaps = compare(grouped.select("a", "b").distinct())
     star = scratch.write(grouped.join(overlaps, ["a", "b"], "left"))
     low = star.where(~F.coalesce(100 * F.col("common") >= percent * F.col("union"), F.lit(False)))
     low = low.select("band", F.col("b").alias("doc_id"))
-    several = scratch.write(_several(low))
-    left = scratch.write(low.join(several, "band"))
-    scratch.drop(leads, grouped, several)
+    left = scratch.write(low.join(_several(low), "band"))
     return star, left
 
 
 def _across(stars: list[DataFrame], left: DataFrame, roots: DataFrame, percent: int) -> DataFrame:
-    """Pairs that the leaders' comparisons leave open, in different components."""
+    """Pairs that the leaders' comparisons leave open, in different components.
+
+    All high members of a band group are in its leader's component, so only low members of other
+    components meet them.
+    """
     pairs = None
     for star in stars:
         # no share: too few equal minima for one that matters
         share = F.col("common") / F.col("union")
-        known = star.select("band", "b", share.alias("share"), (100 * F.col("common") >= percent * F.col("union")).alias("high"))
-        low = known.where(~F.coalesce("high", F.lit(False)) & (F.col("share") >= 2 * percent / 100 - 1))
+        high = 100 * F.col("common") >= percent * F.col("union")
+        known = star.select("band", "a", "b", share.alias("share"), F.coalesce(high, F.lit(False)).alias("high"))
+        low = _apart(known.where(~F.col("high") & (F.col("share") >= 2 * percent / 100 - 1)), roots)
         low = low.select("band", F.col("b").alias("a"), F.col("share").alias("low_share"))
-        high = known.where("high").select("band", "b", "share")
-        met = low.join(high, "band").where(F.col("share") - F.col("low_share") <= 1 - percent / 100 + 1e-9)
-        pairs = met.select("a", "b") if pairs is None else pairs.unionAll(met.select("a", "b"))
-    rest = left.select("band", F.col("doc_id").alias("a")).join(
-        left.select("band", F.col("doc_id").alias("b")), "band"
-    )
-    pairs = pairs.unionAll(rest.where("a < b").select("a", "b"))
+        met = low.join(known.where("high").select("band", "b", "share"), "band")
+        met = met.where(F.col("share") - F.col("low_share") <= 1 - percent / 100 + 1e-9).select("a", "b")
+        pairs = met if pairs is None else pairs.unionAll(met)
+    # what is left of a band group that lies in one component has nothing open
+    rooted = left.join(roots.withColumnRenamed("node", "doc_id"), "doc_id", "left")
+    rooted = rooted.select("band", "doc_id", F.coalesce("root", "doc_id").alias("root"))
+    ends = rooted.groupBy("band").agg(F.min("root").alias("low"), F.max("root").alias("high"))
+    rooted = rooted.join(ends.where("low < high").select("band"), "band")
+    side = lambda c: rooted.select("band", F.col("doc_id").alias(c), F.col("root").alias(f"root_{c}"))
+    rest = side("a").join(side("b"), "band").where("root_a < root_b")
+    pairs = pairs.unionAll(rest.select("a", "b")).distinct()
+    apart = _apart(pairs, roots)
+    return apart.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
+
+
+def _apart(pairs: DataFrame, roots: DataFrame) -> DataFrame:
+    """Rows whose ``a`` and ``b`` are in different components."""
     of = lambda c: roots.select(F.col("node").alias(c), F.col("root").alias(f"root_{c}"))
-    pairs = pairs.distinct().join(of("a"), "a", "left").join(of("b"), "b", "left")
-    return pairs.where(
-        F.coalesce("root_a", "a") != F.coalesce("root_b", "b")
-    ).select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
+    pairs = pairs.join(of("a"), "a", "left").join(of("b"), "b", "left")
+    return pairs.where(F.coalesce("root_a", "a") != F.coalesce("root_b", "b")).drop("root_a", "root_b")

@@ -21,7 +21,7 @@ def brute_vectors(rows, least):
     sound = {}
     for i, v in rows:
         if i is not None and v and all(x is not None and np.isfinite(x) for x in v) and any(v):
-            sound.setdefault(i, []).append(np.array(v, float))
+            sound.setdefault(i, []).append(np.array(v, float) / np.abs(v).max())
     links = Counter()
     root = {i: i for i, _ in rows if i is not None}
     pairs = []
