@@ -178,7 +178,8 @@ def sample(labelled: DataFrame, texts: int = SAMPLE_TEXTS, words: int = SAMPLE_W
     limits = rows.groupBy("lang").agg(F.approx_count_distinct("h").alias("n"))
     span = F.lit(2.0**64) * F.least(F.lit(1.0), 2 * texts / F.col("n") + 0.01)
     limits = limits.select(F.col("lang").alias("_lang"), (F.lit(-(2.0**63)) + span).alias("_limit"))
-    near = rows.join(limits, F.col("lang") == F.col("_lang")).where(F.col("h") <= F.col("_limit"))
+    # one row per language, which is one column of the model
+    near = rows.join(F.broadcast(limits), F.col("lang") == F.col("_lang")).where(F.col("h") <= F.col("_limit"))
     once = near.groupBy("lang", "h").agg(F.min("text").alias("text"))
     rank = F.row_number().over(Window.partitionBy("lang").orderBy("h"))
     split = F.expr(r"regexp_extract_all(text, '([^\\x20\\x09-\\x0D]+)', 1)")
