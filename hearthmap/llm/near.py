@@ -7,9 +7,14 @@ Documents with equal sets form one class and only the class's smallest document
 copies cost one row each.  A band group is never paired out: its members are compared with one leader,
 those below the threshold are grouped again under a new leader, and so on.  Jaccard distance obeys the
 triangle inequality, so a member x with similarity u to the leader can only be linked with a member y of
-similarity s >= u when s - u <= 1 - threshold; just those pairs are compared as well, and only if x and
-y are not in one component yet.  What is still left after ``ROUNDS`` leaders is compared within its
-band group, across components only.  So every pair that shares a band and is linked ends up in one component.
+similarity s >= u when s - u <= 1 - threshold; just those pairs stay open, and only if x and y are not in
+one component yet.  What is still left after ``ROUNDS`` leaders stays open within its band group, across
+components only.  So every pair that shares a band and is linked ends up in one component.
+
+Open pairs are bounded before they are formed.  A shingle that no other open document holds cannot be
+common.  Let c of x's shingles be the leader's too and e of its others be held by other open documents:
+x and y have at most min(c) + min(e) in common.  Copies that were changed apart from each other hold few
+such others, so that a group of them needs few comparisons though each of its members is near many.
 
 Two documents at the threshold of 0.75 share none of 32 bands of 4 minima with probability 5e-6.
 
@@ -37,6 +42,8 @@ ROUNDS = 3
 # Share of equal minima below which two documents are not compared on their sets.  It is five standard
 # deviations below a similarity of 0.5, the least that matters at a threshold of 0.75.
 LEAST_AGREEMENT = 0.3
+# The same for open pairs, where only links matter: five standard deviations below the threshold.
+LEAST_LINKED = 0.55
 # Broadcast a list of documents to compare up to this many ids (8 bytes each); beyond, shuffle it.
 BROADCAST_IDS = 1_000_000
 
@@ -93,16 +100,30 @@ def _signatures(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             )
 
 
-def _agreement(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def _agreement(least: float):
     """Pairs whose minima agree often enough."""
-    for batch in batches:
-        if batch.num_rows:
-            left, right = (
-                np.frombuffer(b"".join(batch.column(c).to_pylist()), np.uint32).reshape(batch.num_rows, -1)
-                for c in ("minima_a", "minima_b")
-            )
-            good = pa.array((left == right).mean(axis=1) >= LEAST_AGREEMENT)
-            yield batch.select(["a", "b"]).filter(good)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            if batch.num_rows:
+                left, right = (
+                    np.frombuffer(b"".join(batch.column(c).to_pylist()), np.uint32).reshape(batch.num_rows, -1)
+                    for c in ("minima_a", "minima_b")
+                )
+                good = pa.array((left == right).mean(axis=1) >= least)
+                yield batch.select(["a", "b"]).filter(good)
+
+    return run
+
+
+def _shingles(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(doc_id, shingle) for every distinct shingle of every text."""
+    for whole in batches:
+        for batch in steps(whole):
+            data, bounds = raw(batch.column("text"))
+            sets, first = shingle_sets(lower_ascii(data), bounds)
+            ids = batch.column("doc_id").take(pa.array(np.repeat(np.arange(batch.num_rows), np.diff(first))))
+            yield pa.RecordBatch.from_arrays([ids, pa.array(sets.view(np.int64))], ["doc_id", "shingle"])
 
 
 def _overlaps(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -134,16 +155,33 @@ class _Comparison:
     def __init__(self, signatures: DataFrame, documents: DataFrame, scratch: Scratch):
         self.signatures, self.documents, self.scratch = signatures, documents, scratch
 
-    def __call__(self, pairs: DataFrame) -> DataFrame:
+    @staticmethod
+    def _only(wanted: DataFrame):
+        """Cuts rows down to the wanted ids: a short list of ids goes to the rows, else the rows to the ids."""
+        few = wanted.count() <= BROADCAST_IDS
+        return lambda rows: rows.join(F.broadcast(wanted) if few else wanted, "doc_id", "left_semi")
+
+    def shared(self, ids: DataFrame) -> DataFrame:
+        """(doc_id, n, held): number of shingles, and of those that another document of ``ids`` holds; written."""
+        wanted = self.scratch.write(ids.distinct())
+        only = self._only(wanted)
+        shingles = only(self.documents).distinct().mapInArrow(_shingles, "doc_id long, shingle long")
+        single = shingles.groupBy("shingle").agg(F.count("*").alias("times"), F.min("doc_id").alias("doc_id"))
+        single = single.where("times = 1").groupBy("doc_id").agg(F.count("*").alias("single"))
+        sizes = only(self.signatures).groupBy("doc_id").agg(F.min("n_shingles").alias("n"))
+        held = F.col("n") - F.coalesce("single", F.lit(0))
+        result = self.scratch.write(sizes.join(single, "doc_id", "left").select("doc_id", "n", held.alias("held")))
+        self.scratch.drop(wanted)
+        return result
+
+    def __call__(self, pairs: DataFrame, least: float = LEAST_AGREEMENT) -> DataFrame:
         """Rows (a, b, common, union) of those pairs whose signatures agree; written."""
         pairs = self.scratch.write(pairs)
         wanted = self.scratch.write(pairs.select(F.explode(F.array("a", "b")).alias("doc_id")).distinct())
-        # a short list of ids goes to the rows, else the rows to the ids
-        few = wanted.count() <= BROADCAST_IDS
-        only = lambda rows: rows.join(F.broadcast(wanted) if few else wanted, "doc_id", "left_semi")
+        only = self._only(wanted)
         minima = only(self.signatures).select("doc_id", "minima")
         signed = pairs.join(minima.toDF("a", "minima_a"), "a").join(minima.toDF("b", "minima_b"), "b")
-        near = signed.mapInArrow(_agreement, "a long, b long").distinct()
+        near = signed.mapInArrow(_agreement(least), "a long, b long").distinct()
         texts = self.scratch.write(only(self.documents).distinct())
         paired = near.join(texts.toDF("a", "text_a"), "a").join(texts.toDF("b", "text_b"), "b")
         schema = "a long, b long, common long, union long"
@@ -188,8 +226,8 @@ def near_duplicates(documents: DataFrame, percent: int = PERCENT) -> DataFrame:
         if left.isEmpty():
             break
     roots = scratch.write(components(links, scratch))
-    across = _across(stars, left, roots, percent)
-    more = _linked(compare(across), percent)
+    across = _across(stars, left, roots, percent, compare, scratch)
+    more = _linked(compare(across, LEAST_LINKED), percent)
     if not more.isEmpty():
         roots = components(links.unionAll(more), scratch)
     known = signatures.select("doc_id", "n_shingles")
@@ -224,44 +262,77 @@ def _star(members: DataFrame, compare: _Comparison, percent: int, scratch: Scrat
     """Compare band groups with their leaders.
 
     Returns (band, a: leader, b: member, common, union) for all members, with nulls where the signatures
-    already differ, and the members (band, doc_id) to be grouped again.
+    already differ, and the members (band, doc_id, leader, common) to be grouped again.
     """
+    members = members.select("band", "doc_id")
     grouped = members.join(_leaders(members), "band").where("a <> doc_id").withColumnRenamed("doc_id", "b")
     overlaps = compare(grouped.select("a", "b").distinct())
     star = scratch.write(grouped.join(overlaps, ["a", "b"], "left"))
     low = star.where(~F.coalesce(100 * F.col("common") >= percent * F.col("union"), F.lit(False)))
-    low = low.select("band", F.col("b").alias("doc_id"))
+    low = low.select("band", F.col("b").alias("doc_id"), F.col("a").alias("leader"), "common")
     left = scratch.write(low.join(_several(low), "band"))
     return star, left
 
 
-def _across(stars: list[DataFrame], left: DataFrame, roots: DataFrame, percent: int) -> DataFrame:
+def _across(
+    stars: list[DataFrame], left: DataFrame, roots: DataFrame, percent: int, compare: _Comparison, scratch: Scratch
+) -> DataFrame:
     """Pairs that the leaders' comparisons leave open, in different components.
 
     All high members of a band group are in its leader's component, so only low members of other
     components meet them.
     """
-    pairs = None
-    for star in stars:
+    lows, highs = None, None
+    for number, star in enumerate(stars):
         # no share: too few equal minima for one that matters
         share = F.col("common") / F.col("union")
-        high = 100 * F.col("common") >= percent * F.col("union")
-        known = star.select("band", "a", "b", share.alias("share"), F.coalesce(high, F.lit(False)).alias("high"))
-        low = _apart(known.where(~F.col("high") & (F.col("share") >= 2 * percent / 100 - 1)), roots)
-        low = low.select("band", F.col("b").alias("a"), F.col("share").alias("low_share"))
-        met = low.join(known.where("high").select("band", "b", "share"), "band")
-        met = met.where(F.col("share") - F.col("low_share") <= 1 - percent / 100 + 1e-9).select("a", "b")
-        pairs = met if pairs is None else pairs.unionAll(met)
+        high = F.coalesce(100 * F.col("common") >= percent * F.col("union"), F.lit(False))
+        known = star.select(F.lit(number).alias("star"), "band", "a", "b", "common", share.alias("share"), high.alias("high"))
+        low = _apart(known.where(~F.col("high") & (F.col("share") >= 2 * percent / 100 - 1)), roots).drop("high")
+        lows = low if lows is None else lows.unionAll(low)
+        highs = known if highs is None else highs.unionAll(known)
+    group = ["star", "band"]
+    lows = scratch.write(lows)
+    highs = scratch.write(highs.where("high").drop("high").join(lows.select(group).distinct(), group, "left_semi"))
     # what is left of a band group that lies in one component has nothing open
     rooted = left.join(roots.withColumnRenamed("node", "doc_id"), "doc_id", "left")
-    rooted = rooted.select("band", "doc_id", F.coalesce("root", "doc_id").alias("root"))
+    rooted = rooted.withColumn("root", F.coalesce("root", "doc_id"))
     ends = rooted.groupBy("band").agg(F.min("root").alias("low"), F.max("root").alias("high"))
-    rooted = rooted.join(ends.where("low < high").select("band"), "band")
-    side = lambda c: rooted.select("band", F.col("doc_id").alias(c), F.col("root").alias(f"root_{c}"))
-    rest = side("a").join(side("b"), "band").where("root_a < root_b")
-    pairs = pairs.unionAll(rest.select("a", "b")).distinct()
-    apart = _apart(pairs, roots)
-    return apart.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
+    rest = scratch.write(rooted.join(ends.where("low < high").select("band"), "band"))
+
+    # documents that take part, with the leaders, so that what a member has from its leader counts as held
+    ids = lambda table, *names: table.select(F.explode(F.array(*names)).alias("doc_id"))
+    shared = compare.shared(ids(lows, "a", "b").unionAll(ids(highs, "b")).unionAll(ids(rest, "doc_id", "leader")))
+    extra = F.col("held") - F.col("common")
+
+    def possible(common, sizes):
+        """Whether so many common shingles suffice for a link of sets whose sizes have this sum."""
+        return (100 + percent) * common >= percent * sizes
+
+    low = lows.join(shared.withColumnRenamed("doc_id", "b"), "b").withColumn("extra", extra)
+    high = highs.join(shared.withColumnRenamed("doc_id", "b"), "b").withColumn("extra", extra)
+    best = high.groupBy(group).agg(F.max("extra").alias("most"), F.min("n").alias("least_n"))
+    low = low.join(best, group).where(
+        possible(F.col("common") + F.least("extra", "most"), F.col("n") + F.col("least_n"))
+    )
+    x, y = low.alias("x"), high.select(*group, "b", "common", "share", "n", "extra").alias("y")
+    meet = (F.col("x.star") == F.col("y.star")) & (F.col("x.band") == F.col("y.band"))
+    meet &= F.col("y.share") - F.col("x.share") <= 1 - percent / 100 + 1e-9
+    together = F.least("x.common", "y.common") + F.least("x.extra", "y.extra")
+    meet &= possible(together, F.col("x.n") + F.col("y.n"))
+    met = x.join(y, meet).select(F.col("x.b").alias("a"), F.col("y.b").alias("b"))
+
+    sized = rest.join(shared, "doc_id")
+    least = sized.groupBy("band").agg(F.min("n").alias("least_n"))
+    sized = sized.join(least, "band").where(possible(F.col("held"), F.col("n") + F.col("least_n")))
+    x, y = (sized.withColumn("extra", extra).alias(side) for side in ("x", "y"))
+    meet = (F.col("x.band") == F.col("y.band")) & (F.col("x.root") < F.col("y.root"))
+    # all members of a band group had one last leader; where a share is not known, so is what comes from it
+    by_leader = F.least("x.common", "y.common") + F.least("x.extra", "y.extra")
+    by_leader = F.when(F.col("x.common").isNotNull() & F.col("y.common").isNotNull(), by_leader)
+    meet &= possible(F.coalesce(by_leader, F.least("x.held", "y.held")), F.col("x.n") + F.col("y.n"))
+    met = met.unionAll(x.join(y, meet).select(F.col("x.doc_id").alias("a"), F.col("y.doc_id").alias("b")))
+    return met.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
 
 
 def _apart(pairs: DataFrame, roots: DataFrame) -> DataFrame:
