@@ -107,6 +107,20 @@ def test_near_duplicates_of_groups_and_odd_rows(spark):
     check_near(spark, rows)
 
 
+def test_near_duplicates_of_copies_changed_apart(spark):
+    rng = random.Random(9)
+    base = [f"w{i}" for i in range(100)]
+    few = lambda words, edits: " ".join(
+        f"n{rng.randrange(3)}" if i in edits else w for i, w in enumerate(words)
+    )
+    rows = [(i, few(base, rng.sample(range(100), rng.randrange(2, 9)))) for i in range(120)]
+    # copies of changed copies are near each other, not the first original
+    for start in (200, 300):
+        changed = variant(rng, base, 7).split()
+        rows += [(start + i, few(changed, rng.sample(range(100), rng.randrange(1, 5)))) for i in range(40)]
+    check_near(spark, rows)
+
+
 def test_near_duplicates_of_nothing(spark):
     none = spark.createDataFrame([], "doc_id long, text string, key string, band long")
     assert near.near_duplicates(none).collect() == []
