@@ -183,6 +183,33 @@ def test_verified_passages_against_brute_force(spark):
         seen.update(grams)
 
 
+def test_near_starts_against_brute_force():
+    rng = np.random.default_rng(11)
+    width = substrings.WIDTH
+
+    def similar(a, b):
+        return 100 * len(a & b) >= 75 * len(a | b)
+
+    for kinds in (3, 20, 60, 10**6):
+        base = rng.integers(0, kinds, 140).astype(np.uint64)
+        for edits in (0, 2, 5, 12):
+            own, other = base.copy(), np.concatenate([base[70:], rng.integers(0, kinds, 9).astype(np.uint64), base[:80]])
+            own[rng.integers(0, len(own), edits)] = rng.integers(0, 10**9, edits)
+            starts = np.arange(len(own) - width + 1)
+            sets = [set(other[j : j + width].tolist()) for j in range(len(other) - width + 1)]
+            wanted = [i for i in starts if any(similar(set(own[i : i + width].tolist()), b) for b in sets)]
+            assert substrings._near_starts(own, other, np.isin(own, other), starts).tolist() == wanted
+
+
+def test_a_passage_must_be_near_one_passage_of_the_lead(spark):
+    fresh = itertools.count()
+    words = lambda n: [f"u{next(fresh)}" for _ in range(n)]
+    a, b = words(25), words(25)
+    rows = [(1, " ".join(a + words(300) + b)), (2, " ".join(words(9) + a + b + words(9)))]
+    rows += [(3, " ".join(words(50) + ["y"] * 5 + words(50))), (4, "y " * 50)]
+    assert spans_of(spark, rows) == []
+
+
 def test_passages_are_cut_out(spark):
     words = [f"k{i}" for i in range(80)]
     rows = [(1, "start\n" + " ".join(words), 7), (2, "Own  text\n" + " ".join(words).upper() + "\nits end", 8), (3, None, 9)]
