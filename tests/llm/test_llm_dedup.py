@@ -210,6 +210,35 @@ def test_a_passage_must_be_near_one_passage_of_the_lead(spark):
     assert spans_of(spark, rows) == []
 
 
+def test_the_source_is_found_behind_earlier_documents(spark):
+    rng = random.Random(12)
+    fresh = itertools.count()
+    words = lambda n: [f"u{next(fresh)}" for _ in range(n)]
+    lines = [words(26) for _ in range(6)]
+    # 60 earlier documents hold the lines one by one, only then comes one with the whole passage
+    rows = [(10 * k + i, " ".join(words(40) + line + words(40))) for k in range(10) for i, line in enumerate(lines)]
+    passage = [w for line in lines for w in line]
+    worse = [f"x{i}" if i % 13 == 0 else w for i, w in enumerate(passage)]
+    rows += [(400, " ".join(worse)), (500, " ".join(words(9) + passage)), (600, " ".join(passage + words(9)))]
+    found = spans_of(spark, rows)
+    assert [(d, f, a, b) for d, f, a, b in found if d == 600] == [(600, 500, 0, 156)]
+    assert {d for d, _, _, _ in found} == {600}
+
+
+def test_short_passages_at_the_threshold_are_found(spark):
+    rng = random.Random(13)
+    fresh = itertools.count()
+    words = lambda n: [f"u{next(fresh)}" for _ in range(n)]
+    rows = []
+    for k in range(300):
+        passage = words(50)
+        changed = list(passage)
+        changed[rng.randrange(50)] = "x"  # one word of 50: five shingles of 46 at most
+        rows.append((2 * k, " ".join(words(30) + passage + words(30))))
+        rows.append((2 * k + 1, " ".join(words(30) + changed + words(30))))
+    assert {(d, f) for d, f, _, _ in spans_of(spark, rows)} == {(2 * k + 1, 2 * k) for k in range(300)}
+
+
 def test_passages_are_cut_out(spark):
     words = [f"k{i}" for i in range(80)]
     rows = [(1, "start\n" + " ".join(words), 7), (2, "Own  text\n" + " ".join(words).upper() + "\nits end", 8), (3, None, 9)]
