@@ -16,6 +16,7 @@ Rows: null text encodes to no ids.  Ids outside the vocabulary make decoding fai
 from __future__ import annotations
 
 import base64
+import hashlib
 import heapq
 from collections.abc import Callable, Iterator
 from pathlib import Path
@@ -24,7 +25,16 @@ import numpy as np
 import pyarrow as pa
 import regex
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql.types import ArrayType, BinaryType, DataType, IntegerType, StructField, StructType
+from pyspark.sql.types import (
+    ArrayType,
+    BinaryType,
+    DataType,
+    IntegerType,
+    LongType,
+    StringType,
+    StructField,
+    StructType,
+)
 
 from hearthmap.llm.words import STEP_BYTES, steps
 
@@ -146,10 +156,6 @@ class MergeReplay:
         return [b"".join([known[p] for p in pieces]) for pieces in split]
 
 
-def decode_ids(ids: np.ndarray, tokens: dict[int, bytes]) -> bytes:
-    return b"".join([tokens[i] for i in ids.tolist()])
-
-
 def _places(ranks: np.ndarray) -> dict[int, list[int]]:
     """The inverted index: places of every rank of 0 or more."""
     found = np.flatnonzero(ranks >= 0)
@@ -170,6 +176,93 @@ def _codec(ranks: dict[bytes, int], pattern: str) -> MergeReplay:
     return _codecs[0]
 
 
+class Vocabulary:
+    """Token bytes by id as one run of bytes, so that ids turn into bytes without a loop."""
+
+    def __init__(self, ranks: dict[bytes, int]):
+        by_id = [b""] * (max(ranks.values()) + 1)
+        for token, rank in ranks.items():
+            by_id[rank] = token
+        self._data = np.frombuffer(b"".join(by_id), np.uint8)
+        self.lengths = np.array([len(t) for t in by_id])
+        self._starts = np.cumsum(self.lengths) - self.lengths
+
+    def decode(self, ids: np.ndarray) -> bytes:
+        if len(ids) and (ids.min() < 0 or ids.max() >= len(self.lengths) or not self.lengths[ids].all()):
+            raise ValueError("an id is not in the vocabulary")
+        sizes = self.lengths[ids]
+        ends = np.cumsum(sizes)
+        places = np.arange(ends[-1] if len(ends) else 0) + np.repeat(self._starts[ids] - ends + sizes, sizes)
+        return self._data[places].tobytes()
+
+
+_vocabularies: list[tuple[dict[bytes, int], Vocabulary]] = []
+
+
+def _vocabulary(ranks: dict[bytes, int]) -> Vocabulary:
+    """The worker's decoder of this vocabulary; the last one is kept for its next task."""
+    if not _vocabularies or _vocabularies[0][0] is not ranks:
+        _vocabularies[:] = [(ranks, Vocabulary(ranks))]
+    return _vocabularies[0][1]
+
+
+# What one pass over a text can add, with its type.
+_PRODUCTS: dict[str, DataType] = {
+    "ids": ArrayType(IntegerType()),
+    "decoded": BinaryType(),
+    "n_tokens": LongType(),
+    "ids_sha256": StringType(),
+    "decoded_sha256": StringType(),
+}
+
+
+def code(
+    df: DataFrame, ranks: dict[bytes, int], pattern: str, products: dict[str, str], text: str = "text"
+) -> DataFrame:
+    """Encodes each whole text once and adds the asked products in that same pass: kind -> column.
+
+    Kinds: ``ids`` (array<int>), ``decoded`` (the bytes of the ids), ``n_tokens``, ``ids_sha256`` (of the ids as
+    little-endian unsigned 32-bit integers), ``decoded_sha256``.  ``text`` itself is dropped: a worker sends
+    back only what is asked for.
+    """
+    for name in products.values():
+        if name in df.columns:
+            raise ValueError(f"the input has a column {name} already")
+    shipped = _ship(df.sparkSession, ranks)
+    kept = [f for f in df.schema.fields if f.name != text]
+    schema = StructType([*kept, *[StructField(name, _PRODUCTS[kind]) for kind, name in products.items()]])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        codec, vocabulary = _codec(shipped.value, pattern), _vocabulary(shipped.value)
+        for whole in batches:
+            for batch in steps(whole, text, STEP_BYTES):
+                coded = codec.encode(batch.column(text).to_pylist())
+                columns = [batch.column(f.name) for f in kept]
+                columns += [_product(kind, coded, vocabulary) for kind in products]
+                yield pa.RecordBatch.from_arrays(columns, schema.names)
+
+    return df.mapInArrow(run, schema)
+
+
+def _product(kind: str, coded: list[bytes], vocabulary: Vocabulary) -> pa.Array:
+    if kind == "ids":
+        return _id_lists(coded)
+    if kind == "n_tokens":
+        return pa.array([len(c) // 4 for c in coded], pa.int64())
+    if kind == "ids_sha256":
+        return pa.array([hashlib.sha256(c).hexdigest() for c in coded], pa.string())
+    decoded = (vocabulary.decode(np.frombuffer(c, "<i4")) for c in coded)
+    if kind == "decoded":
+        return pa.array(decoded, pa.binary())
+    return pa.array([hashlib.sha256(d).hexdigest() for d in decoded], pa.string())
+
+
+def _id_lists(coded: list[bytes]) -> pa.Array:
+    offsets = np.concatenate([[0], np.cumsum([len(c) // 4 for c in coded])])
+    values = pa.array(np.frombuffer(b"".join(coded), "<i4"), pa.int32())
+    return pa.ListArray.from_arrays(pa.array(offsets.astype(np.int32)), values)
+
+
 def _with(batch: pa.RecordBatch, name: str, values: pa.Array) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([*batch.columns, values], [*batch.schema.names, name])
 
@@ -188,11 +281,7 @@ def encode(df: DataFrame, ranks: dict[bytes, int], pattern: str, text: str = "te
         codec = _codec(shipped.value, pattern)
         for whole in batches:
             for batch in steps(whole, text, STEP_BYTES):
-                coded = codec.encode(batch.column(text).to_pylist())
-                offsets = np.concatenate([[0], np.cumsum([len(c) // 4 for c in coded])])
-                values = pa.array(np.frombuffer(b"".join(coded), "<i4"), pa.int32())
-                lists = pa.ListArray.from_arrays(pa.array(offsets.astype(np.int32)), values)
-                yield _with(batch, ids, lists)
+                yield _with(batch, ids, _id_lists(codec.encode(batch.column(text).to_pylist())))
 
     return df.mapInArrow(run, _schema(df, ids, ArrayType(IntegerType())))
 
@@ -202,10 +291,10 @@ def decode(df: DataFrame, ranks: dict[bytes, int], ids: str = "token_ids", decod
     shipped = _ship(df.sparkSession, ranks)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        tokens = {i: t for t, i in shipped.value.items()}
+        vocabulary = _vocabulary(shipped.value)
         for batch in batches:
             column = batch.column(ids)
-            values = [decode_ids(x.values.to_numpy(), tokens) if x.is_valid else b"" for x in column]
+            values = [vocabulary.decode(x.values.to_numpy()) if x.is_valid else b"" for x in column]
             yield _with(batch, decoded, pa.array(values, pa.binary()))
 
     return df.mapInArrow(run, _schema(df, decoded, BinaryType()))

@@ -88,10 +88,11 @@ def format_pairs(turns: DataFrame) -> DataFrame:
 def swapped_endings(conversations: DataFrame) -> DataFrame:
     """Turns of preference pairs made from plain conversations (conv_id, turn, role, text).
 
-    Chosen is every conversation with an answer.  Rejected is the same conversation up to its last
-    answer, with the last answer of its neighbour (ids 2k and 2k + 1 are neighbours) in its place; a
-    conversation whose neighbour has no answer is rejected without an answer.  Turns after the last
-    answer belong to the chosen side only.
+    Chosen is every conversation.  Rejected is the same conversation up to its last answer, with the
+    last answer of its neighbour (ids 2k and 2k + 1 are neighbours) in its place; a conversation whose
+    neighbour has no answer is rejected without an answer.  Turns after the last answer belong to the
+    chosen side only.  A conversation without an answer (an assistant turn with a number) is all prompt:
+    both sides hold all its turns, so that its completions are empty.
     """
     turns = conversations.select("conv_id", "turn", "role", "text").where("conv_id is not null")
     answers = turns.where((F.col("role") == LEARNED_ROLE) & F.col("turn").isNotNull())
@@ -102,9 +103,9 @@ def swapped_endings(conversations: DataFrame) -> DataFrame:
         F.col("conv_id").bitwiseXOR(F.lit(1).cast("long")).alias("conv_id"), F.col("answer").alias("other"), F.lit(True).alias("answered")
     )
     ended = last.join(neighbour, "conv_id", "left")
-    held = turns.join(ended.select("conv_id", "last_turn"), "conv_id")
+    held = turns.join(ended.select("conv_id", "last_turn"), "conv_id", "left")
     chosen = held.select(F.col("conv_id").alias("pair_id"), F.lit("chosen").alias("side"), "turn", "role", "text")
-    kept = held.where("turn is null or turn < last_turn")
+    kept = held.where("turn is null or last_turn is null or turn < last_turn")
     kept = kept.select(F.col("conv_id").alias("pair_id"), F.lit("rejected").alias("side"), "turn", "role", "text")
     swapped = ended.where("answered").select(
         F.col("conv_id").alias("pair_id"),

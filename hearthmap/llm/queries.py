@@ -2,11 +2,7 @@
 
 from __future__ import annotations
 
-import hashlib
-from collections.abc import Iterator
-
 import public_tokenizers
-import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from hearthmap.llm import attribution, bpe, langid, lines, mixing, near, preferences, substrings, urls, vectors
@@ -57,32 +53,13 @@ def op8_source_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixed.select("doc_id", "size", "source_size", "target", "taken")
 
 
-def digests(coded: DataFrame, *keep: str) -> DataFrame:
-    """``keep``, n_tokens, ids_sha256 and decoded_sha256 of rows with token_ids and decoded."""
-    kinds = dict(coded.dtypes)
-    schema = ", ".join([f"{c} {kinds[c]}" for c in keep] + ["n_tokens long, ids_sha256 string, decoded_sha256 string"])
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            ids = [x.values.to_numpy().astype("<u4").tobytes() for x in batch.column("token_ids")]
-            decoded = batch.column("decoded").to_pylist()
-            yield pa.RecordBatch.from_arrays(
-                [
-                    *[batch.column(c) for c in keep],
-                    pa.array([len(x) // 4 for x in ids], pa.int64()),
-                    *[pa.array([hashlib.sha256(x).hexdigest() for x in xs], pa.string()) for xs in (ids, decoded)],
-                ],
-                [*keep, "n_tokens", "ids_sha256", "decoded_sha256"],
-            )
-
-    return coded.mapInArrow(run, schema)
+DIGESTS = {"n_tokens": "n_tokens", "ids_sha256": "ids_sha256", "decoded_sha256": "decoded_sha256"}
 
 
 def op9_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     ranks = bpe.read_ranks(public_tokenizers.path(RANK_FILE))
     docs = _table(spark, sf_dir, "documents").select("doc_id", "text")
-    coded = bpe.encode(docs, ranks, public_tokenizers.PATTERN).drop("text")
-    return digests(bpe.decode(coded, ranks), "doc_id")
+    return bpe.code(docs, ranks, public_tokenizers.PATTERN, DIGESTS)
 
 
 def op10_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:

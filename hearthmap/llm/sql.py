@@ -88,8 +88,9 @@ last AS (SELECT conv_id, max(turn) AS last_turn FROM turns WHERE role = '{_ROLE}
 answer AS (SELECT t.conv_id, last_turn, max(t.text) AS text FROM turns t JOIN last l ON t.conv_id = l.conv_id AND turn = last_turn
            WHERE role = '{_ROLE}' GROUP BY 1, 2),
 sides AS (
-  SELECT t.conv_id AS pair_id, 'chosen' AS side, turn, role, t.text FROM turns t JOIN answer a ON t.conv_id = a.conv_id
-  UNION ALL SELECT t.conv_id, 'rejected', turn, role, t.text FROM turns t JOIN answer a ON t.conv_id = a.conv_id WHERE turn < last_turn
+  SELECT t.conv_id AS pair_id, 'chosen' AS side, turn, role, t.text FROM turns t
+  UNION ALL SELECT t.conv_id, 'rejected', turn, role, t.text FROM turns t LEFT JOIN answer a ON t.conv_id = a.conv_id
+  WHERE last_turn IS NULL OR turn < last_turn
   UNION ALL SELECT a.conv_id, 'rejected', a.last_turn, '{_ROLE}', b.text FROM answer a JOIN answer b ON b.conv_id = xor(a.conv_id, 1)),
 placed AS (SELECT *, row_number() OVER (PARTITION BY pair_id, side ORDER BY turn, role, text) AS p,
              '<|' || coalesce(role, 'unknown') || '|>' || chr(10) AS head, coalesce(text, '') AS body,

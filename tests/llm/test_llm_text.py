@@ -444,8 +444,7 @@ def test_pairs_against_brute_force(spark):
 def test_pairs_of_the_given_conversations(spark):
     turns = preferences.swapped_endings(spark.read.parquet(f"{SF}/conversations.parquet"))
     rows = preferences.format_pairs(turns).collect()
-    answered = spark.read.parquet(f"{SF}/conversations.parquet").where("role = 'assistant'").select("conv_id").distinct().count()
-    assert len(rows) == answered
+    assert len(rows) == spark.read.parquet(f"{SF}/conversations.parquet").select("conv_id").distinct().count()
     for r in rows:
         assert r["prompt"] + r["chosen"] and all(r["chosen"][a:b] for a, b in r["chosen_mask"])
     assert preferences.format_pairs(turns.limit(0)).collect() == []
@@ -455,5 +454,6 @@ def test_odd_conversations(spark):
     rows = [(2, 0, "user", "q"), (2, 1, "assistant", None), (3, None, None, "x"), (3, 0, "assistant", "b"), (None, 0, "assistant", "c"), (4, 0, "user", "z"), (6, 0, "assistant", "lone")]
     df = spark.createDataFrame(rows, "conv_id long, turn long, role string, text string")
     found = {r["pair_id"]: r for r in preferences.format_pairs(preferences.swapped_endings(df)).collect()}
-    assert set(found) == {2, 3, 6}
+    assert set(found) == {2, 3, 4, 6}
+    assert found[4]["prompt"] == "<|user|>\nz\n<|end|>\n" and found[4]["identical"] and found[4]["chosen"] == ""
     assert found[2]["rejected"] == "<|assistant|>\nb\n<|end|>\n" and found[6]["rejected"] == ""
