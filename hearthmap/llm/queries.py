@@ -5,7 +5,7 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from hearthmap.llm import attribution, bpe, langid, lines, mixing, near, preferences, substrings, urls, vectors
+from hearthmap.llm import attribution, bpe, infill, langid, lines, mixing, near, preferences, substrings, urls, vectors
 
 RANK_FILE = "byte_bpe_multi_50k.tiktoken"
 
@@ -69,6 +69,19 @@ def op10_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pairs.withColumns({m: spans(F.col(m)) for m in ("chosen_mask", "rejected_mask")})
 
 
+def op12_fill_in_middle(spark: SparkSession, sf_dir: str) -> DataFrame:
+    cut = infill.fill_in_middle(_table(spark, sf_dir, "documents"))
+    return cut.select(
+        "doc_id",
+        "n",
+        "form",
+        "prefix_chars",
+        "middle_chars",
+        F.sha2("output", 256).alias("output_sha256"),
+        F.sha2(infill.restored(F.col("output"), F.col("form")), 256).alias("restored_sha256"),
+    )
+
+
 QUERIES = {
     f.__name__: f
     for f in (
@@ -82,5 +95,6 @@ QUERIES = {
         op8_source_mix,
         op9_byte_bpe,
         op10_chat_format,
+        op12_fill_in_middle,
     )
 }

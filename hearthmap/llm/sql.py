@@ -3,7 +3,7 @@
 Language models, tokenizers and passages are beyond SQL; tests hold those queries against brute force.
 """
 
-from hearthmap.llm import lines, mixing, preferences
+from hearthmap.llm import infill, lines, mixing, preferences
 
 _WORDS = r"'[^\x20\x09-\x0D]+'"
 
@@ -105,10 +105,25 @@ SELECT pair_id, max(n) AS n_prompt_turns,
   count(*) FILTER (p > n) = 0 AS identical
 FROM spanned GROUP BY 1"""
 
+_P, _S, _M = infill.MARKS
+
+_INFILL = f"""
+WITH drawn AS (SELECT doc_id, coalesce(text, '') AS t, CAST(length(coalesce(text, '')) AS BIGINT) AS n,
+  sha256('{infill.SEED}:' || coalesce(CAST(doc_id AS VARCHAR), '')) AS h FROM documents),
+numbered AS (SELECT *, {", ".join(f"CAST('0x' || substr(h, {8 * i + 1}, 8) AS BIGINT) AS h{i + 1}" for i in range(4))} FROM drawn),
+cuts AS (SELECT *, least(h1 % (n + 1), h2 % (n + 1)) AS a, greatest(h1 % (n + 1), h2 % (n + 1)) AS b,
+  CASE WHEN n = 0 OR contains(t, '{_P}') OR contains(t, '{_S}') OR contains(t, '{_M}') OR h3 % 100 >= {infill.REORDERED_PERCENT} THEN 'plain'
+       WHEN h4 % 100 < {infill.SUFFIX_FIRST_PERCENT} THEN 'spm' ELSE 'psm' END AS form FROM numbered),
+parts AS (SELECT *, substring(t, 1, a) AS p, substring(t, a + 1, b - a) AS m, substring(t, b + 1, n - b) AS s FROM cuts)
+SELECT doc_id, n, form, CASE WHEN form <> 'plain' THEN a END AS prefix_chars, CASE WHEN form <> 'plain' THEN b - a END AS middle_chars,
+  sha256(CASE form WHEN 'plain' THEN t WHEN 'psm' THEN '{_P}' || p || '{_S}' || s || '{_M}' || m ELSE '{_S}' || s || '{_P}' || p || '{_M}' || m END) AS output_sha256,
+  sha256(t) AS restored_sha256 FROM parts"""
+
 ORACLE: dict[str, str] = {
     "op3_quality_rules": _QUALITY,
     "op5_minhash_dedup": _NEAR,
     "op7_embedding_dedup": _VECTORS,
     "op8_source_mix": _MIX,
     "op10_chat_format": _CHAT,
+    "op12_fill_in_middle": _INFILL,
 }
