@@ -5,7 +5,7 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from hearthmap.llm import attribution, bpe, infill, langid, lines, mixing, near, preferences, substrings, urls, vectors
+from hearthmap.llm import attribution, bpe, infill, langid, licenses, lines, mixing, near, preferences, substrings, urls, vectors
 
 RANK_FILE = "byte_bpe_multi_50k.tiktoken"
 
@@ -69,6 +69,10 @@ def op10_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pairs.withColumns({m: spans(F.col(m)) for m in ("chosen_mask", "rejected_mask")})
 
 
+def op11_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return licenses.summary(licenses.scan(_table(spark, sf_dir, "documents")))
+
+
 def op12_fill_in_middle(spark: SparkSession, sf_dir: str) -> DataFrame:
     cut = infill.fill_in_middle(_table(spark, sf_dir, "documents"))
     return cut.select(
@@ -95,6 +99,7 @@ QUERIES = {
         op8_source_mix,
         op9_byte_bpe,
         op10_chat_format,
+        op11_license_scan,
         op12_fill_in_middle,
     )
 }

@@ -83,8 +83,9 @@ class Words:
     bounds: np.ndarray
 
 
-def find_words(data: np.ndarray, bounds: np.ndarray) -> Words:
-    inside = ~SEPARATOR[data]
+def find_words(data: np.ndarray, bounds: np.ndarray, between: np.ndarray = SEPARATOR) -> Words:
+    """Words of texts that lie side by side; ``between`` flags the bytes that no word holds."""
+    inside = ~between[data]
     edge = np.zeros(len(data) + 1, bool)
     edge[bounds] = True
     beside = np.zeros(len(data) + 1, bool)
