@@ -179,10 +179,7 @@ def _codec(ranks: dict[bytes, int], pattern: str) -> MergeReplay:
 class Vocabulary:
     """Token bytes by id as one run of bytes, so that ids turn into bytes without a loop."""
 
-    def __init__(self, ranks: dict[bytes, int]):
-        by_id = [b""] * (max(ranks.values()) + 1)
-        for token, rank in ranks.items():
-            by_id[rank] = token
+    def __init__(self, by_id: list[bytes]):
         self._data = np.frombuffer(b"".join(by_id), np.uint8)
         self.lengths = np.array([len(t) for t in by_id])
         self._starts = np.cumsum(self.lengths) - self.lengths
@@ -190,10 +187,14 @@ class Vocabulary:
     def decode(self, ids: np.ndarray) -> bytes:
         if len(ids) and (ids.min() < 0 or ids.max() >= len(self.lengths) or not self.lengths[ids].all()):
             raise ValueError("an id is not in the vocabulary")
+        return self.bytes_of(ids).tobytes()
+
+    def bytes_of(self, ids: np.ndarray) -> np.ndarray:
+        """Bytes of known ids."""
         sizes = self.lengths[ids]
         ends = np.cumsum(sizes)
         places = np.arange(ends[-1] if len(ends) else 0) + np.repeat(self._starts[ids] - ends + sizes, sizes)
-        return self._data[places].tobytes()
+        return self._data[places]
 
 
 _vocabularies: list[tuple[dict[bytes, int], Vocabulary]] = []
@@ -202,7 +203,10 @@ _vocabularies: list[tuple[dict[bytes, int], Vocabulary]] = []
 def _vocabulary(ranks: dict[bytes, int]) -> Vocabulary:
     """The worker's decoder of this vocabulary; the last one is kept for its next task."""
     if not _vocabularies or _vocabularies[0][0] is not ranks:
-        _vocabularies[:] = [(ranks, Vocabulary(ranks))]
+        by_id = [b""] * (max(ranks.values()) + 1)
+        for token, rank in ranks.items():
+            by_id[rank] = token
+        _vocabularies[:] = [(ranks, Vocabulary(by_id))]
     return _vocabularies[0][1]
 
 

@@ -5,9 +5,10 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from hearthmap.llm import attribution, bpe, infill, langid, licenses, lines, mixing, near, preferences, substrings, urls, vectors
+from hearthmap.llm import alignment, attribution, bpe, infill, langid, licenses, lines, mixing, near, preferences, substrings, urls, vectors
 
 RANK_FILE = "byte_bpe_multi_50k.tiktoken"
+BYTE_LEVEL_FILE, PIECE_FILE = "byte_bpe_50k.json", "piece_bpe_32k.model"
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -86,6 +87,13 @@ def op12_fill_in_middle(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op13_tokenizer_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
+    files = alignment.Files.read(public_tokenizers.path(BYTE_LEVEL_FILE), public_tokenizers.path(PIECE_FILE))
+    aligned = alignment.align(_table(spark, sf_dir, "documents"), files).drop("groups")
+    rated = alignment.rate_links(aligned, alignment.pair_list(files))
+    return rated.select("doc_id", "n_a", "n_b", "n_groups", "n_links", "n_best", "count_sum", "groups_sha256")
+
+
 QUERIES = {
     f.__name__: f
     for f in (
@@ -101,5 +109,6 @@ QUERIES = {
         op10_chat_format,
         op11_license_scan,
         op12_fill_in_middle,
+        op13_tokenizer_alignment,
     )
 }

@@ -17,9 +17,9 @@ class Scratch:
         self.spark = spark
         self._paths: dict[int, str] = {}
 
-    def write(self, df: DataFrame) -> DataFrame:
+    def write(self, df: DataFrame, **options: str) -> DataFrame:
         path = new_shared_path(self.spark, "llm")
-        df.write.parquet(path)
+        df.write.options(**options).parquet(path)
         table = self.spark.read.schema(df.schema).parquet(path)
         self._paths[id(table)] = path
         return table
