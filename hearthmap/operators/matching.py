@@ -4,23 +4,19 @@ Matching rule: treated units in order of falling score (ties by id) each take th
 control; of two controls at the same distance the one with the higher score, then the smaller id.
 
 How it scales.  Units with equal scores are interchangeable up to their id order, so the axis is
-reduced to one row per distinct score with two counts, however many units share a score.  Sweeping
-the axis downwards, the state is a first-come queue of waiting treated and a stack of free controls
-above.  The axis is cut into chunks that are swept in parallel; only per-chunk summaries reach the
-driver, which decides what an edge between two chunks needs:
-
-* nothing crosses it: the chunks are independent;
-* treated wait at the edge and no control above it is left: from here on controls are handed out
-  strictly first come, first served, so the next chunk only needs the number of waiting units, and
-  those pairs come from a join on queue numbers;
-* anything else: the two chunks are swept together, as one stream of sorted rows.
+reduced to one row per distinct score with two counts, however many units share a score.  The axis is cut
+into chunks that are swept side by side; ``sweep.py`` follows their states and says which chunk has to be
+swept again from which incoming units.  Whoever is served by number (first come, first served; the nearest
+free controls at the end of the axis) is paired by a join.  Only one short record per chunk reaches the
+driver, and a task holds one chunk's waiting and free units.
 """
 
 from __future__ import annotations
 
-from collections import deque
-from collections.abc import Iterable, Iterator
-from dataclasses import dataclass, replace
+import json
+import math
+from collections.abc import Iterator
+from dataclasses import asdict
 
 import pandas as pd
 from pyspark.ml.feature import VectorAssembler
@@ -29,12 +25,13 @@ from pyspark.sql import DataFrame, Window, functions as F
 
 from hearthmap.functions.joins import lookup_join
 from hearthmap.operators.reshape import distinct_labels
-from hearthmap.session import materialise
+from hearthmap.operators.sweep import Chunk, Coordinator, Order, Result, Sweep, Unit
+from hearthmap.session import materialise, new_shared_path
 
 # Longest run of unit pairs described by one row before it is expanded.
 SEGMENT = 50_000
-# Passes that wait for a first-come region to settle before neighbours are swept together anyway.
-PATIENCE = 8
+# Chunks grow with the data beyond this number of them: the driver follows one record per chunk.
+MOST_CHUNKS = 1_000
 
 
 # ---------------------------------------------------------------- score
@@ -84,344 +81,210 @@ def propensity_score(
     return model.transform(vectors).drop("_features", "_label", *names)
 
 
-# ---------------------------------------------------------------- sweep of one stretch of the axis
+# ---------------------------------------------------------------- sweeps on Spark
 
+# ``at``: place in the given queue (served), among the leftover treated from the front (left) or among the
+# leftover controls from the bottom (free); ``facts``: the chunk's result for the driver
+STATE = (
+    "chunk int, kind string, at bigint, ts double, tr bigint, cs double, cr bigint, n bigint, facts string"
+)
 
-class Sweep:
-    """Matching along falling scores over one stretch, fed one distinct score at a time.
-
-    ``carried`` older treated are first in the queue (then no control above is free).  ``above`` and
-    ``below`` are the nearest controls outside the stretch, None where there are none to be had.
-    Only the waiting treated and the free controls are held; finished runs can be taken away with
-    :meth:`flush` at any time.
-    """
 
-    def __init__(self, carried: int = 0, above: float | None = None, below: float | None = None):
-        self.carried, self.above, self.below = carried, above, below
-        self.carried_left = carried
-        self.queue: deque = deque()  # waiting treated: score, next rank, number
-        self.free: list = []  # controls above, nearest last: score, next rank, number
-        self.blocked = False
-        self.need = self._surplus = 0
-        self.pairs: list = []  # treated score, rank, control score, rank, n
-        self.taken: list = []  # place among carried units, control score, rank, n
-
-    @property
-    def waiting(self) -> int:
-        return self.carried_left + sum(unit[2] for unit in self.queue)
-
-    @property
-    def free_left(self) -> int:
-        return sum(unit[2] for unit in self.free)
-
-    def flush(self) -> tuple[list, list]:
-        done = self.pairs, self.taken
-        self.pairs, self.taken = [], []
-        return done
-
-    def _match(self, head: list, control: list) -> None:
-        n = min(head[2], control[2])
-        self.pairs.append((head[0], head[1], control[0], control[1], n))
-        for unit in (head, control):
-            unit[1] += n
-            unit[2] -= n
-        if not head[2]:
-            self.queue.popleft()
-        if self.free and not self.free[-1][2]:
-            self.free.pop()
-
-    def step(self, score: float, treated: int, controls: int) -> None:
-        self._surplus += controls - treated
-        self.need = max(self.need, self._surplus)
-        if self.blocked:
-            return
-        if treated:
-            self.queue.append([score, 0, treated])
-        here = [score, 0, controls]
-        if self.carried_left and controls:
-            n = min(self.carried_left, controls)
-            self.taken.append((self.carried - self.carried_left, score, 0, n))
-            self.carried_left -= n
-            here = [score, n, controls - n]
-        while here[2] and self.queue:
-            head = self.queue[0]
-            gap = head[0] - score
-            if self.free and self.free[-1][0] - head[0] <= gap:
-                self._match(head, self.free[-1])
-            elif not self.free and self.above is not None and self.above - head[0] <= gap:
-                self.blocked = True
-                return
-            else:
-                self._match(head, here)
-        if here[2]:
-            self.free.append(here)
-
-    def finish(self) -> None:
-        """Give waiting treated the controls above that beat anything below the stretch."""
-        while self.queue and not self.carried_left and not self.blocked:
-            head = self.queue[0]
-            reach = self.free[-1][0] if self.free else self.above
-            if reach is None or (
-                self.below is not None and head[0] - self.below < reach - head[0]
-            ):
-                return
-            if not self.free:
-                self.blocked = True
-                return
-            self._match(head, self.free[-1])
-
-
-# ---------------------------------------------------------------- coordination of the stretches
-
-@dataclass
-class Stretch:
-    """Consecutive chunks swept by one task, with what is assumed to enter from above."""
-
-    first: int
-    last: int
-    carried: int = 0
-    closed: bool = False  # no control above can be taken
-    waiting: int = 0
-    carried_left: int = 0
-    free_left: int = 0
-    blocked: bool = False
-    need: int | None = None  # more carried units than this are never used up inside
-    treated: int = 0
-    controls: int = 0
-    fresh: bool = False  # summary belongs to the current assumption
-
-    def merged_with(self, lower: "Stretch") -> "Stretch":
-        return Stretch(
-            self.first,
-            lower.last,
-            self.carried,
-            self.closed,
-            treated=self.treated + lower.treated,
-            controls=self.controls + lower.controls,
-        )
+def _swept(batches: Iterator[pd.DataFrame]) -> Iterator[tuple[int, Sweep, bool]]:
+    """Sweep sorted rows batch by batch; yields (chunk, sweep, finished).
 
-    def expecting(self, carried: int, closed: bool) -> "Stretch":
-        """The stretch under another incoming edge; known outcomes are filled in directly."""
-        if self.fresh and carried == self.carried and (closed == self.closed or (closed and not self.blocked)):
-            return replace(self, closed=closed)
-        if closed and self.need is not None and carried > self.need:
-            # the queue never empties here: units are only passed on
-            return replace(
-                self,
-                carried=carried,
-                closed=True,
-                waiting=carried + self.treated - self.controls,
-                carried_left=max(0, carried - self.controls),
-                free_left=0,
-                blocked=False,
-                fresh=True,
-            )
-        return replace(self, carried=carried, closed=closed, fresh=False)
-
-
-def settle(stretches: list[Stretch], eager: bool) -> list[Stretch]:
-    """One top-down pass over the edges; stretches that must be swept again are not ``fresh``."""
-    todo = deque(stretches)
-    done: list[Stretch] = []
-    known = True  # the edge above the next stretch is settled
-    carried, closed = 0, True
-    may_close = True
-    while todo:
-        here = todo.popleft()
-        if known:
-            here = here.expecting(carried, closed)
-        if not here.fresh:
-            done.append(here)
-            known = False
-            continue
-        wait = not known and may_close and not eager
-        if wait:
-            done.append(here)
-            continue
-        if here.blocked and done:
-            todo.appendleft(done.pop().merged_with(here))
-            known = False
-            continue
-        if here.waiting and todo:
-            if here.closed and not here.free_left:
-                carried, closed = here.waiting, True
-            else:
-                done.append(here.merged_with(todo.popleft()))
-                known = False
-                continue
-        else:
-            carried, closed = 0, here.closed and not here.free_left
-            may_close = may_close and not here.free_left
-        done.append(here)
-    return done
-
-
-def _optional(value) -> float | None:
-    return None if pd.isna(value) else float(value)
-
-
-def _swept(batches: Iterator[pd.DataFrame]) -> Iterator[tuple[dict, Sweep, bool]]:
-    """Sweep sorted rows batch by batch; yields (parameters, sweep, finished).
-
-    Rows arrive ordered by stretch and falling score, so no stretch is ever held as a whole.
+    A chunk's rows come as one run: the given stack bottom first, the given queue front first, then its
+    scores falling.  It is never held as a whole.
     """
-    current, parameters = None, {}
+    chunk, sweep, given = None, None, ([], [])
     for pdf in batches:
-        for stretch, part in pdf.groupby("_stretch", sort=False):
-            if current is None or parameters["_stretch"] != stretch:
-                if current is not None:
-                    current.finish()
-                    yield parameters, current, True
-                parameters = part.iloc[0].to_dict()
-                current = Sweep(
-                    int(parameters["_carried"]),
-                    _optional(parameters["_above"]),
-                    _optional(parameters["_below"]),
-                )
-            for row in zip(part["_s"].tolist(), part["_nt"].tolist(), part["_nc"].tolist()):
-                current.step(*row)
-            yield parameters, current, False
-    if current is not None:
-        current.finish()
-        yield parameters, current, True
-
-
-def _summaries(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    for parameters, r, finished in _swept(batches):
-        r.flush()
+        for target, part in pdf.groupby("target", sort=False):
+            if chunk != target:
+                if chunk is not None:
+                    yield chunk, sweep or Sweep(given[1], given[0]), True
+                chunk, sweep, given = int(target), None, ([], [])
+            incoming = part["part"].to_numpy() < 2
+            for row in part[incoming].itertuples():
+                given[row.part].append(Unit(row.score, int(row.rank), int(row.n), False))
+            scores = part[~incoming]
+            if len(scores):
+                sweep = sweep or Sweep(given[1], given[0])
+                for row in zip(scores["score"].tolist(), scores["nt"].tolist(), scores["nc"].tolist()):
+                    sweep.step(*row)
+                yield chunk, sweep, False
+    if chunk is not None:
+        yield chunk, sweep or Sweep(given[1], given[0]), True
+
+
+def _states(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    """Pairs, controls handed to the given queue, leftovers and the result of every chunk."""
+    for chunk, sweep, finished in _swept(batches):
+        pairs, served = sweep.flush()
+        rows = [("pair", 0, ts, tr, cs, cr, n, None) for ts, tr, cs, cr, n in pairs]
+        rows += [("served", at, None, None, cs, cr, n, None) for at, cs, cr, n in served]
         if finished:
-            yield pd.DataFrame(
-                {
-                    "stretch": [int(parameters["_stretch"])],
-                    "waiting": [r.waiting],
-                    "carried_left": [r.carried_left],
-                    "free_left": [r.free_left],
-                    "blocked": [r.blocked],
-                    "need": [r.need],
-                }
-            )
-
-
-def _segments(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    """Pairs, controls handed to carried units and units left waiting, as runs of ranks."""
-    for parameters, r, finished in _swept(batches):
-        stretch = int(parameters["_stretch"])
-        chain, head = int(parameters["_chain"]), int(parameters["_head"])
-        pairs, taken = r.flush()
-        rows = [("pair", 0, 0, ts, tr, cs, cr, n) for ts, tr, cs, cr, n in pairs]
-        rows += [("taken", chain, head + at, None, None, cs, cr, n) for at, cs, cr, n in taken]
-        if finished:
-            queue, number = (chain, head + r.carried) if r.carried_left else (stretch, 0)
-            for ts, tr, n in r.queue:
-                rows.append(("left", queue, number, ts, tr, None, None, n))
-                number += n
+            at = 0
+            for u in sweep.queue:
+                if u.own:
+                    rows.append(("left", at, u.score, u.rank, None, None, u.n, None))
+                    at += u.n
+            at = 0
+            for u in sweep.free:
+                if u.own:
+                    rows.append(("free", at, None, None, u.score, u.rank, u.n, None))
+                    at += u.n
+            rows.append(("facts", 0, None, None, None, None, 0, json.dumps(asdict(sweep.result()))))
         if rows:
-            yield _pieces(rows)
-
-
-def _pieces(rows: list) -> pd.DataFrame:
-    """Runs as a frame, long ones cut so that no single row stands for very many pairs."""
-    cut = [
-        (kind, chain, at + i, ts, None if tr is None else tr + i, cs, None if cr is None else cr + i, min(SEGMENT, n - i))
-        for kind, chain, at, ts, tr, cs, cr, n in rows
-        for i in range(0, n, SEGMENT)
-    ]
-    names = ["kind", "chain", "at", "ts", "tr", "cs", "cr", "n"]
-    types = ["str", "int64", "int64", "float64", "Int64", "float64", "Int64", "int64"]
-    return pd.DataFrame(cut, columns=names).astype(dict(zip(names, types)))
-
-
-SUMMARY_SCHEMA = (
-    "stretch int, waiting bigint, carried_left bigint, free_left bigint, blocked boolean, need bigint"
-)
-SEGMENT_SCHEMA = (
-    "kind string, chain bigint, at bigint, ts double, tr bigint, cs double, cr bigint, n bigint"
-)
+            names = ["kind", "at", "ts", "tr", "cs", "cr", "n", "facts"]
+            types = ["str", "int64", "float64", "Int64", "float64", "Int64", "int64", "object"]
+            out = pd.DataFrame(rows, columns=names).astype(dict(zip(names, types)))
+            out.insert(0, "chunk", chunk)
+            yield out
 
 
 class _Axis:
     """The distinct scores with their counts, cut into chunks; chunk 0 has the highest scores."""
 
     def __init__(self, units: DataFrame, rows_per_chunk: int):
+        self.spark = units.sparkSession
         runs = materialise(
             units.groupBy("_s").agg(
                 F.sum("_t").cast("long").alias("_nt"), F.sum(1 - F.col("_t")).cast("long").alias("_nc")
             )
         )
-        chunks = max(1, -(-runs.count() // rows_per_chunk))
-        ranged = runs.repartitionByRange(chunks, F.col("_s").desc())
-        self.runs = materialise(ranged.withColumn("_chunk", F.spark_partition_id()))
-        control = F.when(F.col("_nc") > 0, F.col("_s"))
+        size = max(rows_per_chunk, -(-runs.count() // MOST_CHUNKS))
+        chunks = max(1, -(-runs.count() // size))
+        placed = runs.repartitionByRange(chunks, F.col("_s").desc()).withColumn("_chunk", F.spark_partition_id())
+        # units before a score inside its chunk, in the one sorted run that a chunk is
+        earlier = Window.partitionBy("_chunk").orderBy(F.col("_s").desc()).rowsBetween(Window.unboundedPreceding, -1)
+        before = {f"_before{c}": F.coalesce(F.sum(c).over(earlier), F.lit(0)) for c in ("_nt", "_nc")}
+        self.runs = materialise(placed.withColumns(before))
         # one row per chunk
-        facts = self.runs.groupBy("_chunk").agg(
-            F.sum("_nt"), F.sum("_nc"), F.min(control), F.max(control)
-        ).collect()
-        self.chunks = {r[0]: tuple(r)[1:] for r in facts}
-        self.first = [Stretch(c, c, treated=self.chunks[c][0], controls=self.chunks[c][1]) for c in sorted(self.chunks)]
-
-    def nearest(self, chunks: Iterable[int], column: int, pick):
-        found = [self.chunks[c][column] for c in chunks if c in self.chunks]
-        found = [s for s in found if s is not None]
-        return pick(found) if found else None
-
-    def in_order(self, stretches: list[Stretch], numbering: dict | None = None) -> DataFrame:
-        """Axis rows of the given stretches with their parameters, each stretch in one sorted run.
-
-        Sorting spills; the sweep then reads the run as a stream.
-        """
-        lowest, highest = min(self.chunks), max(self.chunks)
-        rows = []
-        for s in stretches:
-            above = None if s.closed else self.nearest(range(lowest, s.first), 2, min)
-            below = self.nearest(range(s.last + 1, highest + 1), 3, max)
-            chain, head = (numbering or {}).get(s.first, (s.first, 0))
-            for chunk in range(s.first, s.last + 1):
-                rows.append((chunk, s.first, s.carried, above, below, chain, head))
-        parameters = self.runs.sparkSession.createDataFrame(
-            rows,
-            "_chunk int, _stretch int, _carried bigint, _above double, _below double, "
-            "_chain bigint, _head bigint",
+        facts = self.runs.groupBy("_chunk").agg(F.sum("_nt"), F.sum("_nc"), F.max("_s"), F.min("_s")).collect()
+        self.names = sorted(r[0] for r in facts)
+        by_name = {r[0]: Chunk(*r[1:]) for r in facts}
+        self.chunks = [by_name[n] for n in self.names]
+        self._path = new_shared_path(self.spark, "sweeps")
+
+    def states(self) -> DataFrame:
+        """All swept states so far, with the round that each is from."""
+        return self.spark.read.schema(f"{STATE}, round int").parquet(self._path)
+
+    def sweep(self, number: int, orders: list[Order]) -> dict[int, Result]:
+        """Sweep the ordered chunks side by side, each in a task of its own."""
+        targets = self._small([(self.names[o.chunk],) for o in orders], "_chunk int")
+        # bounded: one row per chunk
+        scores = self.runs.join(F.broadcast(targets), "_chunk").select(
+            F.col("_chunk").alias("target"),
+            F.lit(2).alias("part"),
+            F.lit(0).alias("o1"),
+            (-F.col("_s")).alias("o2"),
+            F.col("_s").alias("score"),
+            F.lit(0).cast("long").alias("rank"),
+            F.lit(0).cast("long").alias("n"),
+            F.col("_nt").alias("nt"),
+            F.col("_nc").alias("nc"),
+        )
+        rows = scores
+        # where no control above is free, scores of those who wait do not matter
+        counted = [(self.names[o.chunk], 1, 0, 0.0, math.nan, 0, o.waiting, 0, 0) for o in orders if o.waiting and not o.stack]
+        if counted:
+            rows = rows.unionAll(self._small(counted, scores.schema))
+        handed = self._handed([o for o in orders if o.stack])
+        if handed is not None:
+            rows = rows.unionAll(handed)
+        placed = rows.repartition(len(orders), "target").sortWithinPartitions("target", "part", "o1", "o2")
+        placed.mapInPandas(_states, STATE).write.parquet(f"{self._path}/round={number}")
+        index = {n: i for i, n in enumerate(self.names)}
+        found = self.states().where((F.col("round") == number) & (F.col("kind") == "facts")).select("chunk", "facts")
+        return {index[r["chunk"]]: Result(**json.loads(r["facts"])) for r in found.collect()}
+
+    def _handed(self, orders: list[Order]) -> DataFrame | None:
+        """Leftovers of earlier chunks that are handed to the ordered ones, cut to their segments."""
+        cut = []
+        for o in orders:
+            for part, segments in ((0, o.stack), (1, o.queue)):
+                base = 0
+                for s in segments:
+                    cut.append((self.names[o.chunk], part, self.names[s.chunk], s.round, s.low, s.high, base))
+                    base += s.high - s.low
+        if not cut:
+            return None
+        # bounded: at most MOST_CHUNKS ** 2 / 2 short rows
+        segments = F.broadcast(self._small(cut, "target int, part int, chunk int, round int, low bigint, high bigint, base bigint"))
+        leftover = self.states().where(F.col("kind").isin("free", "left")).select(
+            "chunk", "round", (F.col("kind") == "left").cast("int").alias("part"), "at",
+            F.coalesce("ts", "cs").alias("score"), F.coalesce("tr", "cr").alias("first"), "n",
         )
+        first_come = self.runs.where("_nt > 0").select(
+            F.col("_chunk").alias("chunk"), F.lit(-1).alias("round"), F.lit(1).alias("part"), F.col("_before_nt").alias("at"),
+            F.col("_s").alias("score"), F.lit(0).cast("long").alias("first"), F.col("_nt").alias("n"),
+        )
+        held = leftover.unionAll(first_come).join(segments, ["chunk", "round", "part"])
+        low, high = F.greatest("low", "at"), F.least(F.col("high"), F.col("at") + F.col("n"))
+        in_queue = F.col("base") + low - F.col("low")
+        # the unit at the bottom of a run has its highest rank
+        in_stack = F.col("first") + F.col("n") - (high - F.col("at"))
+        return held.where(low < high).select(
+            "target",
+            "part",
+            F.col("chunk").alias("o1"),
+            F.col("at").cast("double").alias("o2"),
+            "score",
+            F.when(F.col("part") == 1, in_queue).otherwise(in_stack).alias("rank"),
+            (high - low).alias("n"),
+            F.lit(0).cast("long").alias("nt"),
+            F.lit(0).cast("long").alias("nc"),
+        )
+
+    def _small(self, rows: list[tuple], schema) -> DataFrame:
+        return self.spark.createDataFrame(rows, schema)
+
+    def pairs(self, done: Coordinator) -> DataFrame:
+        """(ts, tr, cs, cr): scores and ranks of all matched units."""
+        schema = "chunk int, round int, entered bigint, served bigint"
+        places = [(self.names[i], s.round, s.entered, s.served) for i, s in enumerate(done.settled)]
         # bounded: one row per chunk
-        rows = self.runs.join(F.broadcast(parameters), "_chunk")
-        return rows.repartition(len(stretches), "_stretch").sortWithinPartitions(
-            "_stretch", F.col("_s").desc()
+        swept = F.broadcast(self._small([p for p in places if p[1] is not None], schema))
+        first_come = F.broadcast(self._small([p for p in places if p[1] is None], schema))
+        states = self.states().join(swept, ["chunk", "round"])
+        served, entered = done.waiting
+        rest, above = [], 0
+        for s in reversed(done.rest):
+            rest.append((self.names[s.chunk], s.round, s.high, served + above))
+            above += s.high
+        end = min(entered, served + above)  # numbers from here on stay unmatched
+        at_end = F.broadcast(self._small(rest, "chunk int, round int, high bigint, first bigint"))
+        number = lambda start, place: (F.col(start) + F.col(place)).alias("number")
+        zero = F.lit(0).cast("long")
+        runs = self.runs.join(first_come, F.col("_chunk") == F.col("chunk"))
+        waiting = states.where("kind = 'left'").select(number("entered", "at"), "ts", "tr", "n").unionAll(
+            runs.where("_nt > 0").select(number("entered", "_before_nt"), F.col("_s"), zero, "_nt")
         )
+        high = F.least(F.col("high"), F.col("at") + F.col("n"))
+        nearest_first = self.states().where("kind = 'free'").join(at_end, ["chunk", "round"]).where(F.col("at") < F.col("high"))
+        taking = (
+            states.where("kind = 'served'")
+            .select(number("served", "at"), "cs", "cr", "n")
+            .unionAll(runs.where("_nc > 0").select(number("served", "_before_nc"), F.col("_s"), zero, "_nc"))
+            .unionAll(
+                nearest_first.select(
+                    F.col("first") + F.col("high") - high, "cs", F.col("cr") + F.col("n") - (high - F.col("at")), high - F.col("at")
+                )
+            )
+        )
+        direct = _single(states.where("kind = 'pair'").select("ts", "tr", "cs", "cr", "n"), "tr", "cr")
+        left = _single(waiting.where(F.col("number") < end), "number", "tr")
+        taken = _single(taking.where(F.col("number") < end), "number", "cr")
+        return direct.unionByName(left.join(taken, "number").drop("number"))
 
 
-def _settled_stretches(axis: _Axis) -> list[Stretch]:
-    stretches = [replace(s, closed=i == 0) for i, s in enumerate(axis.first)]
-    rounds = 0
-    while True:
-        stale = [s for s in stretches if not s.fresh]
-        if stale:
-            rows = axis.in_order(stale).mapInPandas(_summaries, SUMMARY_SCHEMA)
-            by_first = {r["stretch"]: r.asDict() for r in rows.collect()}
-            for i, s in enumerate(stretches):
-                if not s.fresh:
-                    facts = dict(by_first[s.first])
-                    facts.pop("stretch")
-                    stretches[i] = replace(s, fresh=True, **facts)
-        rounds += 1
-        before = [(s.first, s.last, s.carried, s.closed) for s in stretches]
-        stretches = settle(stretches, eager=rounds > PATIENCE)
-        after = [(s.first, s.last, s.carried, s.closed) for s in stretches]
-        if all(s.fresh for s in stretches) and before == after:
-            return stretches
-
-
-def _queue_numbers(stretches: list[Stretch]) -> dict[int, tuple[int, int]]:
-    """Per stretch: the queue its carried units belong to and the number of the first of them."""
-    numbers = {}
-    chain, head = 0, 0
-    for s in stretches:
-        if s.carried:
-            numbers[s.first] = (chain, head)
-            if s.carried_left:
-                head = head + s.carried - s.carried_left
-                continue
-        chain, head = s.first, 0
-    return numbers
+def _single(runs: DataFrame, *counted: str) -> DataFrame:
+    """One row per unit of a run of ``n``; ``counted`` columns rise along it.  Long runs are cut first."""
+    start = F.explode(F.sequence(F.lit(0).cast("long"), F.col("n") - 1, F.lit(SEGMENT).cast("long")))
+    cut = runs.withColumn("_i", start).withColumns({c: F.col(c) + F.col("_i") for c in counted})
+    step = F.explode(F.sequence(F.lit(0).cast("long"), F.least(F.col("n") - F.col("_i"), F.lit(SEGMENT)) - 1))
+    return cut.withColumn("_j", step).withColumns({c: F.col(c) + F.col("_j") for c in counted}).drop("n", "_i", "_j")
 
 
 def _ranked_units(units: DataFrame) -> DataFrame:
@@ -469,23 +332,9 @@ def nearest_pairs(
         return units.select(
             F.col("_id").alias("treated_id"), none.cast(id_type).alias("control_id"), "_s"
         ).withColumnRenamed("_s", "gap")
-    stretches = _settled_stretches(axis)
-    segments = materialise(
-        axis.in_order(stretches, _queue_numbers(stretches)).mapInPandas(_segments, SEGMENT_SCHEMA)
-    )
-    step = F.explode(F.sequence(F.lit(0), (F.col("n") - 1).cast("int"))).alias("i")
-    single = segments.select("*", step)
-    place = F.col("i")
-    direct = single.where(F.col("kind") == "pair").select(
-        "ts", (F.col("tr") + place).alias("tr"), "cs", (F.col("cr") + place).alias("cr")
-    )
-    left = single.where(F.col("kind") == "left").select(
-        "chain", (F.col("at") + place).alias("number"), "ts", (F.col("tr") + place).alias("tr")
-    )
-    taken = single.where(F.col("kind") == "taken").select(
-        "chain", (F.col("at") + place).alias("number"), "cs", (F.col("cr") + place).alias("cr")
-    )
-    by_rank = direct.unionByName(left.join(taken, ["chain", "number"]).drop("chain", "number"))
+    coordinator = Coordinator(axis.chunks)
+    coordinator.run(axis.sweep)
+    by_rank = axis.pairs(coordinator)
     ranked = _ranked_units(units)
     treated_side = ranked.where(F.col("_t") == 1).select(
         F.col("_s").alias("ts"), F.col("_rank").alias("tr"), F.col("_id").alias("treated_id")

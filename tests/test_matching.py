@@ -6,7 +6,7 @@ from conftest import table
 from pyspark.sql import functions as F
 
 from hearthmap.functions.tails import normal_two_sided
-from hearthmap.operators import balance, effects, matching
+from hearthmap.operators import balance, effects, matching, sweep
 
 
 def greedy(units):
@@ -61,78 +61,112 @@ def test_one_sided_inputs(frame):
     assert matched(frame, []) == {}
 
 
-def _simulate(units, chunks):
-    """The coordination of stretches without Spark, for many random instances."""
-    counts = {}
-    for _, t, s in units:
-        counts.setdefault(s, [0, 0])[0 if t else 1] += 1
-    axis = sorted(counts, reverse=True)
-    size = -(-len(axis) // chunks)
-    parts = [[(s, *counts[s]) for s in axis[i : i + size]] for i in range(0, len(axis), size)]
-    found = [[s for s, _, c in p if c] for p in parts]
-    stretches = [
-        matching.Stretch(i, i, treated=sum(x[1] for x in p), controls=sum(x[2] for x in p), closed=i == 0)
-        for i, p in enumerate(parts)
-    ]
-
-    def run(x):
-        above = [min(found[i]) for i in range(x.first) if found[i]]
-        below = [max(found[i]) for i in range(x.last + 1, len(parts)) if found[i]]
-        rows = [r for p in parts[x.first : x.last + 1] for r in p]
-        swept = matching.Sweep(x.carried, None if x.closed or not above else min(above), max(below) if below else None)
-        for row in rows:
-            swept.step(*row)
-        swept.finish()
-        return swept
-
-    for rounds in range(1, 200):
-        for k, x in enumerate(stretches):
-            if not x.fresh:
-                r = run(x)
-                stretches[k] = matching.replace(
-                    x, fresh=True, waiting=r.waiting, carried_left=r.carried_left, free_left=r.free_left, blocked=r.blocked, need=r.need
-                )
-        before = [(x.first, x.last, x.carried, x.closed) for x in stretches]
-        stretches = matching.settle(stretches, eager=rounds > matching.PATIENCE)
-        if all(x.fresh for x in stretches) and before == [(x.first, x.last, x.carried, x.closed) for x in stretches]:
-            break
-    else:
-        raise AssertionError("did not settle")
-    numbers = matching._queue_numbers(stretches)
-    ids = {}
-    for i, t, s in sorted(units):
-        ids.setdefault((s, t), []).append(i)
-    pairs, left, taken = {}, {}, {}
-    for x in stretches:
-        r = run(x)
-        chain, head = numbers.get(x.first, (x.first, 0))
-        for ts, tr, cs, cr, n in r.pairs:
-            pairs |= {ids[ts, 1][tr + k]: ids[cs, 0][cr + k] for k in range(n)}
-        for at, cs, cr, n in r.taken:
-            taken |= {(chain, head + at + k): ids[cs, 0][cr + k] for k in range(n)}
-        queue, number = (chain, head + x.carried) if r.carried_left else (x.first, 0)
-        for ts, tr, n in r.queue:
-            left |= {(queue, number + k): ids[ts, 1][tr + k] for k in range(n)}
-            number += n
-    pairs |= {left[k]: taken[k] for k in left if k in taken}
-    return pairs, stretches
-
-
-def test_coordination_on_random_instances():
+class _Local:
+    """Sweeps of chunks without Spark, for many random instances."""
+
+    def __init__(self, units, chunks):
+        counts = {}
+        for _, t, s in units:
+            counts.setdefault(s, [0, 0])[0 if t else 1] += 1
+        axis = sorted(counts, reverse=True)
+        size = -(-len(axis) // chunks)
+        self.parts = [[(s, *counts[s]) for s in axis[i : i + size]] for i in range(0, len(axis), size)]
+        self.rows, self.swept, self.largest, self.kept = len(axis), 0, 0, {}
+        self.ids = {}
+        for i, t, s in sorted(units):
+            self.ids.setdefault((s, t), []).append(i)
+        facts = [sweep.Chunk(sum(r[1] for r in p), sum(r[2] for r in p), p[0][0], p[-1][0]) for p in self.parts]
+        self.coordinator = sweep.Coordinator(facts)
+        self.coordinator.run(self._sweep)
+
+    def _cut(self, segments, kind):
+        for s in segments:
+            at = 0
+            own = [sweep.Unit(x, 0, t) for x, t, _ in self.parts[s.chunk] if t]
+            for u in own if s.round < 0 else self.kept[s.chunk, s.round][kind]:
+                low, high = max(s.low - at, 0), min(s.high - at, u.n)
+                if low < high:
+                    yield u, low, high
+                at += u.n
+
+    def _sweep(self, number, orders):
+        found = {}
+        for o in orders:
+            queue, at = [], 0
+            if o.stack:
+                for u, low, high in self._cut(o.queue, 2):
+                    queue.append(sweep.Unit(u.score, at, high - low, False))
+                    at += high - low
+            elif o.waiting:
+                queue = [sweep.Unit(float("nan"), 0, o.waiting, False)]
+            stack = [sweep.Unit(u.score, u.rank + u.n - high, high - low, False) for u, low, high in self._cut(o.stack, 3)]
+            rows = len(self.parts[o.chunk])
+            self.swept += rows
+            self.largest = max(self.largest, rows + len(queue) + len(stack))
+            w = sweep.Sweep(queue, stack)
+            for r in self.parts[o.chunk]:
+                w.step(*r)
+            found[o.chunk] = w.result()
+            self.kept[o.chunk, number] = (w.pairs, w.served, [u for u in w.queue if u.own], [u for u in w.free if u.own])
+        return found
+
+    def pairs(self):
+        pairs, left, taken = {}, {}, {}
+        for i, s in enumerate(self.coordinator.settled):
+            entered, served = s.entered, s.served
+            if s.round is None:
+                for x, t, c in self.parts[i]:
+                    left |= {entered + k: self.ids[x, 1][k] for k in range(t)}
+                    taken |= {served + k: self.ids[x, 0][k] for k in range(c)}
+                    entered, served = entered + t, served + c
+                continue
+            direct, given, waiting, _ = self.kept[i, s.round]
+            for ts, tr, cs, cr, n in direct:
+                pairs |= {self.ids[ts, 1][tr + k]: self.ids[cs, 0][cr + k] for k in range(n)}
+            for at, cs, cr, n in given:
+                taken |= {served + at + k: self.ids[cs, 0][cr + k] for k in range(n)}
+            for u in waiting:
+                left |= {entered + k: self.ids[u.score, 1][u.rank + k] for k in range(u.n)}
+                entered += u.n
+        number, end = self.coordinator.waiting
+        for s in reversed(self.coordinator.rest):
+            controls = [self.ids[u.score, 0][u.rank + u.n - 1 - b] for u in self.kept[s.chunk, s.round][3] for b in range(u.n)]
+            for control in reversed(controls[: s.high]):
+                if number < end:
+                    taken[number] = control
+                number += 1
+        return pairs | {left[k]: taken[k] for k in left if k in taken}
+
+
+def test_chunk_states_on_random_instances():
     rng = random.Random(17)
-    for _ in range(600):
-        units = _units(rng, rng.randint(2, 70), rng.choice([0.1, 0.3, 0.5, 0.7, 0.9]), rng.choice([0, 0.3, -0.3, 0.8]), rng.choice([4, 50, 10**6]))
-        pairs, _ = _simulate(units, rng.choice([1, 3, 8, 25]))
-        assert pairs == greedy(units)
+    for _ in range(1500):
+        units = _units(rng, rng.randint(2, 80), rng.choice([0.1, 0.3, 0.5, 0.7, 0.9]), rng.choice([0, 0.3, -0.3, 0.8]), rng.choice([4, 50, 10**6]))
+        assert _Local(units, rng.choice([1, 3, 8, 25])).pairs() == greedy(units)
 
 
-def test_scarce_controls_stay_parallel():
+# name -> share of treated, score by (random numbers, treated)
+AXES = {
+    "as many of both": (0.5, lambda r, t: r.random()),
+    "few treated": (0.2, lambda r, t: r.gauss(0.5 * t, 1)),
+    "scarce controls": (0.7, lambda r, t: r.gauss(0.5 * t, 1)),
+    "free controls just above": (0.5, lambda r, t: r.random() if t or r.random() < 0.7 else 1 + r.random()),
+    "free controls far above": (0.5, lambda r, t: r.random() if t or r.random() < 0.6 else 3 + r.random()),
+}
+
+
+@pytest.mark.parametrize("name", AXES)
+def test_few_chunks_are_swept_again(name):
+    """Less than two more sweeps of the axis in a handful of rounds, and no task with a twentieth of it."""
+    share, score = AXES[name]
     rng = random.Random(5)
-    units = [(i, t, rng.gauss(0.5 * t, 1)) for i, t in enumerate(int(rng.random() < 0.7) for _ in range(3000))]
-    pairs, stretches = _simulate(units, 60)
-    assert pairs == greedy(units)
-    # waiting units are handed over by number, chunks are not swept together
-    assert max(x.last - x.first + 1 for x in stretches) <= 6
+    units = [(i, t, score(rng, t)) for i, t in enumerate(int(rng.random() < share) for _ in range(40_000))]
+    local = _Local(units, 100)
+    assert local.swept - local.rows < 2 * local.rows
+    assert local.largest < local.rows / 20
+    assert max(k[1] for k in local.kept) <= 8
+    small = _Local(units[:3000], 30)
+    assert small.pairs() == greedy(units[:3000])
 
 
 def _study(n=160, seed=8):
