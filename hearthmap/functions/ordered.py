@@ -1,9 +1,10 @@
 """Running totals and exact quantiles over ordered values without single-task groups.
 
-Values are first collapsed to (group, value, counts) and written once.  A table of few rows is
-summed by a plain window.  Beyond that bound a mergeable sketch cuts each group into slices of
-about equal size; slice totals give every slice its offset, and only the inside of a slice is ever
-sorted by one task.  The sketch only decides where the cuts lie: results are exact either way.
+Values are first collapsed to (group, value, counts) and written once.  The rows are then dealt out in
+order of (group, value): every task holds one slice of that order.  Sums per slice, added up in order, tell
+each slice what lies before it; only the inside of a slice is ever sorted by one task.  Slices follow the
+bytes of the collapsed table, so a task's share is the same however large the data, one group or many; a
+table of one slice is just not dealt out.
 """
 
 from __future__ import annotations
@@ -13,10 +14,10 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, Window, functions as F
 
 from hearthmap.functions.joins import lookup_join
-from hearthmap.session import materialise
+from hearthmap.session import materialise, size_in_bytes
 
-# Rows that one task may sort.
-WINDOW_ROWS = 1_000_000
+# Bytes of the collapsed table's files that one task sorts.
+SLICE_BYTES = 16_000_000
 SliceFilter = Callable[[DataFrame], DataFrame]
 
 
@@ -26,71 +27,50 @@ def running_totals(
     sums: list[str],
     by: list[str] | None = None,
     only: SliceFilter | None = None,
-    window_rows: int = WINDOW_ROWS,
+    slices: int | None = None,
 ) -> DataFrame:
     """Inclusive running totals of ``sums`` in ``value`` order within ``by``.
 
     ``counts`` holds one row per (by, value).  Adds ``cum_<s>`` and ``all_<s>``.  ``only`` may
     filter the slice table (columns ``before_<s>``, ``slice_<s>``, ``all_<s>``) so that just the
-    slices of interest are sorted.
+    slices of interest are sorted.  ``slices``: their number, else as the table's bytes want.
     """
     by = by or []
-    table = materialise(counts)
-    rows = table.count()
-    if rows <= window_rows:
-        totals = _single_slice(table, sums, by)
-        slice_keys = by
-    else:
-        table, totals = _slices(table, value, sums, by, slice_count(rows, window_rows))
-        slice_keys = [*by, "_slice"]
+    table = _sliced(counts, value, by, slices)
+    keys = [*by, "_slice"]
+    totals = _offsets(table, sums, by)
     if only is not None:
         totals = only(totals)
-    if slice_keys:
-        joined = lookup_join(table, totals, slice_keys, "inner", unique=True)
-    else:
-        joined = table.crossJoin(F.broadcast(totals))  # a single row
-    inside = _over(slice_keys).orderBy(value).rowsBetween(
-        Window.unboundedPreceding, Window.currentRow
-    )
+    joined = lookup_join(table, totals, keys, "inner", unique=True)
+    inside = _over(keys).orderBy(value).rowsBetween(Window.unboundedPreceding, Window.currentRow)
     running = {f"cum_{s}": F.col(f"before_{s}") + F.sum(s).over(inside) for s in sums}
     scratch = [f"slice_{s}" for s in sums] + [f"before_{s}" for s in sums]
     return joined.withColumns(running).drop("_slice", *scratch)
 
 
-def _over(keys: list[str]):
-    return Window.partitionBy(*keys) if keys else Window.partitionBy(F.lit(0))
-
+def _sliced(counts: DataFrame, value: str, by: list[str], slices: int | None) -> DataFrame:
+    """The rows as a written table with the number of their slice of the (by, value) order."""
+    table = materialise(counts)
+    n = slices or -(-size_in_bytes(table) // SLICE_BYTES)
+    if n <= 1:
+        return table.withColumn("_slice", F.lit(0))
+    dealt = table.repartitionByRange(n, *by, value)
+    return materialise(dealt.withColumn("_slice", F.spark_partition_id()))
 
-def _single_slice(table: DataFrame, sums: list[str], by: list[str]) -> DataFrame:
-    """Slice table in which every group is one slice."""
-    totals = table.groupBy(*by).agg(*[F.sum(s).alias(f"slice_{s}") for s in sums])
-    return totals.select(
-        "*",
-        *[F.lit(0).alias(f"before_{s}") for s in sums],
-        *[F.col(f"slice_{s}").alias(f"all_{s}") for s in sums],
-    )
 
+def _over(keys: list[str]):
+    return Window.partitionBy(*keys) if keys else Window.partitionBy(F.lit(0))
 
-def slice_count(rows: int, window_rows: int) -> int:
-    """Slices that keep each within a quarter of what one task may sort, whatever the number of rows."""
-    return max(16, -(-4 * rows // max(window_rows, 1)))
 
+def _offsets(table: DataFrame, sums: list[str], by: list[str]) -> DataFrame:
+    """Per group and slice: its sums, those of the slices before it, and the group's.
 
-def _slices(table: DataFrame, value: str, sums: list[str], by: list[str], n: int):
-    """Rows with their slice number, and the slice table with offsets and group totals."""
-    probs = F.array(*[F.lit(i / n) for i in range(1, n)])
-    cuts = table.groupBy(*by).agg(F.percentile_approx(value, probs, F.lit(50 * n)).alias("_cuts"))
-    # without groups the cut table is a single row
-    with_cuts = lookup_join(table, cuts, by) if by else table.crossJoin(F.broadcast(cuts))
-    sliced = with_cuts.withColumn(
-        "_slice", F.size(F.filter("_cuts", lambda cut: cut < F.col(value)))
-    ).drop("_cuts")
-    totals = sliced.groupBy(*by, "_slice").agg(*[F.sum(s).alias(f"slice_{s}") for s in sums])
-    # at most `n` rows per group here
+    The order has at most as many (group, slice) rows as groups and slices together.
+    """
+    totals = table.groupBy(*by, "_slice").agg(*[F.sum(s).alias(f"slice_{s}") for s in sums])
     upto = _over(by).orderBy("_slice").rowsBetween(Window.unboundedPreceding, -1)
     offsets = {f"before_{s}": F.coalesce(F.sum(f"slice_{s}").over(upto), F.lit(0)) for s in sums}
-    alls = {f"all_{s}": F.sum(f"slice_{s}").over(_over(by)) for s in sums}
-    return sliced, totals.withColumns(offsets | alls)
+    return totals.withColumns(offsets | {f"all_{s}": F.sum(f"slice_{s}").over(_over(by)) for s in sums})
 
 
 def exact_quantiles(
@@ -98,7 +78,7 @@ def exact_quantiles(
     value: str,
     probs: dict[str, float],
     by: list[str] | None = None,
-    window_rows: int = WINDOW_ROWS,
+    slices: int | None = None,
 ) -> DataFrame:
     """Exact linear-interpolation quantiles, one row per group, one column per probability."""
     by = by or []
@@ -120,7 +100,7 @@ def exact_quantiles(
         return slices.withColumn("_ranks", wanted).where(F.size("_ranks") > 0)
 
     hits = (
-        running_totals(counts, "_v", ["_n"], by, holding_a_rank, window_rows)
+        running_totals(counts, "_v", ["_n"], by, holding_a_rank, slices)
         .withColumn("_rank", F.explode("_ranks"))
         .where((F.col("_rank") < F.col("cum__n")) & (F.col("_rank") >= F.col("cum__n") - F.col("_n")))
     )

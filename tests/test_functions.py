@@ -78,11 +78,11 @@ def test_group_totals(frame):
     assert table(out, "k", "v", "t") == [(None, 5.0, 5.0), ("a", 1.0, 3.0), ("a", 2.0, 3.0)]
 
 
-@pytest.mark.parametrize("window_rows", [0, 10**6])
-def test_running_totals(frame, window_rows):
+@pytest.mark.parametrize("slices", [None, 1, 7, 60])
+def test_running_totals(frame, slices):
     rng = random.Random(3)
     rows = [(g, float(v), rng.randint(1, 9)) for g in ("a", "b", None) for v in rng.sample(range(500), 120)]
-    out = running_totals(frame(rows, "g string, v double, n int"), "v", ["n"], ["g"], window_rows=window_rows)
+    out = running_totals(frame(rows, "g string, v double, n int"), "v", ["n"], ["g"], slices=slices)
     expected = [
         (g, v, sum(n for h, u, n in rows if h == g and u <= v), sum(n for h, _, n in rows if h == g))
         for g, v, _ in rows
@@ -90,23 +90,48 @@ def test_running_totals(frame, window_rows):
     assert table(out, "g", "v", "cum_n", "all_n") == sorted(expected, key=lambda r: [(x is not None, x) for x in r])
 
 
-@pytest.mark.parametrize("window_rows", [0, 10**6])
-def test_exact_quantiles(frame, window_rows):
+@pytest.mark.parametrize("slices", [None, 1, 7, 60])
+def test_exact_quantiles(frame, slices):
     rng = random.Random(5)
     # one group holds most rows and most of those share one value
     rows = [("hot", 7.0)] * 400 + [("hot", rng.random() * 20) for _ in range(150)] + [("b", rng.gauss(0, 1)) for _ in range(31)]
     rows += [("b", None), ("c", 4.0)]
     probs = {"p10": 0.1, "p25": 0.25, "p50": 0.5, "p99": 0.99, "p0": 0.0, "p100": 1.0}
-    out = exact_quantiles(frame(rows, "g string, v double"), "v", probs, ["g"], window_rows)
+    out = exact_quantiles(frame(rows, "g string, v double"), "v", probs, ["g"], slices)
     got = {r["g"]: r for r in out.collect()}
     for g in ("hot", "b", "c"):
         values = [v for h, v in rows if h == g and v is not None]
         for name, p in probs.items():
             assert got[g][name] == pytest.approx(np.quantile(values, p), abs=1e-12)
-    alone = exact_quantiles(frame([(v,) for v in (1.0, 2.0, 3.0, 10.0)], "v double"), "v", {"a": 0.25, "b": 0.5, "c": 0.75}, window_rows=window_rows)
+    alone = exact_quantiles(frame([(v,) for v in (1.0, 2.0, 3.0, 10.0)], "v double"), "v", {"a": 0.25, "b": 0.5, "c": 0.75}, slices=slices)
     assert tuple(alone.first()) == (1.75, 2.5, 4.75)
 
 
+def test_many_groups_over_few_slices(frame):
+    rng = random.Random(6)
+    rows = [(g, float(rng.randrange(50))) for g in range(1500) for _ in range(rng.randint(1, 4))]
+    out = exact_quantiles(frame(rows, "g int, v double"), "v", {"m": 0.5, "q": 0.3}, ["g"], 9).collect()
+    assert len(out) == 1500
+    for r in rng.sample(out, 200):
+        values = [v for g, v in rows if g == r["g"]]
+        assert (r["m"], r["q"]) == (pytest.approx(np.quantile(values, 0.5)), pytest.approx(np.quantile(values, 0.3)))
+
+
+def test_slices_share_the_rows_of_one_group(frame, monkeypatch):
+    """One group with many values is dealt out by order; no row carries a list of cuts."""
+    from hearthmap.functions import ordered
+
+    counts = frame([(float(v * 37 % 4001), 1) for v in range(4001)], "v double, n int")
+    monkeypatch.setattr(ordered, "SLICE_BYTES", 1_000)
+    dealt = ordered._sliced(counts, "v", [], None).groupBy("_slice").agg(F.count("*").alias("n"), F.min("v").alias("low"), F.max("v").alias("high"))
+    slices = sorted(dealt.collect(), key=lambda r: r["low"])
+    assert len(slices) > 10 and max(r["n"] for r in slices) < 4001 / 4
+    assert all(a["high"] < b["low"] for a, b in zip(slices, slices[1:]))
+    out = running_totals(counts, "v", ["n"])
+    assert "percentile" not in out._jdf.queryExecution().toString() and "array" not in out._jdf.queryExecution().toString()
+    assert sorted((r["v"], r["cum_n"], r["all_n"]) for r in out.collect()) == [(float(i), i + 1, 4001) for i in range(4001)]
+
+
 def test_tails():
     # published F table values at the 5 % point
     assert tails.f_upper_tail(4.964603, 1, 10) == pytest.approx(0.05, abs=1e-6)
