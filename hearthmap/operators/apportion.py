@@ -7,6 +7,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 from hearthmap.constants import AREA_SUFFIX_LENGTH
 from hearthmap.functions.joins import full_join, group_totals, keep_all_lookup, lookup_join
 from hearthmap.functions.nulls import drop_suffix, lenient_sum, listed, ratio, strict_sum, to_number
+from hearthmap.operators.classes import DrugClass, classify_codes
 from hearthmap.session import materialise
 
 MEASURES = ["items", "quantity", "cost"]
@@ -21,6 +22,22 @@ def practice_totals(
     return fact.groupBy(*keys).agg(*[strict_sum(src).alias(out) for out, src in measures.items()])
 
 
+def class_totals(
+    fact: DataFrame,
+    code: str,
+    classes: list[DrugClass],
+    keys: list[str],
+    measures: dict[str, str] | list[str] = MEASURES,
+    *,
+    by_code: bool = True,
+    label: str = "drug_type",
+) -> DataFrame:
+    """Totals by (class, code, keys), or by (class, keys): facts are added up per code before any class
+    is looked up, so the class step sees no fact row."""
+    tagged = classify_codes(practice_totals(fact, [code, *keys], measures), code, classes, label)
+    return tagged if by_code else practice_totals(tagged, [label, *keys], list(measures))
+
+
 def practice_shares(
     registrations: DataFrame, practice: str = "practice", patients: str = "patients"
 ) -> DataFrame:

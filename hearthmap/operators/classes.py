@@ -23,6 +23,12 @@ class DrugClass:
     listing: DataFrame | None = field(default=None, compare=False)
 
     def matches(self, code: str) -> Column:
+        """Predicate on a code; a listing is a table and has to be joined (:func:`in_class`)."""
+        if self.listing is not None:
+            raise ValueError(f"the codes of {self.label} are a table: use in_class or in_any_class")
+        return self._literal(code)
+
+    def _literal(self, code: str) -> Column:
         tests = []
         if self.prefix is not None:
             # startswith (unlike a regex) is pushed into the Parquet scan
@@ -31,6 +37,22 @@ class DrugClass:
             tests.append(F.col(code).isin(*self.codes))
         return reduce(Column.__or__, tests, F.lit(False)) if len(tests) != 1 else tests[0]
 
+    def entries(self) -> list[tuple[int, str, str]]:
+        """Index entries (length, key, label) of what is given in code; no code meets two of them."""
+        own = [] if self.prefix is None else [(len(self.prefix), self.prefix, self.label)]
+        points = [c for c in dict.fromkeys(self.codes) if self.prefix is None or not c.startswith(self.prefix)]
+        return own + [(WHOLE, c, self.label) for c in points]
+
+    def listed_entries(self, label: str) -> DataFrame:
+        """Index entries of the listing, without codes that another entry of the class covers."""
+        column = self.listing.columns[0]
+        known = self.listing.where(F.col(column).isNotNull() & ~self._literal(column))
+        return known.select(F.lit(WHOLE).alias("_length"), F.col(column).alias("_key"), F.lit(self.label).alias(label)).distinct()
+
+
+# Length of an index entry that is a whole code and not a prefix.
+WHOLE = -1
+
 
 def code_list(df: DataFrame, column: str) -> DataFrame:
     """Distinct codes of a list table."""
@@ -51,12 +73,25 @@ def classify_by_listing(
 
 
 def any_class(code: str, classes: list[DrugClass]) -> Column:
-    """The code belongs to at least one class."""
+    """The code belongs to at least one class (classes without listing)."""
     return reduce(Column.__or__, [c.matches(code) for c in classes])
 
 
 def in_class(fact: DataFrame, code: str, one: DrugClass) -> DataFrame:
-    return fact.where(one.matches(code))
+    """Rows whose code belongs to the class."""
+    if one.listing is None:
+        return fact.where(one.matches(code))
+    return classify_codes(fact, code, [one], "_class").drop("_class")
+
+
+def in_any_class(fact: DataFrame, code: str, classes: list[DrugClass]) -> DataFrame:
+    """Rows whose code belongs to at least one class, each once."""
+    listed = [c.listing.toDF("_listed") for c in classes if c.listing is not None]
+    if not listed:
+        return fact.where(any_class(code, classes))
+    given = reduce(Column.__or__, [c._literal(code) for c in classes])
+    codes = reduce(DataFrame.unionAll, listed).where("_listed is not null").distinct().withColumn("_hit", F.lit(True))
+    return lookup_join(fact, codes, [(code, "_listed")]).where(given | F.col("_hit")).drop("_hit")
 
 
 def classify_codes(
@@ -64,20 +99,34 @@ def classify_codes(
 ) -> DataFrame:
     """One output row per (fact row, class it belongs to); one scan for all classes.
 
-    The pre-filter reaches the scan; a code in two classes yields two rows.  Classes with a listing are
-    joined in a scan of their own.
+    The classes form an index of code ranges: a prefix is the range of codes that begin with it, a listed
+    code is a range of one.  A code is looked up once per length that occurs among the entries, so the
+    work per row does not grow with the classes or their listings.  Without listings the pre-filter
+    reaches the scan and the index, given in code, is broadcast; with them its size is checked.  A code in
+    two classes yields two rows.
     """
-    tested = [c for c in classes if c.listing is None]
-    listed = [c for c in classes if c.listing is not None]
-    parts = []
-    if tested:
-        tags = F.array_compact(F.array(*[F.when(c.matches(code), F.lit(c.label)) for c in tested]))
-        parts.append(fact.where(any_class(code, tested)).withColumn(label, F.explode(tags)))
-    if listed:
-        pairs = [c.listing.toDF("_listed").withColumn(label, F.lit(c.label)) for c in listed]
-        listing = reduce(DataFrame.unionAll, pairs)
-        parts.append(classify_by_listing(fact, code, listing, "_listed", label).select(*fact.columns, label))
-    return reduce(DataFrame.unionByName, parts)
+    entries = [e for c in classes for e in c.entries()]
+    listings = [c.listed_entries(label) for c in classes if c.listing is not None]
+    spark = fact.sparkSession
+    index = spark.createDataFrame(entries, f"_length int, _key string, `{label}` string")
+    lengths = sorted({e[0] for e in entries} | ({WHOLE} if listings else set()))
+    if not lengths:
+        return fact.withColumn(label, F.lit("")).limit(0)
+    probes = F.array(
+        *[
+            F.struct(F.lit(n).alias("_length"), (F.col(code) if n == WHOLE else F.substring(code, 1, n)).alias("_key"))
+            for n in lengths
+        ]
+    )
+    names = [f"`{c}`" for c in fact.columns]
+    if not listings:
+        probed = fact.where(any_class(code, classes)).select(*names, F.inline(probes))
+        found = probed.join(F.broadcast(index), ["_length", "_key"])
+    else:
+        whole = reduce(DataFrame.unionAll, listings, index)
+        probed = fact.where(F.col(code).isNotNull()).select(*names, F.inline(probes))
+        found = lookup_join(probed, whole, ["_length", "_key"], "inner")
+    return found.select(*names, label)
 
 
 def relabel(df: DataFrame, labels: dict[str, str], label: str = "drug_type") -> DataFrame:

@@ -7,14 +7,14 @@ from pyspark.sql import DataFrame, functions as F
 from hearthmap.constants import NATION_LABELS, PREFIX_CLASSES
 from hearthmap.operators.apportion import (
     apportion,
+    class_totals,
     locality_apportion,
     locality_shares,
     practice_localities,
-    practice_totals,
     two_step_apportion,
     zone_shares,
 )
-from hearthmap.operators.classes import DrugClass, class_from_list, classify_codes, relabel
+from hearthmap.operators.classes import DrugClass, class_from_list, relabel
 from hearthmap.operators.stacking import drop_index, stack_rows
 from hearthmap.session import materialise
 
@@ -41,10 +41,11 @@ def england_volumes(
     prepared elsewhere (its row-name column is dropped).  List-defined classes are allocated code
     by code, where a missing product counts as zero.
     """
-    tagged = classify_codes(rx, "bnf_code", classes)
-    totals = practice_totals(
-        tagged,
-        ["drug_type", "bnf_code", "row_id", "row_name"],
+    totals = class_totals(
+        rx,
+        "bnf_code",
+        classes,
+        ["row_id", "row_name"],
         {"items": "items", "quantity": "quantity", "cost": "actual_cost"},
     ).withColumnRenamed("row_id", "PRACTICE_CODE")
     volumes = apportion(
@@ -71,16 +72,19 @@ def scotland_volumes(
     faithful: bool = True,
 ) -> DataFrame:
     """Zone volumes for Scotland: practice -> locality -> zones by population share."""
-    tagged = relabel(classify_codes(rx, "BNFItemCode", classes), NATION_LABELS["scotland"])
-    totals = practice_totals(
-        tagged,
-        ["drug_type", "GPPractice"],
+    totals = class_totals(
+        rx,
+        "BNFItemCode",
+        classes,
+        ["GPPractice"],
         {
             "items": "NumberOfPaidItems",
             "quantity": "PaidQuantity",
             "cost": "GrossIngredientCost",
         },
-    ).withColumnRenamed("GPPractice", "practice")
+        by_code=False,
+    )
+    totals = relabel(totals, NATION_LABELS["scotland"]).withColumnRenamed("GPPractice", "practice")
     # read several times below
     shares = materialise(
         zone_shares(
@@ -114,11 +118,14 @@ def wales_volumes(
     rx: DataFrame, registered: DataFrame, codes: DataFrame, classes: list[DrugClass]
 ) -> DataFrame:
     """Area volumes for Wales: locality totals by registered-patient share."""
-    tagged = relabel(classify_codes(rx, "BNFCode", classes), NATION_LABELS["wales"])
-    totals = practice_totals(
-        tagged,
-        ["drug_type", "Locality"],
+    totals = class_totals(
+        rx,
+        "BNFCode",
+        classes,
+        ["Locality"],
         {"items": "Items", "cost": "ActCost", "quantity": "Quantity"},
-    ).withColumnsRenamed({"Locality": "Code", "drug_type": "item"})
+        by_code=False,
+    )
+    totals = relabel(totals, NATION_LABELS["wales"]).withColumnsRenamed({"Locality": "Code", "drug_type": "item"})
     shares = locality_shares(registered, codes, area_name="LSOA_name", name="Locality")
     return locality_apportion(totals, shares, code="Code", class_col="item")

@@ -517,17 +517,45 @@ def u2_rbind(spark, sf):
 EVENT_TYPES = ["click", "error", "purchase", "signup", "view"]
 
 
-def _totals(spark, sf, keys=("drug_type", "code", "practice", "practice_name")):
-    tagged = classes.classify_codes(S.rx(spark, sf), "code", S.CLASSES)
-    return A.practice_totals(tagged, list(keys))
+def _totals(spark, sf, keys=("practice", "practice_name"), by_code=True):
+    return A.class_totals(S.rx(spark, sf), "code", S.CLASSES, list(keys), by_code=by_code)
 
 
 @query
 def d1_classify(spark, sf):
+    by_code = S.rx(spark, sf).groupBy("code").agg(F.count(F.lit(1)).alias("n"), F.sum("cost").alias("cost"))
+    return rounded(classes.classify_codes(by_code, "code", S.CLASSES), "cost", digits=2)
+
+
+@query
+def d1_classify_rows(spark, sf):
+    """Every single fact with its classes."""
     tagged = classes.classify_codes(S.rx(spark, sf), "code", S.CLASSES)
-    return tagged.groupBy("drug_type", "code").agg(
-        F.count(F.lit(1)).alias("n"), rnd(F.sum("cost"), 2).alias("cost")
-    )
+    return tagged.groupBy("drug_type", "practice").agg(F.count(F.lit(1)).alias("n"), rnd(F.sum("cost"), 2).alias("cost"))
+
+
+def _small_parts(spark, sf):
+    """A class whose codes are a table."""
+    return classes.class_from_list("small", S.table(spark, sf, "part").where("p_size = 1 and p_partkey % 3 = 0"), "p_brand")
+
+
+@query
+def d1_listed_classes(spark, sf):
+    """Two prefix classes and one whose codes are a table, in one scan of the facts."""
+    mixed = [*S.CLASSES[:2], _small_parts(spark, sf)]
+    totals = A.class_totals(S.rx(spark, sf), "code", mixed, ["practice"], by_code=False)
+    return rounded(totals, *A.MEASURES, digits=2)
+
+
+@query
+def f1_in_listed_class(spark, sf):
+    return _rx_by_code(classes.in_class(S.rx(spark, sf), "code", _small_parts(spark, sf)))
+
+
+@query
+def f3_in_any_class(spark, sf):
+    wanted = [S.CLASSES[0], S.CLASSES[4], _small_parts(spark, sf)]
+    return _rx_by_code(classes.in_any_class(S.rx(spark, sf), "code", wanted))
 
 
 @query
@@ -550,8 +578,7 @@ def d2_apportion(spark, sf):
 def d2_apportion_twelve_months(spark, sf):
     months = scans.study_months((1996, 8), 12)
     rx = S.rx(spark, sf).where(F.col("month").isin(months))
-    tagged = classes.classify_codes(rx, "code", S.CLASSES)
-    totals = A.practice_totals(tagged, ["drug_type", "code", "practice", "practice_name"])
+    totals = A.class_totals(rx, "code", S.CLASSES, ["practice", "practice_name"])
     volumes = A.apportion(*_with_registrations(spark, sf, totals), S.LABELS)
     return rounded(volumes, *A.MEASURES)
 
@@ -582,7 +609,7 @@ def d4a_zone_shares(spark, sf):
 def _two_step(spark, sf, faithful):
     shares = _shares(spark, sf)
     listed = materialise(A.practice_localities(S.practice_list(spark, sf), shares))
-    totals = _totals(spark, sf, ["drug_type", "practice"])
+    totals = _totals(spark, sf, ["practice"], by_code=False)
     spread = A.two_step_apportion(totals, listed, shares, S.LABELS, faithful=faithful)
     measures = [*A.MEASURES, *[f"{m}_per_zone" for m in A.MEASURES]]
     return rounded_off_halves(
@@ -608,10 +635,8 @@ def d4c_parent_check(spark, sf):
 
 @query
 def d5_locality(spark, sf):
-    tagged = classes.classify_codes(S.locality_rx(spark, sf), "code", S.CLASSES)
-    totals = A.practice_totals(tagged, ["drug_type", "locality_code"]).withColumnRenamed(
-        "locality_code", "code"
-    )
+    totals = A.class_totals(S.locality_rx(spark, sf), "code", S.CLASSES, ["locality_code"], by_code=False)
+    totals = totals.withColumnRenamed("locality_code", "code")
     shares = A.locality_shares(S.registered_by_area(spark, sf), S.locality_codes(spark, sf))
     spread = A.locality_apportion(totals, shares)
     return rounded_off_halves(

@@ -236,6 +236,9 @@ def rounded(columns: list[str], digits: int = 4) -> str:
     return ", ".join(f'round("{c}", {digits}) AS "{c}"' for c in columns)
 
 
+_SMALL_PARTS = "SELECT p_brand FROM part WHERE p_size = 1 AND p_partkey % 3 = 0"
+
+
 def _by_code(test: str) -> str:
     return sql(
         f"SELECT code, count(*) AS n, round(sum(cost), 2) AS cost FROM rx WHERE {test} GROUP BY 1", "rx"
@@ -563,6 +566,17 @@ ORACLE: dict[str, str] = {
         UNION ALL SELECT c_name, NULL, c_mktsegment FROM customer""",
     "u2_rbind": "SELECT s_name AS name, s_acctbal AS balance FROM supplier UNION ALL SELECT c_name, c_acctbal FROM customer",
     "d1_classify": sql("SELECT drug_type, code, count(*) AS n, round(sum(cost), 2) AS cost FROM tagged GROUP BY 1, 2", "tagged"),
+    "d1_classify_rows": sql("SELECT drug_type, practice, count(*) AS n, round(sum(cost), 2) AS cost FROM tagged GROUP BY 1, 2", "tagged"),
+    "d1_listed_classes": sql(
+        "SELECT drug_type, practice, "
+        + ", ".join(f"round({strict(m)}, 2) AS {m}" for m in MEASURES)
+        + f" FROM (SELECT * FROM tagged WHERE drug_type IN ('{LABELS[0]}', '{LABELS[1]}')"
+        + f" UNION ALL SELECT *, 'small' FROM rx WHERE code IN ({_SMALL_PARTS})) GROUP BY 1, 2",
+        "tagged",
+        "rx",
+    ),
+    "f1_in_listed_class": _by_code(f"code IN ({_SMALL_PARTS})"),
+    "f3_in_any_class": _by_code(f"{class_test(CLASSES[0])} OR {class_test(CLASSES[4])} OR code IN ({_SMALL_PARTS})"),
     "d1_classify_by_listing": sql(
         """SELECT drug_type, count(*) AS n, round(sum(cost), 2) AS cost FROM rx
         JOIN (SELECT DISTINCT p_brand, p_type AS drug_type FROM part) ON code = p_brand GROUP BY 1""",

@@ -4,7 +4,14 @@ import pytest
 from conftest import table
 
 from hearthmap.operators import apportion as A
-from hearthmap.operators.classes import DrugClass, class_from_list, classify_by_listing, classify_codes
+from hearthmap.operators.classes import (
+    DrugClass,
+    class_from_list,
+    classify_by_listing,
+    classify_codes,
+    in_any_class,
+    in_class,
+)
 from hearthmap.operators.stacking import bind_rows, drop_index, drop_range, rename_at, stack_rows
 from hearthmap.plans.nations import england_volumes, scotland_volumes, wales_volumes
 
@@ -74,6 +81,34 @@ def test_classes_overlap(frame, spark):
     assert table(classify_by_listing(fact, "code", listing, "code"), "code", "drug_type") == [("0403AB", "x"), ("0403AB", "y")]
 
 
+def test_classes_from_tables_in_every_operator(frame):
+    codes = frame([("0403AB",), ("0301",), (None,)], "c string")
+    listed = class_from_list("list", codes, "c")
+    both = DrugClass("both", prefix="0403", codes=("0403AB", "0200"), listing=codes)
+    fact = frame([("0403AB",), ("0403XY",), ("0301",), ("0200",), ("9",), (None,)], "code string")
+    assert table(in_class(fact, "code", listed), "code") == [("0301",), ("0403AB",)]
+    # a code that several entries of one class cover counts once
+    assert table(in_class(fact, "code", both), "code") == [("0200",), ("0301",), ("0403AB",), ("0403XY",)]
+    assert table(in_any_class(fact, "code", [DrugClass("p", prefix="9"), listed]), "code") == [("0301",), ("0403AB",), ("9",)]
+    assert table(in_any_class(fact, "code", [DrugClass("p", prefix="04")]), "code") == [("0403AB",), ("0403XY",)]
+    with pytest.raises(ValueError):
+        listed.matches("code")
+    assert classify_codes(fact, "code", []).collect() == []
+
+
+def test_totals_come_before_classes_in_one_scan(spark):
+    """Prefix and listed classes: the facts are read once and added up below the class step."""
+    part = spark.read.parquet("/root/testdata/sf0.001/part.parquet")
+    listing = spark.read.parquet("/root/testdata/sf0.001/supplier.parquet")
+    mixed = [DrugClass("a", prefix="Brand#1"), DrugClass("b", codes=("Brand#3",)), class_from_list("c", listing, "s_name")]
+    totals = A.class_totals(part, "p_brand", mixed, ["p_type"], {"items": "p_size"})
+    plan = totals._jdf.queryExecution().optimizedPlan().toString()
+    facts = [line for line in plan.splitlines() if "p_brand" in line and "Relation" in line]
+    assert len(facts) == 1
+    assert plan.index("Join") < plan.index("Generate") < plan.index("Aggregate")
+    assert "filter(" not in plan and "array_compact" not in plan
+
+
 def test_one_scan_and_pushed_prefix(spark):
     from hearthmap.operators.classes import any_class
 
