@@ -36,6 +36,7 @@ from pyspark.sql.types import (
     StructType,
 )
 
+from hearthmap.llm.scratch import small_batches
 from hearthmap.llm.words import STEP_BYTES, steps
 
 # Encoded pieces that a worker remembers between steps; beyond that it forgets all and goes on.
@@ -100,21 +101,21 @@ class MergeReplay:
             rank = heapq.heappop(heap)
             places = index.pop(rank)
             places.sort()
+            left = rank << shift
             waiting, later = -1, []  # piece in which a lower rank has come up, and its places left
             for i in places:
                 j = after[i]
                 # the place may have been touched since it was indexed
-                if j < 0 or token[i] < 0 or pair(token[i] << shift | token[j]) != rank:
+                if j < 0 or (first := token[i]) < 0 or pair(first << shift | token[j]) != rank:
                     continue
-                if word[i] == waiting:
+                if waiting >= 0 and word[i] == waiting:
                     later.append(i)
                     continue
                 token[i], token[j] = rank, -1
-                k, h = after[j], before[i]
-                after[i] = k
+                after[i] = k = after[j]
                 if k >= 0:
                     before[k] = i
-                    new = pair(rank << shift | token[k])
+                    new = pair(left | token[k])
                     if new is not None:
                         if new in index:
                             index[new].append(i)
@@ -123,6 +124,7 @@ class MergeReplay:
                             heapq.heappush(heap, new)
                         if new < rank:
                             waiting = word[i]
+                h = before[i]
                 if h >= 0:
                     new = pair(token[h] << shift | rank)
                     if new is not None:
@@ -144,16 +146,17 @@ class MergeReplay:
         """Ids of each text as little-endian unsigned 32-bit integers."""
         split = [self.pieces(t) if t else [] for t in texts]
         known = self._known
-        fresh = list({p for pieces in split for p in pieces if p not in known})
+        distinct = set().union(*split)
+        fresh = [p for p in distinct if p not in known]
         if len(known) + len(fresh) > REMEMBERED:
             known.clear()
-            fresh = list({p for pieces in split for p in pieces})
+            fresh = list(distinct)
         raw = [p.encode() for p in fresh]
         whole = [self.ranks.get(p) for p in raw]
         coded = iter(self.replay([p for p, rank in zip(raw, whole) if rank is None]))
         for piece, rank in zip(fresh, whole):
             known[piece] = next(coded) if rank is None else rank.to_bytes(4, "little")
-        return [b"".join([known[p] for p in pieces]) for pieces in split]
+        return [b"".join(map(known.__getitem__, pieces)) for pieces in split]
 
 
 def _places(ranks: np.ndarray) -> dict[int, list[int]]:
@@ -232,6 +235,7 @@ def code(
     for name in products.values():
         if name in df.columns:
             raise ValueError(f"the input has a column {name} already")
+    small_batches(df.sparkSession)
     shipped = _ship(df.sparkSession, ranks)
     kept = [f for f in df.schema.fields if f.name != text]
     schema = StructType([*kept, *[StructField(name, _PRODUCTS[kind]) for kind, name in products.items()]])

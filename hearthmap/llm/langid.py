@@ -27,6 +27,7 @@ import pyarrow as pa
 import regex
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
+from hearthmap.llm.scratch import small_batches
 from hearthmap.llm.words import RangeHash, find_words, lower_ascii, raw, steps
 
 BUCKETS = 1 << 16
@@ -231,6 +232,7 @@ def identify(df: DataFrame, model: Model, text: str = "text", lang: str = "lang_
     if clash:
         raise ValueError(f"the input has columns {sorted(clash)} already")
     schema = StructType([f for f in df.schema.fields]).add(lang, "string").add(score, "double")
+    small_batches(df.sparkSession)
     shipped = df.sparkSession.sparkContext.broadcast(model)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -7,6 +7,20 @@ from pyspark.sql import DataFrame, SparkSession
 from hearthmap.session import new_shared_path
 
 
+# Bytes of a batch of rows on its way to a Python worker; two of them wait on either side of each task.
+BATCH_BYTES = 4_000_000
+
+
+def small_batches(spark: SparkSession) -> None:
+    """From now on the session hands rows to Python in batches of a few MB (its default is 64 MB).
+
+    Workers cut batches to steps anyhow; larger ones only fill memory beside the heap.
+    """
+    key = "spark.sql.execution.arrow.maxBytesPerBatch"
+    if spark.conf.get(key, None) in (None, "67108864b", "64MB"):
+        spark.conf.set(key, str(BATCH_BYTES))
+
+
 class Scratch:
     """Written intermediate tables of one operator call.
 
