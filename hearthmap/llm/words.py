@@ -146,9 +146,11 @@ def shingle_sets(data: np.ndarray, bounds: np.ndarray) -> tuple[np.ndarray, np.n
     return sequence[fresh], np.concatenate([[0], np.cumsum(counts)])
 
 
-def steps(batch: pa.RecordBatch, column: str = "text", limit: int = STEP_BYTES) -> Iterator[pa.RecordBatch]:
-    """Slices of a batch with about ``limit`` bytes of text; one row at least."""
-    _, bounds = raw(batch.column(column))
+def steps(
+    batch: pa.RecordBatch, column: str = "text", limit: int = STEP_BYTES, more: tuple[str, ...] = ()
+) -> Iterator[pa.RecordBatch]:
+    """Slices of a batch with about ``limit`` bytes of text, in ``column`` and ``more`` together; one row at least."""
+    bounds = sum(raw(batch.column(c))[1] for c in (column, *more))
     at = 0
     while at < batch.num_rows:
         to = int(np.searchsorted(bounds, bounds[at] + limit, "right")) - 1
