@@ -19,12 +19,10 @@ from collections.abc import Iterator
 from dataclasses import asdict
 
 import pandas as pd
-from pyspark.ml.feature import VectorAssembler
-from pyspark.ml.regression import GeneralizedLinearRegression
-from pyspark.sql import DataFrame, Window, functions as F
+from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from hearthmap.functions.joins import lookup_join
-from hearthmap.operators.reshape import distinct_labels
+from hearthmap.operators.absorbed import FEW_BYTES, Fit, covariates, fit, level_bytes, model_rows
 from hearthmap.operators.sweep import Chunk, Coordinator, Order, Result, Sweep, Unit
 from hearthmap.session import materialise, new_shared_path
 
@@ -46,11 +44,9 @@ def complete_cases(df: DataFrame, columns: list[str], drop_incomplete: bool) ->
     return df
 
 
-def dummy_columns(df: DataFrame, categorical: list[str]) -> dict[str, tuple[str, str]]:
-    """Indicator columns for every level but the first: name -> (column, level)."""
-    return {
-        f"{c}_{level}": (c, level) for c in categorical for level in distinct_labels(df, c)[1:]
-    }
+# Rounds of reweighting at most, and the relative change of the deviance that ends them (fixed values, those
+# of the usual logistic regression).
+ROUNDS, CLOSE_ENOUGH = 25, 1e-8
 
 
 def propensity_score(
@@ -62,23 +58,53 @@ def propensity_score(
     drop_incomplete: bool = False,
     out: str = "distance",
 ) -> DataFrame:
-    """Fitted probability of treatment from a logistic regression."""
+    """Fitted probability of treatment from a logistic regression.
+
+    Rows are collapsed to cells of equal covariates and treatment.  Every round is a weighted regression on
+    the cells, in which the categorical covariate's levels are swept out: they may be any number, and
+    the driver sees a small system only.
+    """
     data = complete_cases(df, [*numeric, *categorical], drop_incomplete)
-    dummies = dummy_columns(data, categorical)
-    names = {f"_x{i}": (F.col(c) == level).cast("double") for i, (c, level) in enumerate(dummies.values())}
-    names |= {f"_n{i}": F.col(c).cast("double") for i, c in enumerate(numeric)}
-    design = data.withColumns(names).withColumn("_label", F.col(treated).cast("double"))
-    vectors = VectorAssembler(inputCols=list(names), outputCol="_features").transform(design)
-    model = GeneralizedLinearRegression(
-        family="binomial",
-        link="logit",
-        featuresCol="_features",
-        labelCol="_label",
-        predictionCol=out,
-        maxIter=50,
-        tol=1e-10,
-    ).fit(vectors)
-    return model.transform(vectors).drop("_features", "_label", *names)
+    x = covariates(data, numeric, categorical)
+    if x.names:
+        # sums of squares lose no digits around the means
+        middle = data.agg(*[F.avg(c) for c in x.columns]).first()
+        x.columns = [c - F.lit(m or 0.0) for c, m in zip(x.columns, middle)]
+    rows = model_rows(data, x, _t=F.col(treated).cast("int"))
+    xs = [c for c in rows.columns if c not in ("_l", "_t")]
+    cells = materialise(rows.groupBy("_l", *xs, "_t").agg(F.count(F.lit(1)).cast("double").alias("_c")))
+    y = F.col("_t").cast("double")
+    current, last = cells.withColumn("_eta", F.when(F.col("_t") == 1, 1.0).otherwise(-1.0) * math.log(3.0)), math.inf
+    few = level_bytes(cells.select("_l").distinct().count(), len(xs)) <= FEW_BYTES
+    model = previous = None
+    for _ in range(ROUNDS + 1):
+        bounded = F.greatest(F.least(F.col("_eta"), F.lit(30.0)), F.lit(-30.0))
+        mu = 1 / (1 + F.exp(-bounded))
+        spread = mu * (1 - mu)
+        miss = F.log(F.when(F.col("_t") == 1, mu).otherwise(1 - mu)) * F.col("_c") * -2
+        refit = fit(
+            current, len(xs), F.col("_c") * spread, F.col("_eta") + (y - mu) / spread, F.lit(0), {"_deviance": miss}, few
+        )
+        deviance = refit.totals["_deviance"]
+        if deviance > last + CLOSE_ENOUGH:
+            model = previous  # no step leads further down, as where the arms do not overlap at all
+            break
+        if abs(deviance - last) < CLOSE_ENOUGH * (abs(deviance) + 0.1):
+            break
+        last = deviance if model is not None else math.inf  # the start is no fit
+        previous, model = model, refit
+        current = _predicted(cells, "_l", [F.col(c) for c in xs], model, "_eta")
+    named = data.withColumn("_l", x.level)
+    scored = _predicted(named, "_l", x.columns, model, out)
+    return scored.withColumn(out, 1 / (1 + F.exp(-F.col(out)))).drop("_l")
+
+
+def _predicted(df: DataFrame, level: str, columns: list[Column], model: Fit, out: str) -> DataFrame:
+    """Adds the fitted linear predictor."""
+    starts = model.levels.select(F.col("_l").alias("_level"), model.intercept().alias("_start"))
+    slopes = sum((F.lit(model.slopes[0][i]) * columns[i] for i in model.kept), F.lit(0.0))
+    joined = lookup_join(df, starts, [(level, "_level")], written=True)  # a few rows or a written table
+    return joined.withColumn(out, F.col("_start") + slopes).drop("_start")
 
 
 # ---------------------------------------------------------------- sweeps on Spark

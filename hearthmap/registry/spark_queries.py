@@ -849,6 +849,25 @@ def t6_score_one_factor(spark, sf):
     return scored.select("id", rnd("distance", 6).alias("distance"))
 
 
+@query
+def t6_score_equations(spark, sf):
+    """A fitted score leaves nothing per level and nothing along a covariate; its size is that of the treated."""
+    rows = _study_rows(spark, sf).withColumn("t", (F.col("id") % 3 == 0).cast("int"))
+    scored = matching.propensity_score(rows, "t", NUMERIC, CATEGORICAL)
+    left = F.col("t") - F.col("distance")
+    return scored.groupBy("settlement").agg(
+        rnd(F.sum("distance"), 5).alias("expected"),
+        rnd(F.sum(left), 5).alias("left"),
+        F.count(F.lit(1)).alias("n"),
+    ).unionByName(
+        scored.agg(
+            rnd(F.sum(F.col("distance") * F.col("orders")), 3).alias("expected"),
+            rnd(F.sum(left * F.col("income")), 3).alias("left"),
+            F.count(F.lit(1)).alias("n"),
+        ).withColumn("settlement", F.lit("(orders, income)"))
+    )
+
+
 @query
 def t6_imbalance(spark, sf):
     table = B.balance_table(_scored(spark, sf), "t", ["distance", *NUMERIC], CATEGORICAL)
@@ -918,7 +937,7 @@ def _given_matched(spark, sf):
 
 @query
 def t10_wls(spark, sf):
-    return effects.weighted_model(_given_matched(spark, sf), "t", "y", NUMERIC, CATEGORICAL)
+    return rounded(effects.weighted_model(_given_matched(spark, sf), "t", "y", NUMERIC, CATEGORICAL), "estimate", digits=7)
 
 
 @query
@@ -929,7 +948,8 @@ def t10_wls_one_covariate(spark, sf):
 
 @query
 def t11_att(spark, sf):
-    return effects.treated_effect(_given_matched(spark, sf), "t", "y", NUMERIC, CATEGORICAL)
+    effect = effects.treated_effect(_given_matched(spark, sf), "t", "y", NUMERIC, CATEGORICAL)
+    return effect.select(*[rnd(c, 6).alias(c) for c in ("estimate", "std_error")], rnd("z", 5).alias("z"), "n_treated", "n_clusters")
 
 
 @query

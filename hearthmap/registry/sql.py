@@ -435,6 +435,23 @@ def _balance(view: str, used: str) -> str:
     )
 
 
+# Income and orders within the levels of settlement, per arm of the matched rows: slopes b1, b2 and intercepts a.
+_FULL_MODEL = """cells AS (SELECT t, settlement, count(*) AS n, avg(income) AS m1, avg(orders) AS m2, avg(y) AS my
+    FROM flagged WHERE matched = 1 GROUP BY 1, 2),
+  away AS (SELECT f.t, f.settlement, f.subclass, f.y, income, orders, income - m1 AS d1, orders - m2 AS d2, f.y - my AS dy
+    FROM flagged f JOIN cells c ON f.t = c.t AND f.settlement = c.settlement WHERE matched = 1),
+  crossed AS (SELECT t, sum(d1 * d1) AS s11, sum(d1 * d2) AS s12, sum(d2 * d2) AS s22, sum(d1 * dy) AS s1, sum(d2 * dy) AS s2 FROM away GROUP BY 1),
+  slopes AS (SELECT *, s11 * s22 - s12 * s12 AS det, (s22 * s1 - s12 * s2) / (s11 * s22 - s12 * s12) AS b1,
+    (s11 * s2 - s12 * s1) / (s11 * s22 - s12 * s12) AS b2 FROM crossed),
+  starts AS (SELECT c.t, settlement, n, m1, m2, my - m1 * b1 - m2 * b2 AS a FROM cells c JOIN slopes s ON c.t = s.t),
+  both_arms AS (SELECT settlement, any_value(a) FILTER (t = 0) AS a0, any_value(a) FILTER (t = 1) AS a1, any_value(n) FILTER (t = 0) AS n0,
+    any_value(n) FILTER (t = 1) AS n1, any_value(m1) FILTER (t = 0) AS m10, any_value(m1) FILTER (t = 1) AS m11,
+    any_value(m2) FILTER (t = 0) AS m20, any_value(m2) FILTER (t = 1) AS m21 FROM starts GROUP BY 1),
+  base AS (SELECT a0, a1 FROM both_arms ORDER BY settlement LIMIT 1),
+  arms AS (SELECT any_value(b1) FILTER (t = 0) AS b10, any_value(b1) FILTER (t = 1) AS b11, any_value(b2) FILTER (t = 0) AS b20,
+    any_value(b2) FILTER (t = 1) AS b21 FROM slopes)
+"""
+
 _ONE_COVARIATE = """(SELECT t, count(*) AS n, avg(income) AS mx, avg(y) AS my, regr_slope(y, income) AS b,
     regr_intercept(y, income) AS a, var_pop(income) * count(*) AS sxx FROM flagged WHERE matched = 1 GROUP BY t)"""
 
@@ -742,6 +759,37 @@ ORACLE: dict[str, str] = {
     "t9_matched_given_pairs": sql(
         "SELECT id, t, subclass, CAST(1 AS DOUBLE) AS weights FROM flagged WHERE matched = 1", "flagged"
     ),
+    "t6_score_equations": sql(
+        """SELECT settlement, round(CAST(sum(CAST(id % 3 = 0 AS INT)) AS DOUBLE), 5) AS expected, 0.0::DOUBLE AS left, count(*) AS n FROM study GROUP BY 1
+        UNION ALL SELECT '(orders, income)', round(sum(CASE WHEN id % 3 = 0 THEN orders ELSE 0 END), 3), 0.0, count(*) FROM study""",
+        "study",
+    ),
+    "t10_wls": sql(
+        f"""{_FULL_MODEL} SELECT term, round(estimate, 7) AS estimate FROM (
+          SELECT unnest(['(Intercept)', 't', 'income', 'orders', 't:income', 't:orders']) AS term,
+            unnest([a0, a1 - a0, b10, b20, b11 - b10, b21 - b20]) AS estimate FROM base, arms
+          UNION ALL SELECT 'settlement_' || settlement, m.a0 - b.a0 FROM both_arms m, base b WHERE settlement <> (SELECT min(settlement) FROM both_arms)
+          UNION ALL SELECT 't:settlement_' || settlement, m.a1 - m.a0 - (b.a1 - b.a0) FROM both_arms m, base b
+            WHERE settlement <> (SELECT min(settlement) FROM both_arms))""",
+        "flagged",
+        recursive=True,
+    ),
+    "t11_att": sql(
+        f"""{_FULL_MODEL},
+        treated AS (SELECT avg(income) AS x1, avg(orders) AS x2, CAST(count(*) AS DOUBLE) AS n FROM flagged WHERE matched = 1 AND t = 1),
+        shares AS (SELECT m.*, n1 / (SELECT n FROM treated) AS u FROM both_arms m),
+        sums AS (SELECT sum(u * (a1 - a0)) AS gap, sum(u * m10) AS u10, sum(u * m11) AS u11, sum(u * m20) AS u20, sum(u * m21) AS u21 FROM shares),
+        found AS (SELECT gap + x1 * (b11 - b10) + x2 * (b21 - b20) AS est, n FROM sums, treated, arms),
+        pull AS (SELECT s.t, (s22 * c1 - s12 * c2) / det AS p1, (s11 * c2 - s12 * c1) / det AS p2 FROM slopes s JOIN (
+          SELECT 0 AS t, x1 - u10 AS c1, x2 - u20 AS c2 FROM treated, sums UNION ALL SELECT 1, x1 - u11, x2 - u21 FROM treated, sums) c ON s.t = c.t),
+        influence AS (SELECT subclass, sum((2 * w.t - 1) * (w.dy - b1 * d1 - b2 * d2) * (u / (CASE WHEN w.t = 1 THEN n1 ELSE n0 END) + p1 * d1 + p2 * d2)) AS f, count(*) AS k
+          FROM away w JOIN slopes s ON w.t = s.t JOIN pull p ON w.t = p.t JOIN shares h ON w.settlement = h.settlement GROUP BY 1),
+        spread AS (SELECT sum(f * f) AS ss, count(*) AS g, sum(k) AS nn FROM influence),
+        errors AS (SELECT g, sqrt(ss * g / (g - 1) * (nn - 1) / (nn - (2 * (SELECT count(*) FROM both_arms) + 4))) AS se FROM spread)
+        SELECT round(est, 6) AS estimate, round(se, 6) AS std_error, round(est / se, 5) AS z, CAST(n AS BIGINT) AS n_treated, g AS n_clusters FROM found, errors""",
+        "flagged",
+        recursive=True,
+    ),
     "t10_wls_one_covariate": sql(
         f"""SELECT term, round(estimate, 7) AS estimate FROM (
           SELECT unnest(['(Intercept)', 't', 'income', 't:income']) AS term,

@@ -203,6 +203,67 @@ def test_propensity_score(frame):
     assert max(abs(got[r[0]] - expected[i]) for i, r in enumerate(rows)) < 1e-8
 
 
+def test_score_with_many_levels(frame):
+    """Two thousand levels: the score equations hold, and no column stands for a level."""
+    rng = np.random.default_rng(4)
+    n = 12_000
+    x, level = rng.normal(2020, 5, n), rng.integers(0, 2000, n)
+    t = (rng.random(n) < 1 / (1 + np.exp(-(0.2 * (x - 2020) + (level % 7 - 3) * 0.3)))).astype(int)
+    df = frame([(i, int(t[i]), float(x[i]), f"L{level[i]:04d}") for i in range(n)], "id long, t int, x double, g string")
+    out = matching.propensity_score(df, "t", ["x"], ["g"])
+    assert "L1234 =" not in out._jdf.queryExecution().optimizedPlan().toString()
+    rows = out.select("t", "x", "g", "distance").toPandas()
+    miss = rows.t - rows.distance
+    # levels with both outcomes have an intercept of their own, which balances them
+    mixed = rows.groupby("g").t.transform("mean").between(0.001, 0.999)
+    assert miss[mixed].groupby(rows.g[mixed]).sum().abs().max() < 1e-3
+    assert abs((miss * (rows.x - 2020)).sum()) < 1e-2
+
+
+def test_score_where_arms_do_not_overlap(frame):
+    df = frame([(i, int(i >= 20), float(i), "a" if i % 2 else "b") for i in range(40)], "id long, t int, x double, g string")
+    got = {r["id"]: r["distance"] for r in matching.propensity_score(df, "t", ["x"], ["g"]).collect()}
+    assert all((got[i] > 0.9) == (i >= 20) for i in got if abs(i - 19.5) > 2)
+
+
+def test_effect_with_many_levels(frame):
+    """Absorbed levels give what indicator columns give."""
+    rng = np.random.default_rng(9)
+    n, k = 3000, 300
+    level, x, t = np.arange(n) % k, rng.normal(size=n), np.arange(n) // k % 2
+    w = rng.integers(1, 4, n).astype(float)
+    y = 0.5 * t + 0.1 * x * t + 0.01 * level + rng.normal(size=n)
+    rows = [(int(t[i]), float(x[i]), f"{level[i]:03d}", float(y[i]), float(w[i]), int(i // 2)) for i in range(n)]
+    df = frame(rows, "t int, x double, g string, y double, weights double, subclass long")
+    dummies = (level[:, None] == np.arange(1, k)).astype(float)
+    base = np.hstack([np.ones((n, 1)), x[:, None], dummies])
+    X = np.hstack([base[:, :1], t[:, None], base[:, 1:], t[:, None] * base[:, 1:]])
+    inverse = np.linalg.pinv(X.T @ (X * w[:, None]))
+    beta = inverse @ X.T @ (w * y)
+    e = w * (y - X @ beta)
+    scores = np.add.reduceat(X * e[:, None], np.arange(0, n, 2))
+    contrast = np.concatenate([[0, 1], np.zeros(k), base[t == 1, 1:].mean(0)])
+    rank = np.linalg.matrix_rank(X)
+    v = inverse @ scores.T @ scores @ inverse * (n / 2) / (n / 2 - 1) * (n - 1) / (n - rank)
+    row = effects.treated_effect(df, "t", "y", ["x"], ["g"]).first()
+    assert rank == 2 * k + 2
+    assert row["estimate"] == pytest.approx(contrast @ beta) and row["std_error"] == pytest.approx(np.sqrt(contrast @ v @ contrast))
+    got = {r["term"]: r["estimate"] for r in effects.weighted_model(df, "t", "y", ["x"], ["g"]).collect()}
+    names = ["(Intercept)", "t", "x", *[f"g_{i:03d}" for i in range(1, k)], "t:x", *[f"t:g_{i:03d}" for i in range(1, k)]]
+    assert got == {name: pytest.approx(b, rel=1e-7, abs=1e-7) for name, b in zip(names, beta)}
+
+
+def test_levels_that_one_arm_lacks(frame):
+    rows = [(0, "a", 1.0), (0, "a", 3.0), (0, "b", 4.0), (1, "b", 7.0), (1, "b", 9.0), (1, "c", 5.0), (0, "b", 6.0)]
+    df = frame([(t, g, y, 1.0, i) for i, (t, g, y) in enumerate(rows)], "t int, g string, y double, weights double, subclass long")
+    got = {r["term"]: r["estimate"] for r in effects.weighted_model(df, "t", "y", [], ["g"]).collect()}
+    # a: untreated only, b: both, c: treated only
+    assert got == {"(Intercept)": 2.0, "t": 3.0, "g_b": 3.0, "t:g_b": None, "g_c": 0.0, "t:g_c": None}
+    assert effects.treated_effect(df, "t", "y", [], ["g"]).first()["estimate"] == pytest.approx(3.0)
+    with pytest.raises(ValueError):
+        effects.weighted_model(df.where("g <> 'b'"), "t", "y", [], ["g"])
+
+
 def test_missing_covariates(frame):
     df = frame([*_study(40), (99, 1, None, 0.1, "a", 1.0)], SCHEMA)
     with pytest.raises(ValueError):
