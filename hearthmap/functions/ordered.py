@@ -89,6 +89,14 @@ def exact_quantiles(
         .groupBy(*by, "_v")
         .agg(F.count(F.lit(1)).alias("_n"))
     )
+    return quantiles_of_counts(counts, "_v", "_n", probs, by, slices)
+
+
+def quantiles_of_counts(
+    counts: DataFrame, value: str, n: str, probs: dict[str, float], by: list[str], slices: int | None = None
+) -> DataFrame:
+    """The same from a table of (by, value) with the number of times each value occurs."""
+    counts = counts.select(*by, F.col(value).alias("_v"), F.col(n).alias("_n"))
     places = {name: (F.col("all__n") - 1) * F.lit(float(p)) for name, p in probs.items()}
     ranks = F.array_distinct(
         F.array(*[f(h).cast("long") for h in places.values() for f in (F.floor, F.ceil)])

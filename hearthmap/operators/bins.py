@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import math
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame, functions as F
 
@@ -120,36 +121,32 @@ def histogram(df: DataFrame, value: str) -> DataFrame:
 
 
 def binned_distribution(
-    df: DataFrame, variables: list[str], cells: int, by: list[str]
+    df: DataFrame, variables: list[str], cells: int, by: list[str], categorical: list[str] | None = None
 ) -> DataFrame:
     """Per variable, equal-width cells over its range and the share of each group in each cell.
 
-    The data behind density and jitter plots: one unpivot, one aggregate.
+    The data behind density and jitter plots: variable, ``by``, cell, n, proportion.  Categorical covariates
+    have a row per level instead of a cell, and the result then has a column ``level``.  Every variable is
+    counted on its own, so no row is multiplied.
     """
-    long = (
-        df.select(*by, *[F.col(v).cast("double").alias(v) for v in variables])
-        .unpivot(by, variables, "variable", "_v")
-        .where(F.col("_v").isNotNull())
-    )
-    # one row per variable
+    # one row with the range of every variable
     ranges = df.agg(
         *[F.min(F.col(v).cast("double")).alias(f"_l{i}") for i, v in enumerate(variables)],
         *[F.max(F.col(v).cast("double")).alias(f"_h{i}") for i, v in enumerate(variables)],
     )
-    with_range = long.crossJoin(F.broadcast(ranges))
-    low = high = F.lit(None).cast("double")
+    no_level, no_cell = F.lit(None).cast("string").alias("level"), F.lit(None).cast("int").alias("cell")
+    counts = []
     for i, v in enumerate(variables):
-        low = F.when(F.col("variable") == v, F.col(f"_l{i}")).otherwise(low)
-        high = F.when(F.col("variable") == v, F.col(f"_h{i}")).otherwise(high)
-    place = F.coalesce(ratio(F.col("_v") - low, high - low) * cells, F.lit(0.0))
-    cell = F.least(F.greatest(F.ceil(place), F.lit(1)), F.lit(cells)).cast("int")
-    counts = with_range.groupBy("variable", *by, cell.alias("cell")).agg(
-        F.count(F.lit(1)).alias("n")
-    )
-    # totals over the counted table: at most variables x groups x cells rows
-    totals = counts.groupBy("variable", *by).agg(F.sum("n").alias("_all"))
-    return (
-        lookup_join(counts, totals, ["variable", *by], unique=True)
-        .withColumn("proportion", ratio("n", "_all"))
-        .drop("_all")
-    )
+        low, high = F.col(f"_l{i}"), F.col(f"_h{i}")
+        known = df.select(*by, F.col(v).cast("double").alias("_v")).where("_v is not null").crossJoin(F.broadcast(ranges))
+        place = F.coalesce(ratio(F.col("_v") - low, high - low) * cells, F.lit(0.0))
+        cell = F.least(F.greatest(F.ceil(place), F.lit(1)), F.lit(cells)).cast("int").alias("cell")
+        counts.append(known.groupBy(F.lit(v).alias("variable"), *by, cell, no_level).agg(F.count(F.lit(1)).alias("n")))
+    for c in categorical or []:
+        level = F.col(c).cast("string").alias("level")
+        counts.append(df.groupBy(F.lit(c).alias("variable"), *by, no_cell, level).agg(F.count(F.lit(1)).alias("n")))
+    counted = reduce(DataFrame.unionAll, counts)
+    # totals over the counted table: at most variables x groups x cells (or levels) rows
+    totals = counted.groupBy("variable", *by).agg(F.sum("n").alias("_all"))
+    shares = lookup_join(counted, totals, ["variable", *by], unique=True).withColumn("proportion", ratio("n", "_all")).drop("_all")
+    return shares if categorical else shares.drop("level")

@@ -8,8 +8,9 @@ from pyspark.sql.types import DoubleType
 
 from hearthmap.functions.joins import lookup_join
 from hearthmap.functions.nulls import ratio
-from hearthmap.functions.ordered import exact_quantiles
+from hearthmap.functions.ordered import quantiles_of_counts
 from hearthmap.functions.tails import f_upper_tail
+from hearthmap.session import materialise
 
 
 @F.pandas_udf(DoubleType())
@@ -33,7 +34,11 @@ def _moments(df: DataFrame, y: str, g: str) -> DataFrame:
 
 def anova(df: DataFrame, y: str, g: str) -> DataFrame:
     """Classic one-way table in one row: sums of squares, mean squares, F and p."""
-    m = _moments(df, y, g)
+    return anova_of(_moments(df, y, g))
+
+
+def anova_of(m: DataFrame) -> DataFrame:
+    """The same from a table of group moments (n, mean, var)."""
     n, mean = F.col("n"), F.col("mean")
     overall = m.agg(F.sum(n * mean).alias("_s"), F.sum(n).alias("_n"), F.count(F.lit(1)).alias("_k"))
     # `overall` is one row; a group of one has no variance and adds nothing within
@@ -61,15 +66,36 @@ def anova(df: DataFrame, y: str, g: str) -> DataFrame:
 
 def levene(df: DataFrame, y: str, g: str) -> DataFrame:
     """Homogeneity of variance: one-way test on distances from the group median."""
-    known = df.select(y, g).where(F.col(y).isNotNull() & F.col(g).isNotNull())
-    medians = exact_quantiles(known, y, {"_median": 0.5}, [g])
-    distances = lookup_join(known, medians, [g]).withColumn("_z", F.abs(F.col(y) - F.col("_median")))
-    return anova(distances, "_z", g).select("f", "df1", "df2", "p")
+    value = F.col(y).cast("double")
+    known = df.select(F.col(g).alias("_g"), value.alias("_v")).where("_v is not null and _g is not null and not isnan(_v)")
+    return levene_of(known.groupBy("_g", "_v").agg(F.count(F.lit(1)).alias("_n")))
+
+
+def levene_of(counts: DataFrame) -> DataFrame:
+    """The same from counts of values per group (_g, _v, _n): medians and both sums come from them."""
+    return anova_of(distance_moments(materialise(counts), ["_g"])).select("f", "df1", "df2", "p")
+
+
+def distance_moments(counts: DataFrame, by: list[str]) -> DataFrame:
+    """Per group: n, mean and variance of the distances from its median, from counts of values."""
+    medians = quantiles_of_counts(counts, "_v", "_n", {"_median": 0.5}, by)
+    gap = F.abs(F.col("_v") - F.col("_median"))
+    sums = lookup_join(counts, medians, by).groupBy(*by).agg(
+        F.sum("_n").alias("n"),
+        (F.sum(F.col("_n") * gap) / F.sum("_n")).alias("mean"),
+        F.sum(F.col("_n") * gap * gap).alias("_squares"),
+    )
+    return sums.withColumn("var", ratio(F.col("_squares") - F.col("n") * F.col("mean") * F.col("mean"), F.col("n") - 1)).drop("_squares")
 
 
 def welch(df: DataFrame, y: str, g: str) -> DataFrame:
     """One-way test of equal means without assuming equal variances."""
-    m = _moments(df, y, g).withColumn("w", ratio("n", "var"))
+    return welch_of(_moments(df, y, g))
+
+
+def welch_of(moments: DataFrame) -> DataFrame:
+    """The same from a table of group moments (n, mean, var)."""
+    m = moments.withColumn("w", ratio("n", "var"))
     w, mean = F.col("w"), F.col("mean")
     overall = m.agg(
         F.sum(w).alias("_w"), F.sum(w * mean).alias("_wm"), F.count(F.lit(1)).cast("double").alias("_k")

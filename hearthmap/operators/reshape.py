@@ -13,11 +13,18 @@ from hearthmap.constants import (
 )
 from hearthmap.functions.joins import lookup_join
 from hearthmap.functions.nulls import as_col, dash_to_zero, listed, ratio, strict_sum, to_number
+from hearthmap.session import materialise
+
+
+# Most columns that a wide form makes of the labels it finds; a map (:func:`category_map`) has no such bound.
+MOST_COLUMNS = 1_000
 
 
 def distinct_labels(df: DataFrame, column: str) -> list:
-    """Distinct non-null labels of a categorical column; each becomes a column of a result."""
-    rows = df.select(column).where(F.col(column).isNotNull()).distinct().collect()
+    """Distinct non-null labels of a categorical column that become columns of a result."""
+    rows = df.select(column).where(F.col(column).isNotNull()).distinct().limit(MOST_COLUMNS + 1).collect()
+    if len(rows) > MOST_COLUMNS:
+        raise ValueError(f"{column} has more than {MOST_COLUMNS} labels: use category_map, or name the ones wanted")
     return sorted(r[0] for r in rows)
 
 
@@ -74,19 +81,65 @@ def to_wide(
     return checked.groupBy(key).pivot(category, categories).agg(F.first(value))
 
 
+def _category_cells(df: DataFrame, key: str, category: str, count: str) -> DataFrame:
+    """Sum per (key, category); how many rows each is from."""
+    return df.groupBy(key, category).agg(strict_sum(count).alias("_n"), F.count(F.lit(1)).alias("_rows"))
+
+
+def category_map(
+    df: DataFrame, key: str, category: str, count: str, out: str = "counts", null_label: str = "NA"
+) -> DataFrame:
+    """Sum per (key, category) as one map per key, for any number of categories.
+
+    A category that a key lacks is absent; the missing category goes by ``null_label``.
+    """
+    named = df.withColumn(category, F.coalesce(F.col(category).cast("string"), F.lit(null_label)))
+    entry = F.struct(F.col(category).alias("key"), F.col("_n").alias("value"))
+    cells = _category_cells(named, key, category, count)
+    return cells.groupBy(key).agg(F.map_from_entries(F.sort_array(F.collect_list(entry))).alias(out))
+
+
 def wide_counts(
-    df: DataFrame, key: str, category: str, count: str, categories: list[str] | None = None
+    df: DataFrame,
+    key: str,
+    category: str,
+    count: str,
+    categories: list[str] | None = None,
+    null_label: str = "NA",
 ) -> DataFrame:
     """Sum per (key, category), then one column per category, zero-filled.
 
-    A category outside a given list raises.
+    A category outside a given list raises.  Without a list all labels become columns (``MOST_COLUMNS`` at
+    most), the missing one under ``null_label`` if it occurs.
     """
-    given = categories is not None
-    if not given:
-        categories = distinct_labels(df, category)
-    cells = df.groupBy(key, category).agg(strict_sum(count).alias("_n"))
-    if given:
-        cells = cells.withColumn(category, listed(category, categories, category))
+    if categories is None:
+        labels = distinct_labels(df, category)
+        if df.where(F.col(category).isNull()).isEmpty():
+            return _spread(_category_cells(df, key, category, count), key, category, labels)
+        if null_label in map(str, labels):
+            raise ValueError(f"{null_label} is a label of {category}: choose another name for the missing one")
+        named = df.withColumn(category, F.coalesce(F.col(category).cast("string"), F.lit(null_label)))
+        return _spread(_category_cells(named, key, category, count), key, category, [*map(str, labels), null_label])
+    cells = _category_cells(df, key, category, count)
+    return _spread(cells.withColumn(category, listed(category, categories, category)), key, category, categories)
+
+
+def wide_counts_and_rejects(
+    df: DataFrame, key: str, category: str, count: str, categories: list[str]
+) -> tuple[DataFrame, DataFrame]:
+    """As :func:`wide_counts` for the listed categories, and the others (NULL included) with their rows.
+
+    Both come from one pass over the rows, whose sums are written once.
+    """
+    cells = materialise(_category_cells(df, key, category, count))
+    known = F.coalesce(F.col(category).isin(*categories), F.lit(False))
+    rejects = cells.where(~known).groupBy(category).agg(F.sum("_rows").alias("rows"))
+    # a key of which nothing is listed keeps its row
+    kept = cells.withColumn("_n", F.when(known, F.col("_n")))
+    return _spread(kept, key, category, categories), rejects
+
+
+def _spread(cells: DataFrame, key: str, category: str, categories: list) -> DataFrame:
     # a cell that exists keeps its value (NULL included); an absent cell becomes zero
     found = [
         F.max(F.when(F.col(category) == c, F.struct(F.col("_n")))).alias(f"_f{i}")

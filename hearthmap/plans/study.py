@@ -3,14 +3,16 @@
 from __future__ import annotations
 
 from dataclasses import dataclass
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame, functions as F
 
 from hearthmap.constants import OUTLIER_AREAS
+from hearthmap.functions.nulls import not_in_keep_null, ratio
 from hearthmap.operators.balance import balance_table, pair_distance, sample_sizes
 from hearthmap.operators.effects import treated_effect, weighted_model
-from hearthmap.operators.group_tests import anova, levene, welch
-from hearthmap.operators.hotspots import hotspot_groups, lowest_income, without_areas
+from hearthmap.operators.group_tests import anova_of, distance_moments, welch_of
+from hearthmap.operators.hotspots import hotspot_groups
 from hearthmap.operators.matching import (
     complete_cases,
     match_flags,
@@ -35,27 +37,58 @@ COMPARISONS = [
 
 
 def hotspot_tests(areas: DataFrame, outliers: list[str] = OUTLIER_AREAS) -> DataFrame:
-    """Every test of hotspots against elsewhere: one row per subset, test and measure."""
-    groups = materialise(hotspot_groups(materialise(areas)))
+    """Every test of hotspots against elsewhere: one row per subset, test and measure.
+
+    The areas are added up once, per (group, subsets they are in, inhaler rate); all tests come from the
+    moments and counts of that table.
+    """
+    groups = hotspot_groups(materialise(areas))
     subsets = {
-        "all": groups,
-        "no outliers": without_areas(groups, "LSOA21CD", outliers),
-        "low income": lowest_income(groups),
+        "all": F.lit(True),
+        "no outliers": not_in_keep_null("LSOA21CD", outliers),
+        "low income": F.coalesce(F.col("income_dist_median") == 1, F.lit(False)),
     }
-    tests = {"levene": levene, "welch": welch, "anova": anova}
-    results = None
-    for subset, test, measure in COMPARISONS:
-        row = tests[test](subsets[subset], measure, "top_or_not").select(
-            F.lit(subset).alias("subset"),
-            F.lit(test).alias("test"),
-            F.lit(measure).alias("measure"),
-            "f",
-            "df1",
-            "df2",
-            "p",
+    masks = F.array_compact(F.array(*[F.when(test, F.lit(name)) for name, test in subsets.items()]))
+    measures = list(dict.fromkeys(m for *_, m in COMPARISONS))
+    spread = dict.fromkeys(m for _, test, m in COMPARISONS if test == "levene")
+    by_value = [F.col(m).cast("double").alias(f"_v_{m}") for m in spread]
+    cells = materialise(
+        groups.where(F.col("top_or_not").isNotNull())
+        .groupBy(F.col("top_or_not").alias("_g"), masks.alias("_in"), *by_value)
+        .agg(
+            F.count(F.lit(1)).alias("_n"),
+            *[f(F.col(m).cast("double")).alias(f"{k}_{m}") for m in measures for k, f in (("_k", F.count), ("_m", F.avg), ("_q", F.var_pop))],
         )
-        results = row if results is None else results.unionByName(row)
-    return results
+    )
+    placed = cells.withColumn("_subset", F.explode("_in"))
+    results = []
+    for measure in measures:
+        moments = materialise(_combined(placed, measure))
+        of_spread = None
+        if measure in spread:
+            value = F.col(f"_v_{measure}")
+            counts = placed.where(value.isNotNull()).groupBy("_subset", "_g", value.alias("_v")).agg(F.sum("_n").alias("_n"))
+            of_spread = materialise(distance_moments(materialise(counts), ["_subset", "_g"]))
+        for subset, test, tested in COMPARISONS:
+            if tested == measure:
+                table = (of_spread if test == "levene" else moments).where(F.col("_subset") == subset)
+                row = (welch_of if test == "welch" else anova_of)(table)
+                names = [F.lit(v).alias(c) for c, v in (("subset", subset), ("test", test), ("measure", measure))]
+                results.append(row.select(*names, "f", "df1", "df2", "p"))
+    return reduce(DataFrame.unionByName, results)
+
+
+def _combined(placed: DataFrame, measure: str) -> DataFrame:
+    """Moments per subset and group from those of the cells, squares added up around the group mean."""
+    k, m, q = (F.col(f"{c}_{measure}") for c in ("_k", "_m", "_q"))
+    known = placed.where(k > 0).select("_subset", "_g", k.alias("_k"), m.alias("_m"), q.alias("_q"))
+    means = known.groupBy("_subset", "_g").agg(F.sum("_k").alias("n"), (F.sum(F.col("_k") * F.col("_m")) / F.sum("_k")).alias("mean"))
+    away = F.col("_m") - F.col("mean")
+    # a handful of rows: subsets x groups
+    around = known.join(F.broadcast(means), ["_subset", "_g"])
+    return around.groupBy("_subset", "_g", "n", "mean").agg(
+        ratio(F.sum(F.col("_k") * (F.col("_q") + away * away)), F.first("n") - 1).alias("var")
+    )
 
 
 def _complete(columns: list[str]) -> Column:
@@ -103,7 +136,7 @@ def matched_study(
         pairs=pairs,
         before=balance_table(scored, treated, with_score, categorical),
         after=balance_table(flagged, treated, with_score, categorical, matched="matched"),
-        pair_gaps=pair_distance(scored, pairs, id_col, treated, with_score),
+        pair_gaps=pair_distance(scored, pairs, id_col, treated, with_score, categorical),
         sizes=sample_sizes(flagged, treated, "matched"),
         matched=rows,
         model=weighted_model(rows, treated, outcome, numeric, categorical),

@@ -675,6 +675,36 @@ def d9_category_wide(spark, sf):
     )
 
 
+def _many_categories(spark, sf):
+    """Events by user group and kind of event, views without a kind."""
+    kind = F.when(F.col("event_type") != "view", F.concat("event_type", F.lit("-"), F.col("event_id") % 400))
+    return S.table(spark, sf, "events").select((F.col("user_id") % 1000).alias("area_no"), kind.alias("category"), F.lit(1).cast("long").alias("n"))
+
+
+@query
+def d9_category_map(spark, sf):
+    """Any number of categories, the missing one included."""
+    table = reshape.category_map(_many_categories(spark, sf), "area_no", "category", "n")
+    entries = F.transform(F.map_entries("counts"), lambda e: F.concat(e["key"], F.lit("="), e["value"]))
+    return table.select("area_no", F.array_join(entries, ",").alias("counts"), F.size("counts").cast("long").alias("n_categories"))
+
+
+def _two_kinds(spark, sf):
+    events = S.table(spark, sf, "events")
+    return events.select((F.col("user_id") % 1000).alias("area_no"), F.col("event_type").alias("category"), F.lit(1).cast("long").alias("n"))
+
+
+@query
+def a12_null_category(spark, sf):
+    known = F.when(F.col("category").isin("click", "signup"), F.col("category"))
+    return reshape.wide_counts(_two_kinds(spark, sf).withColumn("category", known), "area_no", "category", "n")
+
+
+@query
+def n13_rejected_levels(spark, sf):
+    return reshape.wide_counts_and_rejects(_two_kinds(spark, sf), "area_no", "category", "n", ["click", "signup"])[1]
+
+
 @query
 def d10_age_table(spark, sf):
     england = reshape.england_age_bands(
@@ -778,6 +808,12 @@ def t_hotspot_tests(spark, sf):
     return study.hotspot_tests(S.areas(spark, sf), S.OUTLIERS)
 
 
+@query
+def t_hotspot_report(spark, sf):
+    """The same tests without the tail probabilities, which SQL lacks."""
+    return rounded(study.hotspot_tests(S.areas(spark, sf), S.OUTLIERS).drop("p"), "f", "df1", "df2", digits=6)
+
+
 BOX = ["q1", "median", "q3", "lower_whisker", "upper_whisker"]
 
 
@@ -912,6 +948,16 @@ def t8_pair_distance(spark, sf):
     return rounded(B.pair_distance(rows, _given_pairs(rows), "id", "t", NUMERIC), "pair_dist", digits=6)
 
 
+@query
+def t8_report(spark, sf):
+    """Score, covariates and levels with the distance within pairs."""
+    rows = materialise(_given_score(spark, sf))
+    pairs = materialise(_given_pairs(rows))
+    flagged = matching.match_flags(rows, pairs, "id")
+    table = B.balance_report(flagged, pairs, "id", "t", ["distance", *NUMERIC], CATEGORICAL)
+    return rounded(table, *[c for c in table.columns if c != "variable"], digits=6)
+
+
 @query
 def t8_sample_sizes(spark, sf):
     rows = _study_rows(spark, sf)
@@ -973,6 +1019,15 @@ def t11_matched_study(spark, sf):
     return result.effect
 
 
+@query
+def t12_distribution_levels(spark, sf):
+    """With the score and the levels of the categorical covariate."""
+    rows = materialise(_given_score(spark, sf))
+    flagged = matching.match_flags(rows, _given_pairs(rows), "id")
+    table = bins.binned_distribution(flagged, ["distance", *NUMERIC], 20, ["t", "matched"], CATEGORICAL)
+    return rounded(table, "proportion", digits=6)
+
+
 @query
 def t12_distribution(spark, sf):
     rows = _study_rows(spark, sf)

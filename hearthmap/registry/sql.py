@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from hearthmap.constants import HOTSPOT_LEVELS
+from hearthmap.plans.study import COMPARISONS
 from hearthmap.standins import CLASSES, LABELS, OCCUPANCY, OUTLIERS
 
 MEASURES = ["items", "quantity", "cost"]
@@ -354,6 +355,35 @@ def _welch(y: str, g: str) -> str:
     )
 
 
+def _welch_of(source: str) -> str:
+    """Body of a one-row table (f, df1, df2) from ``source`` with columns y and g."""
+    groups = f"SELECT g, count(*) AS n, avg(y) AS m, var_samp(y) AS v FROM ({source}) GROUP BY g"
+    return f"""SELECT b / ((k - 1) * (1 + 2 * (k - 2) * h)) AS f, k - 1.0::DOUBLE AS df1, 1 / (3 * h) AS df2 FROM (
+      SELECT k, b, s / (k * k - 1.0::DOUBLE) AS h FROM (
+        SELECT any_value(k) AS k, sum(n / v * (m - wm / ws) * (m - wm / ws)) AS b, sum((1 - n / v / ws) * (1 - n / v / ws) / (n - 1)) AS s
+        FROM ({groups}) CROSS JOIN (SELECT sum(n / v) AS ws, sum(n / v * m) AS wm, count(*) AS k FROM ({groups}))))"""
+
+
+def _hotspot_report() -> str:
+    """All tests of hotspots against elsewhere: subset, test, measure, f, df1, df2."""
+    subsets = {
+        "all": "true",
+        "no outliers": f"coalesce(LSOA21CD NOT IN {tuple(OUTLIERS)}, true)",
+        "low income": "income_dist_median = 1",
+    }
+    parts = []
+    for subset, test, y in COMPARISONS:
+        source = f"SELECT top_or_not AS g, {y} AS y FROM groups WHERE {subsets[subset]} AND {y} IS NOT NULL AND top_or_not IS NOT NULL"
+        if test == "levene":
+            middle = f"SELECT g AS h, quantile_cont(y, 0.5) AS m FROM ({source}) GROUP BY 1"
+            source = f"SELECT g, abs(y - m) AS y FROM ({source}) JOIN ({middle}) ON g = h"
+        body = _welch_of(source) if test == "welch" else _anova(source)
+        parts.append(
+            f"SELECT '{subset}' AS subset, '{test}' AS test, '{y}' AS measure, round(f, 6) AS f, round(df1, 6) AS df1, round(df2, 6) AS df2 FROM ({body})"
+        )
+    return sql(" UNION ALL ".join(parts), "groups")
+
+
 def _hinges(value: str, by: str, view: str) -> str:
     return (
         f"SELECT {by}, quantile_cont({value}, 0.25) AS q1, quantile_cont({value}, 0.5) AS median, "
@@ -403,10 +433,11 @@ def _histogram(source: str, *needs: str) -> str:
 SEGMENTS = ["AUTOMOBILE", "BUILDING", "FURNITURE", "HOUSEHOLD", "MACHINERY"]
 
 
-def _balance(view: str, used: str) -> str:
-    """Balance of income, orders and settlement levels; ``used`` picks the compared rows."""
+def _balance(view: str, used: str, score: str = "") -> str:
+    """Balance of income, orders and settlement levels; ``used`` picks the compared rows, ``score`` adds one."""
     long = (
-        f"SELECT t, {used} AS used, 'income' AS variable, income AS v, false AS level FROM {view} UNION ALL "
+        (f"SELECT t, {used} AS used, 'distance' AS variable, {score} AS v, false AS level FROM {view} UNION ALL " if score else "")
+        + f"SELECT t, {used} AS used, 'income' AS variable, income AS v, false AS level FROM {view} UNION ALL "
         f"SELECT t, {used}, 'orders', orders, false FROM {view} UNION ALL "
         + " UNION ALL ".join(
             f"SELECT t, {used}, 'settlement_{s}', CAST(settlement = '{s}' AS INT)::DOUBLE, true FROM {view}"
@@ -435,6 +466,10 @@ def _balance(view: str, used: str) -> str:
     )
 
 
+_GIVEN_SCORE = "(least(orders, 64) / 64 + round(income, 0) / 16384)"
+# the end of the views that a balance body follows
+_AFTER_VIEWS = "LEFT JOIN members USING (id)) "
+
 # Income and orders within the levels of settlement, per arm of the matched rows: slopes b1, b2 and intercepts a.
 _FULL_MODEL = """cells AS (SELECT t, settlement, count(*) AS n, avg(income) AS m1, avg(orders) AS m2, avg(y) AS my
     FROM flagged WHERE matched = 1 GROUP BY 1, 2),
@@ -650,6 +685,12 @@ ORACLE: dict[str, str] = {
     "d9_category_wide": "SELECT user_id AS area, "
     + ", ".join(f"count(*) FILTER (event_type = '{e}') AS {e}" for e in ["click", "error", "purchase", "signup", "view"])
     + " FROM events GROUP BY 1",
+    "d9_category_map": """SELECT user_id % 1000 AS area_no, string_agg(category || '=' || n, ',' ORDER BY category) AS counts, count(*) AS n_categories FROM (
+        SELECT user_id % 1000 AS user_id, coalesce(CASE WHEN event_type <> 'view' THEN event_type || '-' || (event_id % 400) END, 'NA') AS category, count(*) AS n
+        FROM events GROUP BY 1, 2) GROUP BY 1""",
+    "a12_null_category": """SELECT user_id % 1000 AS area_no, count(*) FILTER (event_type = 'click') AS click, count(*) FILTER (event_type = 'signup') AS signup,
+        count(*) FILTER (event_type NOT IN ('click', 'signup')) AS "NA" FROM events GROUP BY 1""",
+    "n13_rejected_levels": """SELECT event_type AS category, count(*) AS rows FROM events WHERE event_type NOT IN ('click', 'signup') GROUP BY 1""",
     "d10_age_table": sql(
         f"""SELECT area_code, "<=17", "18-64", "65+", "Total", round("<=17" / nullif("Total", 0), 6) AS young_perc,
           round("18-64" / nullif("Total", 0), 6) AS wa_perc, round("65+" / nullif("Total", 0), 6) AS senior_perc
@@ -705,6 +746,7 @@ ORACLE: dict[str, str] = {
         + ")",
         "groups",
     ),
+    "t_hotspot_report": _hotspot_report(),
     "t4_boxstats": _box("LSOA_incmedian", ["classification"], "areas", 4),
     "t4_boxstats_two_keys": _box("inhaler_prv", ["income_dist_median", "top_or_not"], "groups", 6),
     "t4_outliers": sql(
@@ -749,6 +791,23 @@ ORACLE: dict[str, str] = {
         + ")",
         "pairs",
     ),
+    "t8_report": sql(
+        f"""SELECT b.*, round(pair_dist, 6) AS pair_dist FROM ({_balance("flagged", "(matched = 1)", _GIVEN_SCORE).partition(_AFTER_VIEWS)[2]}) b JOIN ("""
+        + " UNION ALL ".join(
+            f"SELECT '{name}' AS variable, (SELECT avg(abs(a.v - b.v)) FROM pairs JOIN (SELECT id, {x} AS v FROM study) a ON treated_id = a.id "
+            f"JOIN (SELECT id, {x} AS v FROM study) b ON control_id = b.id) / (SELECT stddev_samp({x}) FROM study WHERE t = 1) AS pair_dist"
+            for name, x in (("distance", _GIVEN_SCORE), ("income", "income"), ("orders", "orders"))
+        )
+        + " UNION ALL "
+        + " UNION ALL ".join(
+            f"SELECT 'settlement_{x}', (SELECT avg(CAST((a.settlement = '{x}') <> (b.settlement = '{x}') AS INT)) FROM pairs JOIN study a ON treated_id = a.id "
+            f"JOIN study b ON control_id = b.id) / (SELECT sqrt(avg(CAST(settlement = '{x}' AS INT)) * (1 - avg(CAST(settlement = '{x}' AS INT)))) FROM study WHERE t = 1)"
+            for x in SEGMENTS
+        )
+        + ") g USING (variable)",
+        "flagged",
+        "pairs",
+    ),
     "t8_sample_sizes": sql(
         " UNION ALL ".join(
             f"SELECT '{name}' AS sample, count(*) FILTER (t = 0 AND {test}) AS control, count(*) FILTER (t = 1 AND {test}) AS treated FROM flagged"
@@ -809,6 +868,17 @@ ORACLE: dict[str, str] = {
             (SELECT count(*) AS nn, count(DISTINCT subclass) AS gg FROM flagged WHERE matched = 1))""",
         "flagged",
     ),
+    "t12_distribution_levels": sql(
+        " UNION ALL ".join(
+            f"""SELECT variable, t, matched, CAST(cell AS INT) AS cell, CAST(NULL AS VARCHAR) AS level, n, round(n / CAST(sum(n) OVER (PARTITION BY t, matched) AS DOUBLE), 6) AS proportion
+            FROM (SELECT '{name}' AS variable, t, matched, least(greatest(ceil((({v} - lo) / nullif(hi - lo, 0)) * 20), 1), 20) AS cell, count(*) AS n
+                  FROM flagged, (SELECT min({v}) AS lo, max({v}) AS hi FROM flagged) GROUP BY 1, 2, 3, 4)"""
+            for name, v in (("distance", _GIVEN_SCORE), ("income", "income"), ("orders", "orders"))
+        )
+        + """ UNION ALL SELECT 'settlement', t, matched, NULL, settlement, count(*), round(count(*) / CAST(sum(count(*)) OVER (PARTITION BY t, matched) AS DOUBLE), 6)
+          FROM flagged GROUP BY t, matched, settlement""",
+        "flagged",
+    ),
     "t12_distribution": sql(
         " UNION ALL ".join(
             f"""SELECT variable, t, matched, CAST(cell AS INT) AS cell, n, round(n / CAST(sum(n) OVER (PARTITION BY t, matched) AS DOUBLE), 6) AS proportion
