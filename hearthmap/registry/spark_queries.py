@@ -39,7 +39,7 @@ from hearthmap.operators import apportion as A
 from hearthmap.operators import balance as B
 from hearthmap.operators import bins, classes, context, effects, group_tests, hotspots, matching
 from hearthmap.operators import reshape, stacking
-from hearthmap.plans import study
+from hearthmap.plans import nations, study
 from hearthmap.session import materialise, materialise_all, new_shared_path
 from hearthmap.sources import scans, sheets, sinks
 
@@ -160,6 +160,31 @@ def s2_monthly_filter(spark, sf):
     )
 
 
+def _landed_after_preamble(spark, sf):
+    """Suppliers as CSV files with three lines of preamble, one file per last digit of the key."""
+    supplier = S.table(spark, sf, "supplier")
+    kept = F.concat_ws(",", "s_suppkey", "s_nationkey", F.concat(F.lit('"'), "s_name", F.lit(', listed"')))
+    lines = supplier.select((F.col("s_suppkey") % 4).alias("file"), F.col("s_suppkey").alias("place"), kept.alias("value"))
+    head = ["Suppliers", "", "as listed, by key", "key,nation,name"]
+    tops = F.inline(F.array(*[F.struct(F.lit(i - len(head)).cast("long").alias("place"), F.lit(t).alias("value")) for i, t in enumerate(head)]))
+    preamble = lines.select("file").distinct().select("file", tops)
+    path = new_shared_path(spark, "preamble")
+    # one sorted file per group of suppliers
+    ordered = lines.unionByName(preamble).repartition("file").sortWithinPartitions("file", "place")
+    ordered.drop("place").write.partitionBy("file").text(path)
+    return path
+
+
+@query
+def s4_after_preamble(spark, sf):
+    return scans.scan_csv_after_preamble(spark, _landed_after_preamble(spark, sf), 3, "key long, nation int, name string")
+
+
+@query
+def s4_inferred_names(spark, sf):
+    return scans.scan_csv_after_preamble(spark, _landed_after_preamble(spark, sf), 3)
+
+
 def _landed_sheet(spark, sf):
     path = new_shared_path(spark, "sheet")
     S.raw_sheet(spark, sf).write.parquet(path)
@@ -770,6 +795,56 @@ def d13_group_rates(spark, sf):
     return rounded(rates, *RATES, digits=6)
 
 
+# ---------------------------------------------------------------- national studies
+
+
+def _through_csv(spark, df):
+    """Written as CSV with a header, read again with the types it had."""
+    path = new_shared_path(spark, "national")
+    sinks.write_csv(df, path)
+    fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in df.schema.fields)
+    return scans.scan_csv(spark, path, fields)
+
+
+@query
+def nation_england(spark, sf):
+    rx = S.rx(spark, sf).withColumnsRenamed(
+        {"code": "bnf_code", "practice": "row_id", "practice_name": "row_name", "cost": "actual_cost"}
+    )
+    registrations = S.registrations(spark, sf).withColumnsRenamed(
+        {"practice": "PRACTICE_CODE", "area": "LSOA_CODE", "patients": "NUMBER_OF_PATIENTS"}
+    )
+    volumes = nations.england_volumes(rx, materialise(registrations), S.CLASSES)
+    return _through_csv(spark, rounded(volumes, *A.MEASURES))
+
+
+@query
+def nation_scotland(spark, sf):
+    rx = S.rx(spark, sf).withColumnsRenamed(
+        {"code": "BNFItemCode", "practice": "GPPractice", "items": "NumberOfPaidItems", "quantity": "PaidQuantity", "cost": "GrossIngredientCost"}
+    )
+    zones = S.zones(spark, sf).withColumnsRenamed({"zone": "DataZone", "locality": "SubHSCPName", "parent": "HSCP"})
+    population = S.zone_population(spark, sf).withColumnsRenamed({"zone_code": "Data_zone_code", "population": "Total_population"})
+    listed = S.practice_list(spark, sf).withColumnsRenamed({"practice": "PracticeCode", "zone": "DataZone", "practice_parent": "HSCP"})
+    spread = nations.scotland_volumes(rx, zones, population, listed, S.CLASSES)
+    measures = [*A.MEASURES, *[f"{m}_per_zone" for m in A.MEASURES]]
+    kept = spread.select("class_key", "DataZone", "SubHSCPName", "item", *measures)
+    return _through_csv(spark, rounded_off_halves(kept, *measures))
+
+
+@query
+def nation_wales(spark, sf):
+    rx = S.locality_rx(spark, sf).withColumnsRenamed(
+        {"code": "BNFCode", "locality_code": "Locality", "items": "Items", "cost": "ActCost", "quantity": "Quantity"}
+    )
+    registered = S.registered_by_area(spark, sf).withColumnRenamed("area_name", "LSOA_name")
+    codes = S.locality_codes(spark, sf).withColumnsRenamed({"locality_name": "Locality", "code": "Code"})
+    spread = nations.wales_volumes(rx, registered, codes, S.CLASSES)
+    measures = [*A.MEASURES, *[f"{m}_per_area" for m in A.MEASURES]]
+    kept = spread.select("LSOA_name", "Locality", "Code", "item", *measures)
+    return _through_csv(spark, rounded_off_halves(kept, *measures))
+
+
 # ---------------------------------------------------------------- statistics
 
 

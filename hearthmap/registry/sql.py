@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from hearthmap.constants import HOTSPOT_LEVELS
+from hearthmap.constants import HOTSPOT_LEVELS, NATION_LABELS
 from hearthmap.plans.study import COMPARISONS
 from hearthmap.standins import CLASSES, LABELS, OCCUPANCY, OUTLIERS
 
@@ -272,6 +272,11 @@ def _apportioned(
     )
 
 
+def _relabelled(column: str, nation: str) -> str:
+    names = " ".join(f"WHEN '{a}' THEN '{b}'" for a, b in NATION_LABELS[nation].items())
+    return f"CASE {column} {names} END"
+
+
 def _two_step(faithful: bool) -> str:
     per_zone = ", ".join(
         f"round({m} + {NUDGE}, 4) AS {m}, round({m} * locality_share + {NUDGE}, 4) AS {m}_per_zone"
@@ -500,6 +505,8 @@ ORACLE: dict[str, str] = {
         + " GROUP BY 1, 2",
         "rx",
     ),
+    "s4_after_preamble": "SELECT s_suppkey AS key, s_nationkey AS nation, s_name || ', listed' AS name FROM supplier",
+    "s4_inferred_names": "SELECT CAST(s_suppkey AS VARCHAR) AS key, CAST(s_nationkey AS VARCHAR) AS nation, s_name || ', listed' AS name FROM supplier",
     "s5_landed_sheet": """SELECT s_suppkey + 4 AS _row, CAST(s_suppkey AS VARCHAR) AS c1, s_name AS c2,
         CAST(s_nationkey AS VARCHAR) AS c3, CAST(s_acctbal AS VARCHAR) AS c4 FROM supplier
         UNION ALL SELECT * FROM (VALUES (1, 'Suppliers', NULL, NULL, NULL), (2, 'All regions', NULL, NULL, NULL),
@@ -666,6 +673,26 @@ ORACLE: dict[str, str] = {
         "areas_shared",
         "locality_rx",
     ),
+    "nation_england": sql(
+        f"""SELECT area AS LSOA_CODE, CASE drug_type WHEN 'pain' THEN 'pain_medications' ELSE drug_type END AS drug_type, {", ".join(MEASURES)}
+        FROM ({_apportioned(LABELS[:3])} UNION ALL {_apportioned(LABELS[3:], after=True)})""",
+        "shares",
+        "totals",
+    ),
+    "nation_scotland": _two_step(True)
+    .replace("SELECT coalesce(z.class_key, p.class_key) AS class_key, zone,", f"SELECT {_relabelled('coalesce(z.class_key, p.class_key)', 'scotland')} AS class_key, zone AS \"DataZone\",")
+    .replace("coalesce(z.locality, p.locality) AS locality, item,", f"coalesce(z.locality, p.locality) AS \"SubHSCPName\", {_relabelled('item', 'scotland')} AS item,"),
+    "nation_wales": sql(
+        f"""SELECT area_name AS "LSOA_name", locality_name AS "Locality", tt.locality_code AS "Code", {_relabelled("drug_type", "wales")} AS item,
+          {", ".join(f"round({m} + {NUDGE}, 4) AS {m}" for m in MEASURES)},
+          {", ".join(f"round({m} * (patients / nullif(locality_population, 0)) + {NUDGE}, 4) AS {m}_per_area" for m in MEASURES)}
+        FROM (SELECT *, sum(patients) OVER (PARTITION BY locality_name) AS locality_population,
+              'C' || n_nationkey AS code FROM areas_shared LEFT JOIN nation ON locality_name = n_name) s
+        RIGHT JOIN (SELECT drug_type, locality_code, {_SUMS} FROM ({_TAGGED.replace("{}", "locality_rx")}) GROUP BY 1, 2) tt
+        ON s.code = tt.locality_code""",
+        "areas_shared",
+        "locality_rx",
+    ),
     "d6_stack": sql(_apportioned(LABELS), "shares", "totals"),
     "d7_prevalence": sql(
         """SELECT area, round(c, 4) AS cases, round(p, 4) AS people, round(c / nullif(p, 0), 4) AS prevalence FROM (

@@ -4,9 +4,10 @@ from __future__ import annotations
 
 from datetime import date
 
-from pyspark.sql import Column, DataFrame, SparkSession, functions as F
+from pyspark.sql import Column, DataFrame, SparkSession, Window, functions as F
 
 from hearthmap.constants import STUDY_MONTHS, STUDY_START
+from hearthmap.functions.joins import lookup_join
 
 
 def study_months(start: tuple[int, int] = STUDY_START, count: int = STUDY_MONTHS) -> list[date]:
@@ -62,28 +63,37 @@ def scan_months(
 
 
 def scan_csv_after_preamble(
-    spark: SparkSession, path: str, skip: int, schema: str | None = None
+    spark: SparkSession, path: str | list[str], skip: int, schema: str | None = None
 ) -> DataFrame:
-    """One CSV file whose header follows ``skip`` preamble lines.
+    """CSV files whose header each follows ``skip`` preamble lines; any number of files and splits.
 
-    Line numbers come from the scan: ids are consecutive inside the split that starts the file, so
-    only that split is numbered and the file may be of any size.  Without a schema all columns are
-    text named by the header line.  Records must not span lines.
+    Line numbers come from the scan: ids are consecutive inside a split, and the counts of a file's splits in
+    order say which line a split begins with.  Without a schema all columns are text named by the first
+    file's header line.  Records must not span lines.
     """
-    lines = spark.read.text(path).select(
+    lines = spark.read.option("recursiveFileLookup", "true").text(path).select(
         "value",
-        (F.col("_metadata.file_block_start") == 0).alias("_first"),
+        F.col("_metadata.file_path").alias("_file"),
+        F.col("_metadata.file_block_start").alias("_start"),
         F.monotonically_increasing_id().alias("_id"),
     )
-    start = lines.where("_first").agg(F.min("_id")).first()[0]
-    line = F.col("_id") - F.lit(start)
-    header = lines.where(F.col("_first") & (line == skip)).first()["value"]
-    names = spark.createDataFrame([(header,)], "value string").select(
-        F.from_csv("value", F.lit(_text_fields(header.count(",") + 1))).alias("r")
+    counts = lines.groupBy("_file", "_start").agg(F.min("_id").alias("_first"), F.count(F.lit(1)).alias("_n"))
+    earlier = Window.partitionBy("_file").orderBy("_start").rowsBetween(Window.unboundedPreceding, -1)
+    begun = counts.withColumn("_before", F.coalesce(F.sum("_n").over(earlier), F.lit(0)))
+    # one row per file or so: just the splits that hold lines of a preamble or a header
+    heads = begun.where(F.col("_before") <= skip).drop("_n")
+    numbered = lookup_join(lines, heads, ["_file", "_start"]).withColumn(
+        "_line", F.col("_before") + F.col("_id") - F.col("_first")
     )
-    columns = [c for c in names.select("r.*").first() if c is not None]
-    fields = schema or ", ".join(f"`{c}` string" for c in columns)
-    data = lines.where(~(F.col("_first") & (line <= skip)) & (F.length("value") > 0))
+    fields = schema
+    if fields is None:
+        header = numbered.where(F.col("_line") == skip).orderBy("_file").first()["value"]
+        names = spark.createDataFrame([(header,)], "value string").select(
+            F.from_csv("value", F.lit(_text_fields(header.count(",") + 1))).alias("r")
+        )
+        fields = ", ".join(f"`{c}` string" for c in names.select("r.*").first() if c is not None)
+    body = F.col("_line").isNull() | (F.col("_line") > skip)
+    data = numbered.where(body & (F.length("value") > 0))
     return data.select(F.from_csv("value", F.lit(fields)).alias("r")).select("r.*")
 
 

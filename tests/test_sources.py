@@ -56,6 +56,22 @@ def test_preamble_is_skipped_in_a_split_file(frame, tmp_path):
     assert typed.agg(F.sum("people")).first()[0] == sum(range(500))
 
 
+def test_preambles_of_many_files_over_several_splits(frame, tmp_path):
+    """The preamble itself may span splits; each file is numbered on its own."""
+    spark = frame([(1,)], "x int").sparkSession
+    for f in range(3):
+        lines = [f"note {f} {'x' * 300}"] * 6 + ["a,b"] + [f"{f}-{i},{i}" for i in range(80 * f)]
+        (tmp_path / f"f{f}.csv").write_text("\n".join(lines) + "\n")
+    size = spark.conf.get("spark.sql.files.maxPartitionBytes")
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "700")
+    try:
+        out = scans.scan_csv_after_preamble(spark, str(tmp_path), 6)
+        assert out.columns == ["a", "b"]
+        assert table(out, "a", "b") == sorted((f"{f}-{i}", str(i)) for f in range(3) for i in range(80 * f))
+    finally:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", size)
+
+
 def test_sheet_cleaning(frame):
     sheet = frame([(1, "t", None), (2, "t", None), (3, "name", "n"), (4, "a", "1"), (5, "b", "2"), (6, "end", None)], "_row int, c1 string, c2 string")
     body = sheets.promote_header(sheets.trim_rows(sheet, (1, 2), (6, 6)), 3)
