@@ -200,7 +200,8 @@ def train(labelled: DataFrame) -> Model:
     return fit(found, labels)
 
 
-def _predict(batch: pa.RecordBatch, column: str, model: Model) -> tuple[list[str], np.ndarray]:
+def _predict(batch: pa.RecordBatch, column: str, model: Model) -> tuple[list[str], np.ndarray, np.ndarray]:
+    """Label, score and certainty of each text."""
     data, bounds = raw(batch.column(column))
     data = lower_ascii(data)
     words = find_words(data, bounds)
@@ -218,20 +219,32 @@ def _predict(batch: pa.RecordBatch, column: str, model: Model) -> tuple[list[str
     texts = batch.column(column).to_pylist()
     known = np.array([v > 0 and bool(_LETTER.search(t or "")) for v, t in zip(voters, texts)], bool)
     labels = [model.labels[b] if ok else UNKNOWN for b, ok in zip(best, known)]
-    return labels, np.where(known, score, 0.0)
-
-
-def identify(df: DataFrame, model: Model, text: str = "text", lang: str = "lang_pred", score: str = "score") -> DataFrame:
+    sure = np.bincount(words.owner, posterior.max(1, initial=0.0), len(counts)) / np.maximum(voters, 1)
+    return labels, np.where(known, score, 0.0), np.where(known, sure, 0.0)
+
+
+def identify(
+    df: DataFrame,
+    model: Model,
+    text: str = "text",
+    lang: str = "lang_pred",
+    score: str = "score",
+    certainty: str | None = None,
+) -> DataFrame:
     """Adds the predicted language of each whole text and its score.
 
+    ``certainty`` adds how well the labels explain the words: the mean over the words of the posterior of each
+    word's best label.  A text in several languages has a low score and a high certainty.
     The model's size is fixed by ``BUCKETS`` and the number of languages, not by the data.
     """
     from pyspark.sql.types import StructType
 
-    clash = {lang, score} & set(df.columns)
+    clash = {lang, score, certainty} & set(df.columns)
     if clash:
         raise ValueError(f"the input has columns {sorted(clash)} already")
     schema = StructType([f for f in df.schema.fields]).add(lang, "string").add(score, "double")
+    if certainty is not None:
+        schema = schema.add(certainty, "double")
     small_batches(df.sparkSession)
     shipped = df.sparkSession.sparkContext.broadcast(model)
 
@@ -240,11 +253,11 @@ def identify(df: DataFrame, model: Model, text: str = "text", lang: str = "lang_
         for whole in batches:
             for batch in steps(whole, text):
                 if fitted.labels:
-                    labels, scores = _predict(batch, text, fitted)
+                    labels, *scores = _predict(batch, text, fitted)
                 else:
-                    labels, scores = [UNKNOWN] * batch.num_rows, np.zeros(batch.num_rows)
-                columns = [*batch.columns, pa.array(labels, pa.string()), pa.array(scores)]
-                yield pa.RecordBatch.from_arrays(columns, [*batch.schema.names, lang, score])
+                    labels, scores = [UNKNOWN] * batch.num_rows, [np.zeros(batch.num_rows)] * 2
+                columns = [*batch.columns, pa.array(labels, pa.string()), *[pa.array(s) for s in scores]]
+                yield pa.RecordBatch.from_arrays(columns[: len(schema)], schema.names)
 
     return df.mapInArrow(run, schema)
 
