@@ -61,7 +61,7 @@ def hotspot_tests(areas: DataFrame, outliers: list[str] = OUTLIER_AREAS) -> Data
         )
     )
     placed = cells.withColumn("_subset", F.explode("_in"))
-    results = []
+    results = {}
     for measure in measures:
         moments = materialise(_combined(placed, measure))
         of_spread = None
@@ -74,8 +74,8 @@ def hotspot_tests(areas: DataFrame, outliers: list[str] = OUTLIER_AREAS) -> Data
                 table = (of_spread if test == "levene" else moments).where(F.col("_subset") == subset)
                 row = (welch_of if test == "welch" else anova_of)(table)
                 names = [F.lit(v).alias(c) for c, v in (("subset", subset), ("test", test), ("measure", measure))]
-                results.append(row.select(*names, "f", "df1", "df2", "p"))
-    return reduce(DataFrame.unionByName, results)
+                results[subset, test, measure] = row.select(*names, "f", "df1", "df2", "p")
+    return reduce(DataFrame.unionByName, [results[c] for c in COMPARISONS])
 
 
 def _combined(placed: DataFrame, measure: str) -> DataFrame:

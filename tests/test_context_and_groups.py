@@ -209,3 +209,38 @@ def test_footer_of_another_edition(frame):
     sheet = frame(rows, "_row int, " + ", ".join(f"c{i} string" for i in range(33)))
     out = context.clean_smoking_sheet(sheet, (1, 1), 2, (4, 4))
     assert [tuple(r) for r in out.collect()] == [("0", "1", "2", "3", "8", "31")]
+
+
+def test_many_categories_and_the_missing_one(frame):
+    rows = [("a", "x", 1), ("a", None, 5), ("a", "x", 2), ("b", "y", None), ("b", "y", 3), ("c", None, 4)]
+    df = frame(rows, "k string, c string, n int")
+    wide = reshape.wide_counts(df, "k", "c", "n")
+    assert wide.columns == ["k", "x", "y", "NA"]
+    assert table(wide, "k", "x", "y", "NA") == [("a", 3, 0, 5), ("b", 0, None, 0), ("c", 0, 0, 4)]
+    maps = {r["k"]: r["counts"] for r in reshape.category_map(df, "k", "c", "n").collect()}
+    assert maps == {"a": {"x": 3, "NA": 5}, "b": {"y": None}, "c": {"NA": 4}}
+    known, rejects = reshape.wide_counts_and_rejects(df, "k", "c", "n", ["x"])
+    assert table(known, "k", "x") == [("a", 3), ("b", 0), ("c", 0)]
+    assert table(rejects, "c", "rows") == [(None, 2), ("y", 2)]
+    with pytest.raises(ValueError):
+        reshape.wide_counts(frame([("a", "NA", 1), ("a", None, 1)], "k string, c string, n int"), "k", "c", "n")
+
+
+def test_labels_beyond_the_bound_raise(frame, monkeypatch):
+    monkeypatch.setattr(reshape, "MOST_COLUMNS", 3)
+    df = frame([("a", str(i), 1) for i in range(4)], "k string, c string, n int")
+    with pytest.raises(ValueError):
+        reshape.wide_counts(df, "k", "c", "n")
+    assert len(reshape.category_map(df, "k", "c", "n").first()["counts"]) == 4
+
+
+def test_pair_distance_of_levels(frame):
+    from hearthmap.operators.balance import pair_distance
+
+    rows = [(1, 1, "a", 2.0), (2, 1, "b", 4.0), (3, 1, "a", 9.0), (4, 0, "b", 1.0), (5, 0, "b", 4.0), (6, 0, None, 7.0), (7, 0, "c", 1.0)]
+    df = frame(rows, "id long, t int, g string, x double")
+    pairs = frame([(1, 4), (2, 5), (3, 6)], "treated_id long, control_id long")
+    got = {r["variable"]: r["pair_dist"] for r in pair_distance(df, pairs, "id", "t", ["x"], ["g"]).collect()}
+    spread = (2 / 3 * 1 / 3) ** 0.5
+    assert got["g_a"] == pytest.approx(2 / 3 / spread) and got["g_b"] == pytest.approx(1 / 3 / spread) and got["g_c"] is None
+    assert got["x"] == pytest.approx((1 + 0 + 2) / 3 / 13**0.5)
