@@ -229,7 +229,8 @@ def near_duplicates(documents: DataFrame, percent: int = PERCENT) -> DataFrame:
     across = _across(stars, left, roots, percent, compare, scratch)
     more = _linked(compare(across, LEAST_LINKED), percent)
     if not more.isEmpty():
-        roots = components(links.unionAll(more), scratch)
+        roots = scratch.write(components(links.unionAll(more), scratch))
+    scratch.keep(signatures, roots)
     known = signatures.select("doc_id", "n_shingles")
     rooted = known.join(roots.withColumnRenamed("node", "doc_id"), "doc_id", "left")
     return rooted.select(

@@ -45,3 +45,13 @@ class Scratch:
         for table in tables:
             path = jvm.org.apache.hadoop.fs.Path(self._paths.pop(id(table)))
             path.getFileSystem(conf).delete(path, True)
+
+    def keep(self, *tables: DataFrame) -> None:
+        """Delete every table written so far but these, which the caller still holds."""
+        kept = {id(t) for t in tables}
+        paths = [p for key, p in self._paths.items() if key not in kept]
+        self._paths = {key: p for key, p in self._paths.items() if key in kept}
+        jvm = self.spark.sparkContext._jvm
+        conf = self.spark.sparkContext._jsc.hadoopConfiguration()
+        for path in map(jvm.org.apache.hadoop.fs.Path, paths):
+            path.getFileSystem(conf).delete(path, True)
