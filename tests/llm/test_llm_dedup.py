@@ -2,6 +2,7 @@ import itertools
 import random
 
 import numpy as np
+import pyarrow as pa
 import pytest
 
 from hearthmap.llm import near, substrings
@@ -239,6 +240,44 @@ def test_short_passages_at_the_threshold_are_found(spark):
     assert {(d, f) for d, f, _, _ in spans_of(spark, rows)} == {(2 * k + 1, 2 * k) for k in range(300)}
 
 
+def test_documents_that_share_one_line_are_not_paired_out(spark, monkeypatch):
+    fresh = itertools.count()
+    words = lambda n: [f"u{next(fresh)}" for _ in range(n)]
+    line, size, compared = words(28), 400, []
+    rows = [(k, " ".join(words(60) + line + words(60))) for k in range(size)]
+    inner = substrings._compared
+
+    def counted(pairs, *rest):
+        compared.append(pairs.count())
+        return inner(pairs, *rest)
+
+    monkeypatch.setattr(substrings, "_compared", counted)
+    assert spans_of(spark, rows) == []
+    assert sum(compared) <= 3 * size
+
+
+def test_near_passages_against_brute_force(spark):
+    docs = spark.read.parquet(f"{SF}/documents.parquet").select("doc_id", "text")
+    rows = sorted(tuple(r) for r in docs.collect())
+    covered = {}
+    for d, _, a, b in spans_of(spark, rows):
+        covered.setdefault(d, set()).update(range(a, b))
+    sequence, first, _ = substrings._shingles(pa.array([t for _, t in rows], pa.string()))
+    texts = [sequence[a:b] for a, b in zip(first, first[1:])]
+    wanted = hit = 0
+    for i, (doc, _) in enumerate(rows):
+        starts = np.arange(max(0, len(texts[i]) - substrings.WIDTH + 1))
+        near_any = set()
+        for j in range(i):
+            common = np.isin(texts[i], texts[j])
+            if common.sum() >= 30:
+                near_any.update(substrings._near_starts(texts[i], texts[j], common, starts).tolist())
+        wanted += len(near_any)
+        # a passage is cut when the words between its first and last common shingle are
+        hit += sum(len(covered.get(doc, set()) & set(range(s, s + 50))) >= 38 for s in near_any)
+    assert wanted > 0 and hit >= 0.99 * wanted, (hit, wanted)
+
+
 def test_passages_are_cut_out(spark):
     words = [f"k{i}" for i in range(80)]
     rows = [(1, "start\n" + " ".join(words), 7), (2, "Own  text\n" + " ".join(words).upper() + "\nits end", 8), (3, None, 9)]
