@@ -10,6 +10,9 @@ A token that touches several sections is allocated by a named rule:
 ``most``: to the section with most of its characters, the first of equals.
 A token that covers part of a character counts as touching it.
 
+A text whose runs of blanks are too long for the library's splitter (some hundred thousand) is split here by the
+same pattern; its pieces are encoded one by one.
+
 Rows: a null text has no section and gives no row.  Repeated ids give their rows repeatedly.
 """
 
@@ -19,6 +22,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import regex
 import tiktoken
 from pyspark.sql import DataFrame, functions as F
 
@@ -33,7 +37,13 @@ _SCHEMA = (
 
 def token_bytes(encoding: tiktoken.Encoding, lengths: np.ndarray, text: str) -> np.ndarray:
     """Byte offsets of the token edges of a text, 0 first."""
-    return np.concatenate([[0], np.cumsum(lengths[encoding.encode_to_numpy(text, disallowed_special=())])])
+    try:
+        ids = encoding.encode_to_numpy(text, disallowed_special=())
+    except ValueError:
+        # the library's own splitter gives up on very long runs of blanks
+        pieces = regex.compile(encoding._pat_str).findall(text)
+        ids = np.array([i for piece in pieces for i in encoding._encode_single_piece(piece)], np.int64)
+    return np.concatenate([[0], np.cumsum(lengths[ids])])
 
 
 def allocate(edges: np.ndarray, lead: np.ndarray, sections: np.ndarray, rule: str) -> tuple[np.ndarray, np.ndarray]:

@@ -243,6 +243,27 @@ def brute_sections(text, rule):
     return [(i, a, b, counts[i], crossing[i], sum(counts)) for i, (a, b) in enumerate(spans)]
 
 
+def test_token_edges_of_very_long_runs_of_blanks():
+    ranks = bpe.read_ranks(public_tokenizers.path(queries.RANK_FILE))
+    encoding = tiktoken.Encoding("own", pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens={})
+    lengths = np.zeros(max(ranks.values()) + 1, np.int64)
+    for token, rank in ranks.items():
+        lengths[rank] = len(token)
+
+    class Refusing:
+        _pat_str, _encode_single_piece = encoding._pat_str, encoding._encode_single_piece
+
+        def encode_to_numpy(self, text, disallowed_special):
+            raise ValueError
+
+    text = "Some words, 1234 and\n\n  more" + " " * 5000 + "\u00fcber \u65e5\u672c <|end|> it's"
+    wanted = attribution.token_bytes(encoding, lengths, text)
+    assert attribution.token_bytes(Refusing(), lengths, text).tolist() == wanted.tolist()
+    long = "x" + " " * 1_000_000 + "y"
+    edges = attribution.token_bytes(encoding, lengths, long)
+    assert edges[-1] == len(long) and (np.diff(edges) > 0).all()
+
+
 @pytest.mark.parametrize("rule", attribution.RULES)
 def test_section_tokens_against_brute_force(spark, rule):
     texts = ["a\n\n\n\nb", "\n\n\n\n\n\n\n\nx\n\n \n\n", "", "one.\ntwo 🙂\nthree", "🙂🙂\n漢字\n", "\n", " \n  \n\n  end"]
