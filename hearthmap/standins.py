@@ -268,17 +268,15 @@ def age_sheet(spark: SparkSession, sf: str, columns: list[str]) -> DataFrame:
 
 def output_area_sheet(spark: SparkSession, sf: str, columns: list[str]) -> DataFrame:
     """Wide sheet per customer (output area): text counts, '-' for zero."""
-    people = _aged_lines(spark, sf)
-    cells = people.groupBy("o_custkey", F.col("age").cast("string").alias("label")).agg(
-        F.count(F.lit(1)).alias("n")
-    )
     years = [c for c in columns if c not in AGE_LABELS]
-    wide = cells.groupBy("o_custkey").pivot("label", years).agg(F.sum("n"))
+    # an area's people meet while their rows are narrow, and its wide row is made once, in one task
+    people = _aged_lines(spark, sf).select("o_custkey", "age").repartition("o_custkey")
+    wide = people.groupBy("o_custkey").agg(*[F.count_if(F.col("age") == int(c)).alias(c) for c in years])
     return wide.selectExpr(
         "concat('OA', o_custkey) AS oa_code",
-        " + ".join(f"coalesce(`{c}`, 0)" for c in years) + " AS `All people`",
+        " + ".join(f"`{c}`" for c in years) + " AS `All people`",
         "'-' AS `Under 1`",
-        *[f"coalesce(CAST(`{c}` AS string), '-') AS `{c}`" for c in years],
+        *[f"coalesce(CAST(nullif(`{c}`, 0) AS string), '-') AS `{c}`" for c in years],
         "'-' AS `100 and over`",
     )
 
