@@ -237,12 +237,12 @@ def event_counts(spark: SparkSession, sf: str) -> DataFrame:
 
 def _aged_lines(spark: SparkSession, sf: str) -> DataFrame:
     """Line items as people: age from quantity and status, sex from the return flag."""
-    line = table(spark, sf, "lineitem")
-    orders = table(spark, sf, "orders").select("o_orderkey", "o_custkey")
     age = F.col("l_quantity").cast("int") + F.when(F.col("l_linestatus") == "F", 40).otherwise(0)
-    return line.join(orders, line["l_orderkey"] == orders["o_orderkey"]).select(
-        "o_custkey", age.alias("age"), F.when(F.col("l_returnflag") == "N", "M").otherwise("F").alias("sex")
-    )
+    sex = F.when(F.col("l_returnflag") == "N", "M").otherwise("F")
+    # made before the join, which sorts narrower rows
+    line = table(spark, sf, "lineitem").select("l_orderkey", age.alias("age"), sex.alias("sex"))
+    orders = table(spark, sf, "orders").select("o_orderkey", "o_custkey")
+    return line.join(orders, line["l_orderkey"] == orders["o_orderkey"]).select("o_custkey", "age", "sex")
 
 
 def age_sheet(spark: SparkSession, sf: str, columns: list[str]) -> DataFrame:
