@@ -39,7 +39,8 @@ from pyspark.sql.types import (
 from hearthmap.llm.scratch import small_batches
 from hearthmap.llm.words import STEP_BYTES, steps
 
-# Encoded pieces that a worker remembers between steps; beyond that it forgets all and goes on.
+# Encoded pieces that a worker remembers between steps.  Beyond that it sets them aside: what comes up again
+# while as many others are gathered is remembered anew, the rest is forgotten.
 REMEMBERED = 300_000
 
 
@@ -67,6 +68,7 @@ class MergeReplay:
         ends = [(a, b) for a in range(256) for b in range(256)]
         self._two = np.array([ranks.get(bytes(x), -1) for x in ends], np.int64)
         self._known: dict[str, bytes] = {}
+        self._aside: dict[str, bytes] = {}
 
     def replay(self, corpus: list[bytes]) -> list[bytes]:
         """Ids of every piece of a corpus of distinct pieces that are no tokens themselves."""
@@ -145,12 +147,16 @@ class MergeReplay:
     def encode(self, texts: list[str | None]) -> list[bytes]:
         """Ids of each text as little-endian unsigned 32-bit integers."""
         split = [self.pieces(t) if t else [] for t in texts]
-        known = self._known
-        distinct = set().union(*split)
-        fresh = [p for p in distinct if p not in known]
-        if len(known) + len(fresh) > REMEMBERED:
-            known.clear()
-            fresh = list(distinct)
+        if len(self._known) > REMEMBERED:
+            self._known, self._aside = {}, self._known
+        known, aside = self._known, self._aside
+        fresh = []
+        for piece in set().union(*split).difference(known):
+            ids = aside.pop(piece, None)
+            if ids is None:
+                fresh.append(piece)
+            else:
+                known[piece] = ids
         raw = [p.encode() for p in fresh]
         whole = [self.ranks.get(p) for p in raw]
         coded = iter(self.replay([p for p, rank in zip(raw, whole) if rank is None]))

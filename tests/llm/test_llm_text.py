@@ -213,6 +213,19 @@ def test_ids_of_vocabularies_that_rank_pairs_below_their_parts(tokens, pieces):
     assert ids == [library.encode_ordinary(p) for p in pieces]
 
 
+def test_pieces_in_use_are_remembered_when_others_are_forgotten(monkeypatch):
+    monkeypatch.setattr(bpe, "REMEMBERED", 3)
+    codec = bpe.MergeReplay(RANKS, public_tokenizers.PATTERN)
+    replayed, replay = [], codec.replay
+    monkeypatch.setattr(codec, "replay", lambda corpus: replayed.append(corpus) or replay(corpus))
+    whole = bpe.MergeReplay(RANKS, public_tokenizers.PATTERN)
+    texts = [f"Thlyouble {word}" for word in ("qzxvk", "zzyxw", "kjqvx", "vvxqz", "qzxvk", "wqzzk", "xxkqj")]
+    assert [codec.encode([t]) for t in texts] == [whole.encode([t]) for t in texts]
+    # never encoded again while it is used; what is not used is forgotten
+    assert sum(b"Thlyouble" in corpus for corpus in replayed) == 1
+    assert len(codec._known) + len(codec._aside) <= 2 * (3 + 2)
+
+
 def test_digests(spark):
     for r in queries.op9_byte_bpe(spark, SF).limit(5).collect():
         text = given_docs(spark).where(f"doc_id = {r['doc_id']}").first()["text"]
