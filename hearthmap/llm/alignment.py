@@ -30,6 +30,7 @@ import hashlib
 import json
 import os
 import re
+from array import array
 from collections.abc import Iterator
 from dataclasses import dataclass, field
 from functools import reduce
@@ -49,6 +50,9 @@ RANGE_BYTES = 65_536
 PART_CHARS = 500_000
 FAN = 16
 STEP = 1_000_000
+# Encoded units of a text that a worker remembers between steps, and the longest one that it remembers.
+REMEMBERED = 250_000
+UNIT_CHARS = 64
 _SAFE = re.compile(r"(?<=[^\s▁]) (?=[^\s▁])")
 _NO_IDS = np.zeros(0, np.int32)
 
@@ -125,11 +129,40 @@ class Encoders:
         self.divisible = not any(b" " in t.lstrip(b" ") for t in b)
         digits = [str(i).encode() + b"," for i in range(max(len(a), len(b)))]
         self.digits = Vocabulary(digits)
-
-    def encode(self, texts: list[str]) -> tuple[list[list[int]], list[list[int]]]:
-        """Ids of either side for each text that is not empty."""
-        a = [e.ids for e in self._a.encode_batch_fast([f" {t}" for t in texts], add_special_tokens=False)]
-        return a, self._b.encode(texts, out_type=int, num_threads=1)
+        self._known: dict[str, tuple[bytes, bytes]] = {}
+        self._aside: dict[str, tuple[bytes, bytes]] = {}
+
+    def _encode(self, texts: list[str]) -> Iterator[tuple[bytes, bytes]]:
+        """Ids of either side, as 32-bit integers, of each text that is not empty, encoded as one."""
+        a = self._a.encode_batch_fast([f" {t}" for t in texts], add_special_tokens=False)
+        b = self._b.encode(texts, out_type=int, num_threads=1)
+        return ((array("i", x.ids).tobytes(), array("i", y).tobytes()) for x, y in zip(a, b))
+
+    def encode(self, texts: list[str]) -> tuple[list[np.ndarray], list[np.ndarray]]:
+        """Ids of either side for each text that is not empty.
+
+        Both sides begin a token at every safe space, so a text's ids are those of its units between such
+        spaces.  Each distinct unit of a step is encoded once.  A worker that remembers enough units sets them
+        aside, keeps those that come up again and forgets the others.
+        """
+        split = [_SAFE.split(t) if self.divisible else [t] for t in texts]
+        if len(self._known) > REMEMBERED:
+            self._known, self._aside = {}, self._known
+        known, aside = self._known, self._aside
+        fresh = []
+        for unit in set().union(*split).difference(known):
+            ids = aside.pop(unit, None)
+            if ids is None:
+                fresh.append(unit)
+            else:
+                known[unit] = ids
+        known.update(zip(fresh, self._encode(fresh)))
+        coded = [[known[unit] for unit in units] for units in split]
+        for unit in fresh:
+            if len(unit) > UNIT_CHARS:
+                del known[unit]
+        joined = ([b"".join([ids[side] for ids in units]) for units in coded] for side in (0, 1))
+        return tuple([np.frombuffer(ids, np.int32) for ids in side] for side in joined)
 
 
 _encoders: list[tuple[Files, Encoders]] = []
@@ -255,10 +288,9 @@ class Aligned:
         return Fragment(True, head_a, head_b, closed, self.links[first:after], *tail, **counts)
 
 
-def _flat(lists: list[list[int]]) -> tuple[np.ndarray, np.ndarray]:
-    sizes = np.array([len(x) for x in lists], np.int64)
-    flat = np.fromiter((i for x in lists for i in x), np.int32, int(sizes.sum()))
-    return flat, sizes
+def _flat(ids: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
+    """Ids of all texts side by side, and how many each has."""
+    return np.concatenate([_NO_IDS, *ids]), np.array([len(x) for x in ids], np.int64)
 
 
 def _rebuilt(ids: np.ndarray, sizes: np.ndarray, vocabulary: Vocabulary, texts: list[bytes]) -> np.ndarray:

@@ -154,6 +154,25 @@ def test_composition_is_associative():
     assert open_ranges
 
 
+def test_units_of_texts_are_encoded_once_as_the_whole_text(monkeypatch):
+    monkeypatch.setattr(alignment, "REMEMBERED", 40)
+    encoders = alignment.Encoders(FILES)
+    coded, encode = [], encoders._encode
+    monkeypatch.setattr(encoders, "_encode", lambda units: coded.extend(units) or encode(units))
+    rng = random.Random(5)
+    words = PROSE[:3000].split() + ["", "", " ", "\n", "\t", "x\n", "\u2581", "a\u2581b", "\u00a0", "\x1c", "\x85y", "it's", "12", "<|endoftext|>", "<s>", "\u3000\u4e2d\u6587", "\x00", "e\u0301", "q" * 90]
+    texts = [" ".join(rng.choices(words, k=rng.randint(1, 40))) or " " for _ in range(300)]
+    for at in range(0, 300, 10):
+        some = [f"{t} zqxv" for t in texts[at : at + 10]]
+        a, b = encoders.encode(some)
+        assert [x.tolist() for x in a] == [A.encode(f" {t}", add_special_tokens=False).ids for t in some]
+        assert [x.tolist() for x in b] == B.encode(some)
+    # safe in front of it in nearly every text, remembered all along; long units are not kept
+    assert coded.count("zqxv") == 1
+    assert max(map(len, [*encoders._known, *encoders._aside])) <= alignment.UNIT_CHARS
+    assert len(encoders._aside) < len(set(coded))
+
+
 def test_pairs_hold_every_pair_that_can_be_linked():
     pairs = alignment.Pairs([b"ab", b"b", b"", b"cab"], [b"b", b"ab", b"xab", b"b", b"c"])
     found = set(zip(pairs.a.tolist(), pairs.b.tolist()))
