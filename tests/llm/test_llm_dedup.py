@@ -202,6 +202,19 @@ def test_near_starts_against_brute_force():
             assert substrings._near_starts(own, other, np.isin(own, other), starts).tolist() == wanted
 
 
+def test_a_lead_of_many_pairs_is_cut_into_shingles_once(monkeypatch):
+    lead = " ".join(f"w{i}" for i in range(400))
+    own = [f"start{k} " + lead[: 900 + k] for k in range(60)]
+    none = pa.nulls(len(own), pa.list_(pa.struct([("low", pa.int64()), ("high", pa.int64())])))
+    columns = [pa.array(range(1, 61)), pa.array([0] * 60), pa.array(own), pa.array([lead] * 60), none]
+    batch = pa.RecordBatch.from_arrays(columns, ["doc_id", "lead", "text", "lead_text", "closed"])
+    seen, inner = [], substrings._shingles
+    monkeypatch.setattr(substrings, "_shingles", lambda column: (seen.extend(column.to_pylist()), inner(column))[1])
+    found = [r for rows in substrings._verify([batch]) for r in rows.to_pylist()]
+    assert [r["doc_id"] for r in found] == list(range(1, 61))
+    assert seen.count(lead) == 1 and len(seen) == 61
+
+
 def test_a_passage_must_be_near_one_passage_of_the_lead(spark):
     fresh = itertools.count()
     words = lambda n: [f"u{next(fresh)}" for _ in range(n)]
