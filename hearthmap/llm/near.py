@@ -230,15 +230,17 @@ def near_duplicates(documents: DataFrame, percent: int = PERCENT) -> DataFrame:
     more = _linked(compare(across, LEAST_LINKED), percent)
     if not more.isEmpty():
         roots = scratch.write(components(links.unionAll(more), scratch))
-    scratch.keep(signatures, roots)
     known = signatures.select("doc_id", "n_shingles")
-    rooted = known.join(roots.withColumnRenamed("node", "doc_id"), "doc_id", "left")
-    return rooted.select(
-        "doc_id",
-        "n_shingles",
-        F.coalesce("root", "doc_id").alias("component_id"),
-        F.col("doc_id").eqNullSafe(F.coalesce("root", "doc_id")).alias("kept"),
+    result = scratch.write(
+        known.join(roots.withColumnRenamed("node", "doc_id"), "doc_id", "left").select(
+            "doc_id",
+            "n_shingles",
+            F.coalesce("root", "doc_id").alias("component_id"),
+            F.col("doc_id").eqNullSafe(F.coalesce("root", "doc_id")).alias("kept"),
+        )
     )
+    scratch.keep(result)
+    return result
 
 
 def _several(members: DataFrame) -> DataFrame:

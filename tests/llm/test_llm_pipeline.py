@@ -1,12 +1,16 @@
 import re
+import time
 from collections import Counter
+from pathlib import Path
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 import corpus_pipeline
 from hearthmap.llm import mixing, vectors
 from hearthmap.llm.scratch import Scratch
+from hearthmap.session import shared_dir
 from test_llm_dedup import brute_components, fold
 from test_llm_text import ENCODING, RANKS
 
@@ -185,6 +189,29 @@ def test_rows_that_share_an_id_are_judged_by_their_texts(spark):
     assert all(len(t.split()) < 10 for i, t in cut if i is None)
 
 
+def test_stages_leave_no_copy_of_the_texts(spark):
+    """Where every row has an id of its own, what a stage leaves on disk holds neither texts nor signatures."""
+    before = {p.name for p in Path(shared_dir(spark).removeprefix("file:")).iterdir()}
+    docs = spark.read.parquet(f"{SF}/documents.parquet")
+    for stage in (corpus_pipeline.near_duplicates, corpus_pipeline.repeated_passages):
+        assert stage(spark, docs, SF).count()
+    left = [p for p in Path(shared_dir(spark).removeprefix("file:")).iterdir() if p.name not in before]
+    assert left and not {c for p in left for c in spark.read.parquet(str(p)).columns} & {"text", "minima", "bands"}
+
+
+def test_shuffle_files_go_with_their_query(spark):
+    def shuffles():
+        files = spark._jvm.org.apache.spark.SparkEnv.get().blockManager().diskBlockManager().getAllFiles().mkString(" ")
+        return set(re.findall(r"shuffle_(\d+)_", files))
+
+    before = shuffles()
+    Scratch(spark).write(spark.range(1000).groupBy((F.col("id") % 7).alias("k")).count())
+    until = time.time() + 20
+    while shuffles() - before and time.time() < until:
+        time.sleep(0.1)
+    assert not shuffles() - before
+
+
 def test_clean_texts_in_several_languages_stay(spark):
     docs = spark.read.parquet(f"{SF}/documents.parquet")
     clean = docs.where("n_chars between 800 and 4000 and lang is not null").toPandas()
