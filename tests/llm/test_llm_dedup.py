@@ -269,6 +269,39 @@ def test_documents_that_share_one_line_are_not_paired_out(spark, monkeypatch):
     assert sum(compared) <= 3 * size
 
 
+@pytest.mark.parametrize("kinds", [10**9, 12])
+def test_copies_changed_apart_are_not_paired_out(spark, monkeypatch, kinds):
+    rng = random.Random(14)
+    base, size, compared, rows = [f"u{i}" for i in range(150)], 300, [], []
+    for k in range(size):
+        words = list(base)
+        # two words of any 50: too few shingles are left, though other copies may hold the changed ones
+        for p in range(rng.randrange(24), 150, 24):
+            words[p] = f"v{p}.{rng.randrange(kinds)}"
+        rows.append((k, " ".join(words)))
+    inner = substrings._compared
+
+    def counted(pairs, *rest):
+        compared.append(pairs.count())
+        return inner(pairs, *rest)
+
+    monkeypatch.setattr(substrings, "_compared", counted)
+    covered = {}
+    for d, _, a, b in spans_of(spark, rows):
+        covered.setdefault(d, set()).update(range(a, b))
+    texts = [substrings._shingles(pa.array([t]))[0] for _, t in rows]
+    starts = np.arange(len(texts[0]) - substrings.WIDTH + 1)
+    wanted = hit = 0
+    for i, own in enumerate(texts):
+        near_any = set()
+        for other in texts[:i]:
+            near_any.update(substrings._near_starts(own, other, np.isin(own, other), starts).tolist())
+        wanted += len(near_any)
+        hit += sum(len(covered.get(i, set()) & set(range(s, s + 50))) >= 38 for s in near_any)
+    assert hit >= 0.99 * wanted and (wanted > 0) == (kinds == 12)
+    assert sum(compared) <= 12 * size
+
+
 def test_near_passages_against_brute_force(spark):
     docs = spark.read.parquet(f"{SF}/documents.parquet").select("doc_id", "text")
     rows = sorted(tuple(r) for r in docs.collect())
