@@ -302,6 +302,15 @@ def test_copies_changed_apart_are_not_paired_out(spark, monkeypatch, kinds):
     assert sum(compared) <= 12 * size
 
 
+def test_a_shingle_of_a_passage_is_one_row_however_often_it_comes():
+    texts, over = ["to " * 500, " ".join(f"w{i}" for i in range(60))], [[45 << 6] * 3, [10 << 6] * 3]
+    columns = [pa.array([1, 2]), pa.array(texts), pa.array(over, pa.list_(pa.int64()))]
+    batch = pa.RecordBatch.from_arrays(columns, ["doc_id", "text", "places"])
+    rows = [r for found in substrings._passages([batch]) for r in found.to_pylist()]
+    assert [(r["at"], r["plain"], r["folded"]) for r in rows if r["doc_id"] == 1] == [(list(range(91)), False, True)]
+    assert sorted((r["at"], r["plain"], r["folded"]) for r in rows if r["doc_id"] == 2) == [([i], True, False) for i in range(56)]
+
+
 def test_near_passages_against_brute_force(spark):
     docs = spark.read.parquet(f"{SF}/documents.parquet").select("doc_id", "text")
     rows = sorted(tuple(r) for r in docs.collect())
